@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gablework.llm import bpe, mixing, secret_scan, simhash
+from gablework.llm import bpe, mixing, secret_scan, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_by_document(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +38,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op7_mixing, op8_byte_bpe, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_simhash, op5_toxicity, op7_mixing, op8_byte_bpe, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:

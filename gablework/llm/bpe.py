@@ -170,7 +170,7 @@ def _sliced(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
 
 
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, ids array<int>, decoded string), one for each row of docs: the ids of the whole text, and what they decode to.
+    """Rows (doc_id, n_tokens, ids array<int>, whole boolean), one for each row of docs: the ids of the whole text, and whether they decode to its bytes.
 
     A null text counts as empty and has no ids. Null and repeated ids come out as they came in; an empty table gives
     no rows; other columns aren't read. Texts of any length are taken whole.
@@ -180,12 +180,27 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         bpe = codec(path)
         for whole in batches(rows):
             for batch in _sliced(whole):
-                ids = bpe.encode(texts_of(batch))
+                texts = texts_of(batch)
+                ids = bpe.encode(texts)
                 flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").view(np.int32))
-                starts = pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), type=pa.int32())
-                yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.ListArray.from_arrays(starts, flat), pa.array([bpe.decode(x) for x in ids])], names=["doc_id", "ids", "decoded"])
+                counts = [len(x) // 4 for x in ids]
+                same = [bpe.decode_bytes(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+                columns = [column_of(batch, "doc_id"), pa.array(counts, type=pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), type=pa.int32()), flat), pa.array(same)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "whole"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, whole boolean")
+
+
+def decoded(ids: DataFrame, path: str) -> DataFrame:
+    """Rows (doc_id, text) of rows (doc_id, ids): the inverse of encoded(); null ids give an empty text."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = codec(path)
+        for batch in batches(rows):
+            texts = [bpe.decode(np.asarray(x or [], dtype="<u4").tobytes()) for x in column_of(batch, "ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(texts, type=pa.string())], names=["doc_id", "text"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gablework.llm import bpe, mixing, secret_scan, simhash, toxicity
+from gablework.llm import bpe, mixing, quality, secret_scan, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -37,8 +42,14 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(_table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op5_toxicity, op7_mixing, op8_byte_bpe, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_simhash, op3_quality, op5_toxicity, op7_mixing, op8_byte_bpe, op9_secret_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

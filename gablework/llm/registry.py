@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gablework.llm import bpe, mixing, quality, secret_scan, simhash, toxicity
+from gablework.llm import ann, bpe, mixing, quality, secret_scan, simhash, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest_neighbours(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -30,6 +34,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_by_document(_table(spark, sf_dir, "documents"))
 
@@ -49,7 +57,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_quality, op5_toxicity, op7_mixing, op8_byte_bpe, op9_secret_scan, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_nearest_neighbours, op3_quality, op5_toxicity, op6_vector_dedup, op7_mixing, op8_byte_bpe, op9_secret_scan, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

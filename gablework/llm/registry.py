@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gablework.llm import ann, bpe, mixing, quality, secret_scan, simhash, toxicity, vector_dedup
+from gablework.llm import ann, bpe, mixing, quality, secret_scan, simhash, token_store, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scanned(_table(spark, sf_dir, "documents"))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.stored_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -57,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_nearest_neighbours, op3_quality, op5_toxicity, op6_vector_dedup, op7_mixing, op8_byte_bpe, op9_secret_scan, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_nearest_neighbours, op3_quality, op5_toxicity, op6_vector_dedup, op7_mixing, op8_byte_bpe, op9_secret_scan, op10_token_store, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gablework.llm import ann, bpe, mixing, quality, secret_scan, simhash, token_store, toxicity, vector_dedup
+from gablework.llm import ann, bpe, mixing, pseudo_likelihood, quality, secret_scan, simhash, token_store, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return pseudo_likelihood.scored(docs, *pseudo_likelihood.train(docs))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.scored(docs, toxicity.train(docs, _table(spark, sf_dir, "labels")))
@@ -61,7 +66,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_nearest_neighbours, op3_quality, op5_toxicity, op6_vector_dedup, op7_mixing, op8_byte_bpe, op9_secret_scan, op10_token_store, pipeline)}
+    return {f.__name__: f for f in (op1_simhash, op2_nearest_neighbours, op3_quality, op4_pseudo_likelihood, op5_toxicity, op6_vector_dedup, op7_mixing, op8_byte_bpe, op9_secret_scan, op10_token_store, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gablework.llm.common import batches, column_of, texts_of
+from gablework.llm.common import column_of, text_batches, texts_of
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces that a worker keeps, at most.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 400_000
 #: Pieces up to this length stay when the cache is full.
 SHORT_PIECE_CHARS = 9
 #: Longer pieces aren't kept.
@@ -164,11 +164,6 @@ def codec(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def _sliced(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, rows):
-        yield batch.slice(start, rows)
-
-
 def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, ids array<int>, whole boolean), one for each row of docs: the ids of the whole text, and whether they decode to its bytes.
 
@@ -178,15 +173,14 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for whole in batches(rows):
-            for batch in _sliced(whole):
-                texts = texts_of(batch)
-                ids = bpe.encode(texts)
-                flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").view(np.int32))
-                counts = [len(x) // 4 for x in ids]
-                same = [bpe.decode_bytes(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
-                columns = [column_of(batch, "doc_id"), pa.array(counts, type=pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), type=pa.int32()), flat), pa.array(same)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "whole"])
+        for batch in text_batches(rows):
+            texts = texts_of(batch)
+            ids = bpe.encode(texts)
+            flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").view(np.int32))
+            counts = [len(x) // 4 for x in ids]
+            same = [bpe.decode_bytes(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
+            columns = [column_of(batch, "doc_id"), pa.array(counts, type=pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), type=pa.int32()), flat), pa.array(same)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "whole"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, whole boolean")
 
@@ -196,7 +190,7 @@ def decoded(ids: DataFrame, path: str) -> DataFrame:
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for batch in batches(rows):
+        for batch in text_batches(rows):
             texts = [bpe.decode(np.asarray(x or [], dtype="<u4").tobytes()) for x in column_of(batch, "ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(texts, type=pa.string())], names=["doc_id", "text"])
 
@@ -208,17 +202,16 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = codec(path)
-        for whole in batches(rows):
-            for batch in _sliced(whole):
-                ids = bpe.encode(texts_of(batch))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        column_of(batch, "doc_id"),
-                        pa.array([len(x) // 4 for x in ids], type=pa.int64()),
-                        pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                        pa.array([hashlib.sha256(bpe.decode_bytes(x)).hexdigest() for x in ids]),
-                    ],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+        for batch in text_batches(rows):
+            ids = bpe.encode(texts_of(batch))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    column_of(batch, "doc_id"),
+                    pa.array([len(x) // 4 for x in ids], type=pa.int64()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                    pa.array([hashlib.sha256(bpe.decode_bytes(x)).hexdigest() for x in ids]),
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

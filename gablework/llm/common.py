@@ -51,6 +51,16 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
     return [x or "" for x in column_of(batch, name).to_pylist()]
 
 
+#: Texts that a worker holds as Python strings at once, besides the Arrow batch that they came in.
+TEXT_ROWS = 512
+
+
+def text_batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        for start in range(0, batch.num_rows, TEXT_ROWS):
+            yield batch.slice(start, TEXT_ROWS)
+
+
 def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rows:
         if batch.num_rows:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gablework.llm.common import batches, column_of, texts_of, written
+from gablework.llm.common import column_of, text_batches, texts_of, written
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
@@ -79,7 +79,7 @@ def count_words(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         def given() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.string()), pa.array(list(counts.values()), type=pa.int64())], names=["word", "n"])
 
-        for batch in batches(rows):
+        for batch in text_batches(rows):
             for text in texts_of(batch):
                 counts.update(_TOKEN.findall(text.lower()))
             if len(counts) > 400_000:
@@ -208,7 +208,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Vocabulary,
     rows = docs.where("doc_id is not null").where(share).select("doc_id", "text")
 
     def numbered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(parts):
+        for batch in text_batches(parts):
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array([vocabulary.ids(t) for t in texts_of(batch)], type=pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     warm = sorted((r["doc_id"], r["ids"]) for r in rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(numbered, "doc_id long, ids array<int>").collect())
@@ -219,7 +219,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Vocabulary,
 
     def local(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = network.filled(start)
-        seen = own.train((vocabulary.ids(t) for batch in batches(parts) for t in texts_of(batch)), np.random.default_rng(s.seed))
+        seen = own.train((vocabulary.ids(t) for batch in text_batches(parts) for t in texts_of(batch)), np.random.default_rng(s.seed))
         if seen:
             moved = np.round((own.flat() - start).astype(np.float64) * scale).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(moved) + 1)), pa.array(np.append(moved * seen, seen))], names=["at", "value"])
@@ -251,7 +251,7 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: st
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in text_batches(rows):
             texts, counts, sums = texts_of(batch), [], []
             held: list[np.ndarray] = []
 

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gablework.llm.common import batches, column_of, texts_of
+from gablework.llm.common import column_of, text_batches, texts_of
 from gablework.llm.labelled import fold, labelled_sample
 
 
@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     share = {y: min(1.0, settings.dictionary_blocks / blocks[y]) for y in (0, 1)}
 
     def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in text_batches(rows):
             kept = []
             for y, doc_id, text in zip(column_of(batch, "y").to_pylist(), column_of(batch, "doc_id").to_pylist(), texts_of(batch), strict=True):
                 rng = np.random.default_rng([doc_id & 0xFFFFFFFF, y])
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     model = Model(good, bad, None, prior, settings)
 
     def measured(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in text_batches(rows):
             x = [model.features(t) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([column_of(batch, "y"), column_of(batch, "doc_id"), pa.array(x, type=pa.list_(pa.float64()))], names=["y", "doc_id", "x"])
 
@@ -159,7 +159,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in text_batches(rows):
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array([model.score(t) for t in texts_of(batch)], type=pa.float64())], names=["doc_id", "score"])
 
     modulus, out = model.settings.held_out

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gablework.llm.common import batches, column_of, texts_of
+from gablework.llm.common import column_of, text_batches, texts_of
 
 #: Fixed: the base kinds in their order, then the lexer's.
 KINDS = ("assign", "access", "hex", "literal")
@@ -168,7 +168,7 @@ def scanned(docs: DataFrame, scoring: Scoring = Scoring(), id_col: str = "doc_id
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in text_batches(rows):
             found = [spans_of(t, scoring) for t in texts_of(batch)]
             base = [[s for s in spans if s.kind != "literal"] for spans in found]
             counts = [[sum(s.kind == kind for s in spans) for spans in base] for kind in KINDS[:3]]
@@ -185,7 +185,7 @@ def redacted_documents(docs: DataFrame, scoring: Scoring = Scoring()) -> DataFra
     schema["text"].nullable = True
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in text_batches(rows):
             texts = column_of(batch, "text").to_pylist()
             found = [spans_of(t or "", scoring) for t in texts]
             if any(found):

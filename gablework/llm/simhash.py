@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gablework.llm.common import batches, column_of, written
+from gablework.llm.common import batches, text_batches, written
 from gablework.llm.components import connected_components, forest
 
 
@@ -83,7 +83,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id"
     names = [f"f{i}" for i in range(scheme.planes)]
 
     def hashed(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in text_batches(rows):
             f = np.array([fingerprint(t.as_py(), scheme) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f[:, i]) for i in range(scheme.planes))], names=["doc_id", *names])
 

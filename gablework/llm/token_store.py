@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gablework.llm.bpe import codec
-from gablework.llm.common import batches, column_of, scratch_path, texts_of
+from gablework.llm.common import batches, column_of, scratch_path, text_batches, texts_of
 from gablework.llm.range_codec import pack, unpack
 
 #: Ids after which a segment is closed.
@@ -42,16 +42,14 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_
             columns = [pa.array([part], type=pa.int32()), pa.array([seq], type=pa.int32()), pa.array([held], type=pa.int64()), pa.array([doc_ids], type=pa.list_(pa.int64())), pa.array([[len(x) // 4 for x in texts_ids]], type=pa.list_(pa.int64())), pa.array([packed], type=pa.binary())]
             return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_ids", "doc_ids", "lengths", "packed"])
 
-        for whole in batches(rows):
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                for doc_id, ids in zip(column_of(batch, "doc_id").to_pylist(), bpe.encode(texts_of(batch)), strict=True):
-                    doc_ids.append(doc_id)
-                    texts_ids.append(ids + end)
-                    held += len(ids) // 4 + 1
-                    if held >= SEGMENT_IDS:
-                        yield closed()
-                        doc_ids, texts_ids, held, seq = [], [], 0, seq + 1
+        for batch in text_batches(rows):
+            for doc_id, ids in zip(column_of(batch, "doc_id").to_pylist(), bpe.encode(texts_of(batch)), strict=True):
+                doc_ids.append(doc_id)
+                texts_ids.append(ids + end)
+                held += len(ids) // 4 + 1
+                if held >= SEGMENT_IDS:
+                    yield closed()
+                    doc_ids, texts_ids, held, seq = [], [], 0, seq + 1
         if doc_ids:
             yield closed()
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gablework.llm.common import batches, column_of, texts_of
+from gablework.llm.common import column_of, text_batches, texts_of
 from gablework.llm.labelled import fold, labelled_sample
 
 _TOKEN = re.compile(r"\w+(?:[@$*!]\w+)*")
@@ -151,7 +151,7 @@ class Model:
             return []
         words = _TOKEN.findall(text.lower())
         seen = set(words)
-        if len(known) > 500_000:
+        if len(known) > 300_000:
             known.clear()
         for w in seen.difference(known):
             known[w] = True
@@ -190,7 +190,7 @@ class Model:
 def _toxic_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, documents, some contexts) of the toxic documents of a partition."""
     docs, contexts = Counter(), defaultdict(set)
-    for batch in batches(rows):
+    for batch in text_batches(rows):
         for text in texts_of(batch):
             words = _TOKEN.findall(text.lower())
             docs.update(set(words))
@@ -205,7 +205,7 @@ def _toxic_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _counted(words: frozenset[str]):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = Counter()
-        for batch in batches(rows):
+        for batch in text_batches(rows):
             for text in texts_of(batch):
                 docs.update(words.intersection(_TOKEN.findall(text.lower())))
         yield pa.RecordBatch.from_arrays([pa.array(list(docs), type=pa.string()), pa.array(list(docs.values()), type=pa.int64())], names=["word", "n"])
@@ -249,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     model = Model({w: (odds[w], 2.0) for w in best}, 0.0, 1.0, settings)
 
     def found(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in text_batches(rows):
             hits = [model.hits(t) for t in texts_of(batch)]
             kind = pa.list_(pa.struct([("term", pa.string()), ("edits", pa.int32()), ("factor", pa.float64())]))
             yield pa.RecordBatch.from_arrays([column_of(batch, "y"), pa.array([[{"term": t, "edits": e, "factor": f} for t, e, f, _, _ in h] for h in hits], type=kind)], names=["y", "hits"])
@@ -279,7 +279,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     """
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in text_batches(rows):
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array([model.score(t) for t in texts_of(batch)], type=pa.float64())], names=["doc_id", "score"])
 
     modulus, out = model.settings.held_out
@@ -291,7 +291,7 @@ def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
     """docs without the rows whose score reaches the threshold; all columns as they were."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches(rows):
+        for batch in text_batches(rows):
             yield batch.filter(pa.array([model.score(t) < model.settings.threshold for t in texts_of(batch)]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -269,7 +269,7 @@ def simhash_groups(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_i
     roots = connected_components(links(nodes, scheme))
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     rooted = written(rooted, "rooted")
-    component = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    component = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component")  # so that a join of a hot root can be split
     of = written(rooted.select("node", "root").join(component.hint("merge"), "root").select("node", "component_id"), "components")
     return prints.withColumn("node", node).join(of.hint("merge"), "node").select("doc_id", *names, "component_id")
 

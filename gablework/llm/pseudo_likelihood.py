@@ -46,15 +46,29 @@ class Settings:
         return self.classes * self.classes
 
 
+class Endings(dict):
+    """The bucket of each ending; made when it is first asked for."""
+
+    def __init__(self, first: int, buckets: int):
+        self.first, self.buckets = first, buckets
+
+    def __missing__(self, ending: str) -> int:
+        if len(self) > 100_000:
+            self.clear()
+        at = self[ending] = self.first + zlib.crc32(ending.encode("utf-8", "surrogatepass")) % self.buckets
+        return at
+
+
 class Vocabulary(dict):
     """The id of each word; of an unknown one, its ending's bucket."""
 
     def __init__(self, words: list[str], settings: Settings):
         super().__init__({w: i for i, w in enumerate(words)})
         self.first, self.buckets = settings.vocabulary - settings.buckets, settings.buckets
+        self.endings = Endings(self.first, self.buckets)
 
     def __missing__(self, word: str) -> int:
-        return self.first + zlib.crc32(word[-2:].encode("utf-8", "surrogatepass")) % self.buckets
+        return self.endings[word[-2:]]
 
     def __reduce__(self):
         return _vocabulary, (list(self), self.first, self.buckets)
@@ -66,7 +80,7 @@ class Vocabulary(dict):
 def _vocabulary(words: list[str], first: int, buckets: int) -> Vocabulary:
     out = Vocabulary.__new__(Vocabulary)
     dict.__init__(out, {w: i for i, w in enumerate(words)})
-    out.first, out.buckets = first, buckets
+    out.first, out.buckets, out.endings = first, buckets, Endings(first, buckets)
     return out
 
 
@@ -122,47 +136,60 @@ class Network:
 
     def _hidden(self, contexts: np.ndarray) -> np.ndarray:
         v = self.values
-        h = v["embed"][contexts[:, 0]] * v["place"][0]
+        h = np.take(v["embed"] * v["place"][0], contexts[:, 0], axis=0)
         for o in range(1, contexts.shape[1]):
-            h += v["embed"][contexts[:, o]] * v["place"][o]
-        return np.tanh(h)
+            h += np.take(v["embed"] * v["place"][o], contexts[:, o], axis=0)
+        return np.tanh(h, out=h)
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
-        z = z - z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+    def _softmax(z: np.ndarray) -> np.ndarray:
+        z -= z.max(axis=1, keepdims=True)
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
 
     def log_probabilities(self, contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """ln p(id | its neighbours) of each position."""
         v, n = self.values, self.settings.classes
-        of, within = ids // n, ids % n
-        h = self._hidden(contexts)
-        out = self._log_softmax(h @ v["class"] + v["class_bias"])[np.arange(len(ids)), of].astype(np.float64)
-        order = np.argsort(of, kind="stable")
-        ends = np.searchsorted(of[order], np.arange(n + 1))
+        order = np.argsort(ids, kind="stable")
+        ids = ids[order]
+        of, within = np.divmod(ids, n)
+        h = self._hidden(contexts[order])
+        sums = self._chosen(h @ v["class"] + v["class_bias"], of).astype(np.float64)
+        ends = np.searchsorted(of, np.arange(n + 1))
         for k in range(n):
-            at = order[ends[k] : ends[k + 1]]
-            if len(at):
-                out[at] += self._log_softmax(h[at] @ v["word"][k] + v["word_bias"][k])[np.arange(len(at)), within[at]]
+            at = slice(ends[k], ends[k + 1])
+            if ends[k] < ends[k + 1]:
+                sums[at] += self._chosen(h[at] @ v["word"][k] + v["word_bias"][k], within[at])
+        out = np.empty_like(sums)
+        out[order] = sums
         return out
 
+    @staticmethod
+    def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The log-softmax of each row at its own column."""
+        z -= z.max(axis=1, keepdims=True)
+        own = z[np.arange(len(z)), at]
+        return own - np.log(np.exp(z, out=z).sum(axis=1))
+
     def learn(self, contexts: np.ndarray, ids: np.ndarray, squares: dict[str, np.ndarray]) -> None:
         """One Adagrad step on the positions."""
         v, n, s = self.values, self.settings.classes, self.settings
-        of, within = ids // n, ids % n
+        order = np.argsort(ids, kind="stable")
+        ids, contexts = ids[order], contexts[order]
+        of, within = np.divmod(ids, n)
         h = self._hidden(contexts)
-        d = np.exp(self._log_softmax(h @ v["class"] + v["class_bias"]))
+        d = self._softmax(h @ v["class"] + v["class_bias"])
         d[np.arange(len(ids)), of] -= 1
         d /= len(ids)
         grads = {"class": h.T @ d, "class_bias": d.sum(axis=0), "word": np.zeros_like(v["word"]), "word_bias": np.zeros_like(v["word_bias"])}
         back = d @ v["class"].T
-        order = np.argsort(of, kind="stable")
-        ends = np.searchsorted(of[order], np.arange(n + 1))
+        ends = np.searchsorted(of, np.arange(n + 1))
         for k in range(n):
-            at = order[ends[k] : ends[k + 1]]
-            if len(at):
-                e = np.exp(self._log_softmax(h[at] @ v["word"][k] + v["word_bias"][k]))
-                e[np.arange(len(at)), within[at]] -= 1
+            at = slice(ends[k], ends[k + 1])
+            if ends[k] < ends[k + 1]:
+                e = self._softmax(h[at] @ v["word"][k] + v["word_bias"][k])
+                e[np.arange(len(e)), within[at]] -= 1
                 e /= len(ids)
                 grads["word"][k], grads["word_bias"][k] = h[at].T @ e, e.sum(axis=0)
                 back[at] += e @ v["word"][k].T

@@ -9,18 +9,18 @@ from __future__ import annotations
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gablework.functions import geometry as g
 from gablework.model import FEWEST_POINTS, MESH, RansacConfig
 from gablework.operators import crop, labels, mesh, planes, triangulate
+from gablework.scratch import written
 
 
 @dataclass(frozen=True)
 class Scene:
-    """What every method starts from: buildings (fid, polygon, attributes, n, z_70p, h_ground), cropped (fid, pid, x, y, z), planes (fid, plane_id, ..., inliers)."""
+    """What every method starts from: buildings (fid, polygon, n, z_70p, h_ground), cropped (fid, pid, x, y, z), planes (fid, plane_id, ..., inliers)."""
 
     buildings: DataFrame
     cropped: DataFrame
@@ -32,13 +32,13 @@ class Scene:
 
 
 def scene(footprints: DataFrame, points: DataFrame, config: RansacConfig = RansacConfig()) -> Scene:
-    """Footprints of fewer than five points have no planes. The planes are kept, since methods read them several times and their kernel is the costly part; lost blocks are made again."""
+    """Footprints of fewer than five points have no planes. Buildings and planes are written: methods read them several times, and the kernel is the costly part."""
     cropped = crop.crop_points(points, footprints)
     stats = crop.footprint_stats(footprints, cropped)
-    buildings = footprints.select("fid", "polygon", "attributes").join(stats.select("fid", "n", "z_70p", F.col("z_min").alias("h_ground")), "fid")
-    enough = stats.where(F.col("n") >= FEWEST_POINTS).select("fid")
-    found = planes.detect_planes(cropped.join(enough, "fid", "left_semi"), config)
-    return Scene(buildings, cropped, found.persist(StorageLevel.MEMORY_AND_DISK))
+    buildings = written(footprints.select("fid", "polygon").join(stats.select("fid", "n", "z_70p", F.col("z_min").alias("h_ground")), "fid"), "buildings")
+    enough = buildings.where(F.col("n") >= FEWEST_POINTS).select("fid")
+    found = written(planes.detect_planes(cropped.join(enough, "fid", "left_semi"), config), "planes")
+    return Scene(buildings, cropped, found)
 
 
 class Reconstructor(Protocol):
@@ -117,11 +117,11 @@ class Arrangement:
         self.on_crossing = on_crossing
 
     def meshes(self, of: Scene) -> DataFrame:
-        rows = roof_cells(of, self.on_crossing).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = written(roof_cells(of, self.on_crossing), "cells")
         cells, edge = cells_inside(rows), corners(rows)
         sites = cells.select("fid", "site_id", "cx", "cy").unionAll(edge.select("fid", -1 - F.col("seq"), "vx", "vy"))
         votes = labels.inlier_votes(sites, of.planes, of.inliers)
-        label = labels.label_vote(votes, of.planes)
+        label = written(labels.label_vote(votes, of.planes), "labels")
         labelled = cells.join(label.select("fid", "site_id", "plane_id"), ["fid", "site_id"])
         at = label.where("site_id < 0").select("fid", (-1 - F.col("site_id")).alias("seq"), "plane_id")
         tops = labels.heights(edge.join(at, ["fid", "seq"], "left"), of.planes, "vx", "vy")
@@ -137,10 +137,10 @@ class GraphCut:
         self.on_crossing = on_crossing
 
     def meshes(self, of: Scene) -> DataFrame:
-        rows = roof_cells(of, self.on_crossing).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = written(roof_cells(of, self.on_crossing), "cells")
         cells = cells_inside(rows, 1e-6)
         label = labels.label_cost(labels.data_costs(cells, of.planes, of.inliers))
-        labelled = cells.join(label.select("fid", "site_id", "plane_id"), ["fid", "site_id"])
+        labelled = written(cells.join(label.select("fid", "site_id", "plane_id"), ["fid", "site_id"]), "labelled")
         edge = corners(rows)
         nearest = labels.nearest_cell(edge, labelled)
         tops = labels.heights(edge.join(nearest.select("fid", "seq", "plane_id"), ["fid", "seq"], "left"), of.planes, "vx", "vy")
@@ -158,7 +158,7 @@ def reconstruct(footprints: DataFrame, points: DataFrame, method: Reconstructor,
     ridges among them) or no_mesh where a flat roof stands in.
     """
     of = scene(footprints, points, config)
-    rows = of.buildings.join(method.meshes(of), "fid", "left")
+    rows = of.buildings.join(method.meshes(of), "fid", "left").join(footprints.select("fid", "attributes"), "fid")
     flat = mesh.flat_roof(F.col("polygon.exterior"), F.col("h_ground"), crop.flat_height())
     why = F.when(F.col("n") < FEWEST_POINTS, "few_points").when(F.col("failed").isNull(), "no_planes").when(F.col("failed"), "kernel").when(F.col("mesh").isNull(), "no_mesh")
     return rows.select("fid", F.coalesce("mesh", flat).alias("lod22"), F.lit(None).cast(MESH).alias("lod12"), "h_ground", "attributes", F.lit(method.name).alias("method"), why.alias("fallback"))

@@ -65,3 +65,14 @@ def heights(rows: DataFrame, planes: DataFrame, x: str, y: str) -> DataFrame:
     c = F.col
     met = rows.join(planes.select("fid", "plane_id", "nx", "ny", "nz", "d"), ["fid", "plane_id"], "left")
     return met.withColumn("z", g.eval_z(c("nx"), c("ny"), c("nz"), c("d"), c(x), c(y))).drop("nx", "ny", "nz", "d")
+
+
+def cell_adjacency(cells: DataFrame, decimals: int = 6) -> DataFrame:
+    """Rows (fid, a, b, len), a < b: cells (fid, site_id, x0 ... y2) of a building that share an edge, and its length. Corners are the same where they agree to so many decimals. Costs and votes don't use it; a smoothing labelling would."""
+    c, r = F.col, lambda k: F.round(k, decimals)
+    corner = lambda i: F.struct(r(f"x{i}").alias("x"), r(f"y{i}").alias("y"))
+    side = lambda i, j: F.struct(F.least(corner(i), corner(j)).alias("p"), F.greatest(corner(i), corner(j)).alias("q"))
+    edges = cells.select("fid", "site_id", F.explode(F.array(side(0, 1), side(1, 2), side(2, 0))).alias("e"))
+    own = edges.groupBy("fid", "e").agg(F.min("site_id").alias("a"), F.max("site_id").alias("b")).where("a < b")
+    dx, dy = c("e.q.x") - c("e.p.x"), c("e.q.y") - c("e.p.y")
+    return own.select("fid", "a", "b", F.sqrt(dx * dx + dy * dy).alias("len"))

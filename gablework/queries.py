@@ -202,6 +202,17 @@ def _(f):
     return a.select("fid", F.size(F.map_keys("a")).alias("n_keys"), F.variant_get(F.element_at("a", "name"), "$", "string").alias("name"), F.variant_get(F.element_at("a", "seen"), "$", "boolean").alias("seen"))
 
 
+@query("errors", "select 'LasError' as kind, 'not a LAS file' as message union all select 'LasError', 'the file ends within its points' union all select 'VectorError', 'not a GeoPackage geometry'")
+def _(f):
+    found = []
+    for read, data in ((las.decode_points, b"none"), (las.decode_points, las.encode_las(np.zeros((2, 3)))[:-5]), (vector._gpkg_wkb, b"none")):
+        try:
+            read(data)
+        except ValueError as e:
+            found.append((type(e).__name__, str(e)))
+    return f.spark.createDataFrame(found, "kind string, message string")
+
+
 # polygons
 
 
@@ -576,6 +587,12 @@ def _(f):
     return labels.heights(f.cells.join(own, ["fid", "site_id"]), f.planes, "cx", "cy").select("fid", "site_id", r(c("z"), 6).alias("z"))
 
 
+@query("cell_adjacency", sql([FOOTPRINT_CTE, GIVEN_CTE], """select k.fid, cell_id as a, 1 + cell_id as b, round(sqrt((x2 - x1)*(x2 - x1) + (y2 - y1)*(y2 - y1)), 6) as len from cell_given k where cell_id < 3
+  union all select k.fid, 0, 3, round(sqrt((x2 - x0)*(x2 - x0) + (y2 - y0)*(y2 - y0)), 6) from cell_given k where cell_id = 0"""))
+def _(f):
+    return labels.cell_adjacency(f.cells).withColumn("len", r(c("len"), 6))
+
+
 # hulls and triangulations
 
 

@@ -101,6 +101,8 @@ def pairs(text: str) -> Iterator[Pair]:
             end = joined.end()
         if not values:
             continue
+        if group == 4:
+            at = end  # signs within a bare value are its own, so each character is read once
         whole = Pair(name, "".join(v.literal for v in values), min(v.start for v in values), max(v.end for v in values))
         if len(values) > 1 and whole.end - whole.start > 4 * len(whole.literal) + 16:  # parts written far apart: the longest stands for them
             longest = max(values, key=lambda v: len(v.literal))

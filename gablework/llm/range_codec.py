@@ -38,8 +38,6 @@ class _Order0:
         self.counts = np.zeros(lanes * 256, dtype=np.int32)
         self.freq = np.full(lanes * 256, (1 << _BITS) // 256, dtype=np.int32)
         self.start = np.tile(np.arange(256, dtype=np.int32) * ((1 << _BITS) // 256), lanes)
-        self.coarse = np.ascontiguousarray(self.start.reshape(lanes, 16, 16)[:, :, 0])
-        self.fine = self.start.reshape(lanes * 16, 16)
 
     def read(self) -> None:
         counts = self.counts.reshape(self.lanes, 256)
@@ -48,13 +46,14 @@ class _Order0:
         freq[np.arange(self.lanes), counts.argmax(axis=1)] += (1 << _BITS) - freq.sum(axis=1)
         start = np.cumsum(freq, axis=1, dtype=np.int32) - freq
         self.freq, self.start = freq.astype(np.int32).ravel(), start.astype(np.int32).ravel()
-        self.coarse = np.ascontiguousarray(start.reshape(self.lanes, 16, 16)[:, :, 0])
-        self.fine = self.start.reshape(self.lanes * 16, 16)
 
     def find(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
-        value = value[:, None]
-        group = (self.coarse[lanes] <= value).sum(axis=1) - 1
-        return group * 16 + (self.fine[lanes * 16 + group] <= value).sum(axis=1) - 1
+        """The byte whose interval holds the value, by halving."""
+        first = lanes * 256
+        at = first.copy()
+        for step in (128, 64, 32, 16, 8, 4, 2, 1):
+            at += (self.start.take(at + step) <= value) * step
+        return at - first
 
 
 class _Model:
@@ -62,8 +61,8 @@ class _Model:
 
     def __init__(self, lanes: int):
         self.base = np.arange(lanes) * _SLOTS
-        self.id2, self.sure2 = np.zeros(lanes * _SLOTS, dtype=np.int32), np.zeros(lanes * _SLOTS, dtype=np.int8)
-        self.id1, self.sure1 = np.zeros(lanes * _SLOTS, dtype=np.int32), np.zeros(lanes * _SLOTS, dtype=np.int8)
+        #: Of each context: the id that it proposes times 4, plus how sure it is (0: it proposes none, to 3).
+        self.slots2, self.slots1 = np.zeros(lanes * _SLOTS, dtype=np.int32), np.zeros(lanes * _SLOTS, dtype=np.int32)
         self.prior2, self.prior1 = np.full(lanes * 4, 1 << 15, dtype=np.int32), np.full(lanes * 8, 1 << 15, dtype=np.int32)
         self.weight2, self.weight1 = np.full(lanes, 40_000, dtype=np.int64), np.full(lanes, 24_000, dtype=np.int64)
         self.before, self.last = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
@@ -72,33 +71,36 @@ class _Model:
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the first n lanes: the candidate, whether there is one, and its probability in 4096."""
-        last = self.last[:n]
-        self.at1 = self.base[:n] + ((last * 0x9E3779B1 >> 15) & (_SLOTS - 1))
-        self.at2 = self.base[:n] + (((last * 0x9E3779B1 ^ self.before[:n] * 0x85EBCA77) >> 15) & (_SLOTS - 1))
-        self.got1, self.got2 = self.id1[self.at1], self.id2[self.at2]
-        self.c1, self.c2 = self.sure1[self.at1], self.sure2[self.at2]
-        candidate = np.where(self.c2 > 0, self.got2, self.got1)
-        has = (self.c2 > 0) | (self.c1 > 0)
-        self.ctx2 = self.lane4[:n] + self.c2
-        self.ctx1 = self.lane8[:n] + self.c1 * 2 + (self.got1 == candidate)
-        self.p2, self.p1 = self.prior2[self.ctx2], self.prior1[self.ctx1]
-        self.s2, self.s1 = _STRETCH[self.p2 >> 4], _STRETCH[self.p1 >> 4]
-        mixed = np.clip((self.weight2[:n] * self.s2 + self.weight1[:n] * self.s1) >> 16, -2048, 2047)
-        self.p = _SQUASH[mixed + 2048]
+        mixed = self.last[:n] * 0x9E3779B1
+        self.at1 = (mixed >> 15 & (_SLOTS - 1)) + self.base[:n]
+        self.at2 = ((mixed ^ self.before[:n] * 0x85EBCA77) >> 15 & (_SLOTS - 1)) + self.base[:n]
+        self.slot1, self.slot2 = self.slots1.take(self.at1), self.slots2.take(self.at2)
+        got1, sure1, sure2 = self.slot1 >> 2, self.slot1 & 3, self.slot2 & 3
+        candidate = np.where(sure2 > 0, self.slot2 >> 2, got1)
+        has = (sure2 | sure1) > 0
+        self.ctx2 = self.lane4[:n] + sure2
+        self.ctx1 = self.lane8[:n] + (sure1 * 2 + (got1 == candidate))
+        self.p2, self.p1 = self.prior2.take(self.ctx2), self.prior1.take(self.ctx1)
+        self.s2, self.s1 = _STRETCH.take(self.p2 >> 4), _STRETCH.take(self.p1 >> 4)
+        dot = (self.weight2[:n] * self.s2 + self.weight1[:n] * self.s1) >> 16
+        np.maximum(dot, -2048, out=dot)
+        np.minimum(dot, 2047, out=dot)
+        self.p = _SQUASH.take(dot + 2048)
         return candidate, has, self.p
 
     def update(self, n: int, ids: np.ndarray, candidate: np.ndarray, has: np.ndarray, hit: np.ndarray) -> None:
-        err = np.where(has, (hit.astype(np.int64) << 12) - self.p, 0) * 6
+        err = ((hit.astype(np.int64) << 12) - self.p) * has * 6
         self.weight2[:n] += (self.s2 * err) >> 10
         self.weight1[:n] += (self.s1 * err) >> 10
         to = hit.astype(np.int32) * 65_535
-        self.prior2[self.ctx2] = self.p2 + np.where(has, (to - self.p2) >> 4, 0)
-        self.prior1[self.ctx1] = self.p1 + np.where(has, (to - self.p1) >> 4, 0)
-        for table, sure, at, got, c in ((self.id2, self.sure2, self.at2, self.got2, self.c2), (self.id1, self.sure1, self.at1, self.got1, self.c1)):
-            same = (got == ids) & (c > 0)
-            new = ~same & (c <= 1)
-            table[at] = np.where(new, ids, got)
-            sure[at] = np.where(same, np.minimum(c + 1, 3), np.where(new, 1, c - 1))
+        self.prior2[self.ctx2] = self.p2 + ((to - self.p2) >> 4) * has
+        self.prior1[self.ctx1] = self.p1 + ((to - self.p1) >> 4) * has
+        own = ids.astype(np.int32) * 4
+        for table, at, slot in ((self.slots2, self.at2, self.slot2), (self.slots1, self.at1, self.slot1)):
+            # the same id: surer; another one: less sure, or taken over by it
+            sure = slot & 3
+            less = np.where(sure > 1, slot - 1, own + 1)
+            table[at] = np.where((slot - sure == own) & (sure > 0), own + np.minimum(sure + 1, 3), less)
         self.before[:n], self.last[:n] = self.last[:n], ids
 
     def learn_bytes(self, lanes: np.ndarray, ids: np.ndarray) -> None:
@@ -141,7 +143,7 @@ def _coded(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
             for part, b in zip((values >> 8, values & 255), model.bytes, strict=True):
                 r = w >> _FIFTEEN
                 at = lit * 256 + part
-                lo, w = lo + r * b.start[at].astype(np.uint64), r * b.freq[at].astype(np.uint64)
+                lo, w = lo + r * b.start.take(at).astype(np.uint64), r * b.freq.take(at).astype(np.uint64)
             low[lit], width[lit] = lo, w
             model.learn_bytes(lit, values)
         model.update(n, ids_now, candidate, has, hit)
@@ -188,7 +190,7 @@ def _read(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
                 r = w >> _FIFTEEN
                 part = b.find(lit, np.minimum((c - lo) // r, np.uint64((1 << _BITS) - 1)).astype(np.int32))
                 at = lit * 256 + part
-                lo, w = lo + r * b.start[at].astype(np.uint64), r * b.freq[at].astype(np.uint64)
+                lo, w = lo + r * b.start.take(at).astype(np.uint64), r * b.freq.take(at).astype(np.uint64)
                 values = values * 256 + part
             low[lit], width[lit] = lo, w
             ids_now[lit] = values

@@ -260,6 +260,14 @@ def test_lexer_leaves(text):
     assert [s for s in secret_scan.spans_of(text) if s.kind == "literal"] == []
 
 
+def test_lexer_is_linear():
+    import time
+
+    began = time.time()
+    assert secret_scan.spans_of("a=" * 100_000) == [] and len(secret_scan.spans_of("password=" * 20_000)) == 1
+    assert time.time() - began < 20
+
+
 def test_scan_rows(spark):
     docs = awkward(spark)
     rows = secret_scan.scanned(docs).collect()

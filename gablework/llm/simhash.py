@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from gablework.llm.common import batches, text_batches, written
 from gablework.llm.components import connected_components, forest
+from gablework.llm.near_copies import node_of, shingle_set, verified
 
 
 @dataclass(frozen=True)
@@ -274,13 +275,40 @@ def simhash_groups(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_i
     return prints.withColumn("node", node).join(of.hint("merge"), "node").select("doc_id", *names, "component_id")
 
 
+def _nodes(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, node) of all documents, and (node, f0, ..., least) of each shingle set, with its smallest id."""
+    names = [f"f{i}" for i in range(scheme.planes)]
+
+    def named(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in text_batches(rows):
+            texts = batch.column(1).to_pylist()
+            f = np.array([fingerprint(t, scheme) for t in texts], dtype=np.uint64).view(np.int64)
+            node = pa.array([node_of(shingle_set(t, scheme.words)) for t in texts], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), node, *(pa.array(f[:, i]) for i in range(scheme.planes))], names=["doc_id", "node", *names])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(named, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names))
+    prints = written(rows, "prints")
+    return prints.select("doc_id", "node"), written(prints.groupBy("node").agg(*[F.first(n).alias(n) for n in names], F.min("doc_id").alias("least")), "nodes")
+
+
+def near_groups(docs: DataFrame, scheme: Scheme) -> DataFrame:
+    """Rows (doc_id, component_id), one for each row of docs: components of documents whose shingle sets are near (near_copies.LEAST); what the scheme links are only the candidates."""
+    of, nodes = _nodes(docs, scheme)
+    roots = verified(docs, nodes, connected_components(links(nodes, scheme)), scheme.words)
+    rooted = written(nodes.select("node", "least").join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "rooted")
+    component = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component")
+    ids = written(rooted.select("node", "root").join(component.hint("merge"), "root").select("node", "component_id"), "components")
+    return of.join(ids.hint("merge"), "node").select("doc_id", "component_id")
+
+
 def kept_documents(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
     """docs without all but one document of each near-duplicate group: the one with the smallest id stays, once.
 
+    A group is what links of a Jaccard similarity of 0.8 or more of the five-word shingle sets join.
     All columns come back as they were. Of rows that repeat an id, the first by its text stays; rows of a null id stay,
     since nothing tells them from others.
     """
-    groups = simhash_groups(docs.select("doc_id", "text"), scheme)
+    groups = near_groups(docs.select("doc_id", "text"), scheme)
     stay = groups.where("doc_id = component_id").select("doc_id").distinct()
     rows = docs.where("doc_id is not null")
     once = written(stay, "stay")

@@ -6,6 +6,8 @@ required, no pair within the distance is missed (pigeonhole). Among nodes that m
 distance table: its Hamming distances to many fixed reference fingerprints. By the triangle inequality, a pair whose
 coordinates differ anywhere by more than the distance cannot link; the survivors are verified by their own distance.
 
+The near-duplicate stage meets its candidates by sketches of minima instead, and near_copies decides on the sets.
+
 Keys that many nodes share are tiled: the rows are dealt into tiles and every pair of tiles is one small task.
 Within a large group only a spanning forest of the links is kept, since components are what is asked for.
 """
@@ -55,8 +57,10 @@ class Scheme:
 
 #: Fingerprints of 64 bits over four-word shingles, linked at four differing bits or fewer: exact.
 EXACT = Scheme()
-#: Five-word shingles and a similarity of 0.8: at a Jaccard similarity of 0.8 the shingle sets' angle makes 15 % of the bits differ.
-SIMILAR = Scheme(words=5, planes=3, max_bits=29, blocks=6, equal=2)
+#: Sketches of five-word shingle sets: 192 one-bit minima. At a Jaccard similarity of 0.8 a bit differs with a chance of 0.1, 19 bits of 192 with a deviation of 4.2; 44 lie six deviations off.
+SIMILAR = Scheme(words=5, planes=3, max_bits=44)
+#: Keys of a sketch, of so many minima each: at 0.8 a pair shares none with a chance of (1 - 0.8**5)**32 = 3e-6.
+BANDS, BAND = 32, 5
 
 _MIX = np.array([1, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], dtype=np.uint64)
 #: Shingles whose bits are counted at once; bounds memory on very long texts.
@@ -245,10 +249,10 @@ def _tiled(rows: DataFrame, scheme: Scheme) -> DataFrame:
     return dealt.groupBy("key", "i", "j").applyInPandas(compared, "a long, b long")
 
 
-def links(nodes: DataFrame, scheme: Scheme) -> DataFrame:
-    """Links (a, b) that join what the scheme links, among rows (node, f0, ...) of distinct fingerprints."""
+def links(nodes: DataFrame, scheme: Scheme, keyed: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) that join what the scheme links, among rows (node, f0, ...) of distinct fingerprints. keyed: rows (key, node, f0, ...) in place of the scheme's own keys."""
     names = [f"f{i}" for i in range(scheme.planes)]
-    keyed = nodes.select("node", *names).mapInArrow(_keyed(scheme), "key long, node long, " + ", ".join(f"{n} long" for n in names))
+    keyed = keyed if keyed is not None else nodes.select("node", *names).mapInArrow(_keyed(scheme), "key long, node long, " + ", ".join(f"{n} long" for n in names))
     met = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_met(scheme), "kind int, key long, a long, b long, " + ", ".join(f"{n} long" for n in names)), "met")
     found = met.where("kind = 0").select("a", "b")
     late = met.where("kind = 1")
@@ -275,26 +279,49 @@ def simhash_groups(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_i
     return prints.withColumn("node", node).join(of.hint("merge"), "node").select("doc_id", *names, "component_id")
 
 
+_ODD, _FLIP = (np.random.default_rng(k).integers(0, 2**32, size=192, dtype=np.uint32) for k in (5, 6))
+_ODD |= np.uint32(1)
+
+
+def sketch(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Three words of one-bit minima of the set, and its keys; an empty set has those of no minimum."""
+    low = np.full(len(_ODD), 2**32 - 1, dtype=np.uint32)
+    short = (shingles >> np.uint64(32)).astype(np.uint32)
+    for start in range(0, len(short), 4096):
+        part = short[None, start : start + 4096] ^ _FLIP[:, None]
+        part *= _ODD[:, None]
+        np.minimum(low, part.min(axis=1), out=low)
+    mixed = (low.astype(np.uint64) + np.arange(len(low), dtype=np.uint64) * _MIX[1]) * _MIX[2]
+    mixed ^= mixed >> np.uint64(29)
+    mixed *= _MIX[3]
+    keys = np.zeros(BANDS, dtype=np.uint64)
+    for column in mixed[: BANDS * BAND].reshape(BANDS, BAND).T:
+        keys = (keys ^ column) * _MIX[1]
+        keys ^= keys >> np.uint64(31)
+    return np.packbits((mixed >> np.uint64(63)).astype(np.uint8), bitorder="little").view("<u8").astype(np.uint64), keys
+
+
 def _nodes(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of all documents, and (node, f0, ..., least) of each shingle set, with its smallest id."""
+    """(doc_id, node) of all documents, and (node, f0, f1, f2, keys, least) of each shingle set, with its smallest id."""
     names = [f"f{i}" for i in range(scheme.planes)]
 
     def named(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(rows):
-            texts = batch.column(1).to_pylist()
-            f = np.array([fingerprint(t, scheme) for t in texts], dtype=np.uint64).view(np.int64)
-            node = pa.array([node_of(shingle_set(t, scheme.words)) for t in texts], type=pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), node, *(pa.array(f[:, i]) for i in range(scheme.planes))], names=["doc_id", "node", *names])
+            sets = [shingle_set(t.as_py(), scheme.words) for t in batch.column(1)]
+            f, keys = (np.stack(x).view(np.int64) for x in zip(*map(sketch, sets), strict=True))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(s) for s in sets], type=pa.int64()), *(pa.array(f[:, i]) for i in range(scheme.planes)), lists], names=["doc_id", "node", *names, "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(named, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(named, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
     prints = written(rows, "prints")
-    return prints.select("doc_id", "node"), written(prints.groupBy("node").agg(*[F.first(n).alias(n) for n in names], F.min("doc_id").alias("least")), "nodes")
+    return prints.select("doc_id", "node"), written(prints.groupBy("node").agg(*[F.first(n).alias(n) for n in (*names, "keys")], F.min("doc_id").alias("least")), "nodes")
 
 
 def near_groups(docs: DataFrame, scheme: Scheme) -> DataFrame:
-    """Rows (doc_id, component_id), one for each row of docs: components of documents whose shingle sets are near (near_copies.LEAST); what the scheme links are only the candidates."""
+    """Rows (doc_id, component_id), one for each row of docs: components of documents whose shingle sets are near (near_copies.LEAST); what their sketches link are only the candidates."""
     of, nodes = _nodes(docs, scheme)
-    roots = verified(docs, nodes, connected_components(links(nodes, scheme)), scheme.words)
+    keyed = nodes.select(F.explode("keys").alias("key"), "node", *[f"f{i}" for i in range(scheme.planes)])
+    roots = verified(docs, nodes, connected_components(links(nodes, scheme, keyed)), scheme.words)
     rooted = written(nodes.select("node", "least").join(roots.hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least"), "rooted")
     component = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component")
     ids = written(rooted.select("node", "root").join(component.hint("merge"), "root").select("node", "component_id"), "components")

@@ -77,3 +77,18 @@ def test_limit_is_exact():
     assert near_copies.near_pairs([a[:8], a[:8] + np.uint64(1)]) == []  # 7 of 9
     assert near_copies.near_pairs([a[:4], a[:5]]) == [(0, 1)]  # 4 of 5
     assert near_copies.near_pairs([a[:0], a[:5]]) == []
+
+
+def test_near_copies_at_the_limit_go(spark):
+    pairs = [at_similarity(s, 21) for s in range(150)]
+    assert all(0.8 <= jaccard(*p) < 0.82 for p in pairs)
+    assert {r.doc_id for r in simhash.kept_documents(frame(spark, [t for p in pairs for t in p])).collect()} == set(range(0, 300, 2))
+
+
+def test_sketch_bits_follow_similarity():
+    rng, far = np.random.default_rng(1), []
+    for n in (5, 100, 2000):
+        for _ in range(100):
+            a = rng.integers(0, 2**64, size=n, dtype=np.uint64)
+            far.append(np.bitwise_count(simhash.sketch(a)[0] ^ simhash.sketch(a[: n * 4 // 5])[0]).sum())
+    assert 17 < np.mean(far) < 21.5 and max(far) <= simhash.SIMILAR.max_bits

@@ -63,10 +63,40 @@ def near_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-def _sets(words: int):
+#: Bits (as a power of two) of the filter that spares most texts the second reading; what it lets through wrongly is joined away.
+FILTER_BITS = 23
+
+
+def _slots(ids: np.ndarray) -> np.ndarray:
+    """The filter's bit of each id."""
+    return ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+
+
+def _filter(ids: DataFrame) -> np.ndarray:
+    """A bit for each slot that an id of the table takes, 1 MB however many they are."""
+
+    def taken(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(1 << FILTER_BITS, dtype=bool)
+        for batch in batches(rows):
+            own[_slots(batch.column(0).to_numpy())] = True
+        words = np.packbits(own).view(np.int64)
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
+
+    words = np.zeros((1 << FILTER_BITS) // 64, dtype=np.int64)
+    for r in ids.mapInArrow(taken, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toLocalIterator():
+        words[r["at"]] = r["word"]
+    return words.view(np.uint8)
+
+
+def _sets(words: int, some: np.ndarray):
+    """Rows (node, shingles) of the texts whose id may be among some; of a null id, all."""
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(some).view(bool)
         for batch in text_batches(rows):
-            made = [shingle_set(t.as_py(), words) for t in batch.column(0)]
+            batch = batch.filter(pa.array(bits[_slots(batch.column(0).fill_null(0).to_numpy())] | batch.column(0).is_null().to_numpy(zero_copy_only=False)))
+            made = [shingle_set(t.as_py(), words) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in made], type=pa.int64()), pa.array([s.view(np.int64) for s in made], type=pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return run
@@ -74,11 +104,15 @@ def _sets(words: int):
 
 def _decided(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Over rows (root, i, j, node, shingles) sorted by the first three: the links (a, b) of each run."""
-    key, nodes, sets = None, [], []
+    key, nodes, sets, links = None, [], [], []
+
+    def settle() -> None:
+        links.extend((nodes[i], nodes[j]) for i, j in (near_pairs(sets) if len(sets) > 1 else ()))
 
-    def links() -> pa.RecordBatch:
-        found = near_pairs(sets) if len(sets) > 1 else []
-        return pa.RecordBatch.from_arrays([pa.array([nodes[x[k]] for x in found], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
+    def given() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], type=pa.int64()) for k in (0, 1)], names=["a", "b"])
+        links.clear()
+        return out
 
     for batch in batches(rows):
         at = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in range(3)], axis=1)
@@ -86,11 +120,13 @@ def _decided(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
         for r in range(len(at)):
             if (now := tuple(at[r])) != key:
-                yield links()
+                settle()
                 key, nodes, sets = now, [], []
             nodes.append(own[r])
             sets.append(flat[offsets[r] : offsets[r + 1]].copy())
-    yield links()
+        yield given()
+    settle()
+    yield given()
 
 
 def verified(docs: DataFrame, nodes: DataFrame, roots: DataFrame, words: int) -> DataFrame:
@@ -99,9 +135,9 @@ def verified(docs: DataFrame, nodes: DataFrame, roots: DataFrame, words: int) ->
     docs: (doc_id, text). nodes: (node, least) with the id of one of its documents, null if none has one. roots: (node, root) of the candidates.
     """
     roots = written(roots, "candidates")
-    ids = written(nodes.select("node", "least").join(roots.hint("merge"), "node").where("least is not null").select(F.col("least").alias("doc_id")).distinct(), "candidate-ids")
-    texts = docs.where("doc_id is not null").join(ids.hint("merge"), "doc_id", "left_semi").select("text").unionAll(docs.where("doc_id is null").select("text"))
-    sets = texts.mapInArrow(_sets(words), "node long, shingles array<long>").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    ids = nodes.select("node", "least").join(roots.hint("merge"), "node").where("least is not null").select("least")
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets(words, _filter(ids)), "node long, shingles array<long>")
+    sets = written(read.join(roots.hint("merge"), "node", "left_semi"), "read").groupBy("node").agg(F.first("shingles").alias("shingles"))
     rows = written(sets.join(roots.hint("merge"), "node").select("root", "node", "shingles"), "sets")
     tiles = rows.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum(F.size("shingles")) / TILE_SHINGLES, F.lit(1))).cast("int").alias("n"))
     dealt = rows.join(written(tiles, "tiles").hint("merge"), "root").withColumn("t", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))

@@ -20,10 +20,13 @@ PLANES_SCHEMA = "fid {fid}, plane_id int, nx double, ny double, nz double, d dou
 
 
 def triples(n: int, iterations: int, seed: int) -> np.ndarray:
-    """Three positions below n for each iteration, repeats left out: a fixed rule instead of a random generator."""
-    i = np.arange(iterations, dtype=np.int64)
-    picked = np.stack([(i * 7919 + seed * 31) % n, (i * 104729 + seed * 17 + 1) % n, (i * 1299709 + seed * 7 + 2) % n], axis=1)
-    return picked[(picked[:, 0] != picked[:, 1]) & (picked[:, 0] != picked[:, 2]) & (picked[:, 1] != picked[:, 2])]
+    """Three different positions below n for each iteration, each triple as likely as another; the same for the same n and seed. None where n < 3."""
+    if n < 3:
+        return np.zeros((0, 3), dtype=np.int64)
+    first, second, third = np.random.default_rng([seed, n]).integers(0, [[n], [n - 1], [n - 2]], size=(3, iterations))
+    second = second + (second >= first)
+    third = third + (third >= np.minimum(first, second))
+    return np.stack([first, second, third + (third >= np.maximum(first, second))], axis=1)
 
 
 def _slope(nz: np.ndarray) -> np.ndarray:
@@ -108,7 +111,7 @@ def merged_planes(points: np.ndarray, planes: list, config: RansacConfig) -> lis
 
 
 def seed_of(fid) -> int:
-    return int(fid) if isinstance(fid, (int, np.integer)) else zlib.crc32(str(fid).encode())
+    return int(fid) % 2**64 if isinstance(fid, (int, np.integer)) else zlib.crc32(str(fid).encode())
 
 
 def detect_planes(cropped: DataFrame, config: RansacConfig = RansacConfig(), most: int = MOST_PLANES) -> DataFrame:

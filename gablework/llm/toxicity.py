@@ -33,7 +33,7 @@ _ADDRESS = frozenset("you your youre du dein ihr tú eres usted tu vous es".spli
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled documents that are learned from, about, at most. terms: of the lexicon at most, the most telling. least_docs, least_share, least_contexts, least_odds: what a word needs to enter (toxic documents, their share, different words before it, log odds). least_near: log odds from which a term's misspellings count. threshold: score from which a document is rejected. window: words to either side of a hit. quoted, reported, addressed: factors of a hit's worth. held_out: the fold (modulus, remainder) never learned from."""
+    """sample: labelled documents that are learned from, about, at most. terms: of the lexicon at most, the most telling. least_docs, least_share, least_contexts, least_odds: what a word needs to enter (toxic documents, their share, different words before it, log odds). least_near: log odds from which a misspelled form that clean documents have counts. least_clean: clean documents from which a form is held to that. near: a misspelled hit's share of its term's worth. threshold: score from which a document is rejected. window: words to either side of a hit. quoted, reported, addressed: factors of a hit's worth. held_out: the fold (modulus, remainder) never learned from."""
 
     sample: int = 20_000
     terms: int = 2_000
@@ -42,6 +42,8 @@ class Settings:
     least_odds: float = 2.5
     least_share: float = 0.01
     least_near: float = 1.0
+    least_clean: int = 2
+    near: float = 0.25
     threshold: float = 0.7
     window: int = 6
     quoted: float = 0.35
@@ -131,12 +133,13 @@ class LexiconAutomaton:
 
 @dataclass
 class Model:
-    """terms: the worth of each term's exact hits and of its misspelled ones. bias, slope: of the calibration over log(1 + evidence)."""
+    """terms: the worth of each term's exact hits and of its misspelled ones. innocent: words near a term that clean documents use; they don't count. bias, slope: of the calibration over log(1 + evidence)."""
 
     terms: dict[str, tuple[float, float]]
     bias: float
     slope: float
     settings: Settings
+    innocent: frozenset[str] = frozenset()
     _made: dict = field(default_factory=dict, repr=False)
 
     def __getstate__(self):
@@ -155,7 +158,7 @@ class Model:
             known.clear()
         for w in seen.difference(known):
             known[w] = True
-            if len(w) <= 64 and (found := automaton.match(w)):
+            if len(w) <= 64 and (found := automaton.match(w)) and not (found[0] and w in self.innocent):
                 hit[w] = found
         if hit.keys().isdisjoint(seen):
             return []
@@ -246,7 +249,23 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
         if v >= settings.least_odds and contexts >= min(12, max(settings.least_contexts, 0.4 * n)):
             odds[w] = min(8.0, v)
     best = sorted(odds, key=lambda w: (-odds[w] * math.log1p(in_toxic[w][0]), w))[: settings.terms]
-    model = Model({w: (odds[w], 2.0) for w in best}, 0.0, 1.0, settings)
+    model = Model({w: (odds[w], settings.near * odds[w]) for w in best}, 0.0, 1.0, settings)
+
+    def misspelled(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs = {0: Counter(), 1: Counter()}
+        for batch in text_batches(rows):
+            for y, text in zip(column_of(batch, "y").to_pylist(), texts_of(batch), strict=True):
+                lowered = text.lower()
+                docs[y].update({lowered[a:b] for _, e, _, a, b in model.hits(text) if e})
+        words = sorted(docs[0].keys() | docs[1].keys())
+        yield pa.RecordBatch.from_arrays([pa.array(words, type=pa.string()), *(pa.array([docs[y][w] for w in words], type=pa.int64()) for y in (0, 1))], names=["word", "n0", "n1"])
+
+    # a form that clean documents use is a word of its own unless toxic ones use it far more; all others are worth a fixed share
+    forms = sample.select("y", "text").mapInArrow(misspelled, "word string, n0 long, n1 long").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    common = forms.where(F.col("n0") >= settings.least_clean)
+    told = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
+    model.innocent = frozenset(r["word"] for r in common.where(told < settings.least_near).select("word").collect())
+    model._made.clear()
 
     def found(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(rows):
@@ -256,13 +275,6 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
 
     seen = sample.select("y", "text").mapInArrow(found, "y int, hits array<struct<term string, edits int, factor double>>")
     rows = [(r["y"], [(h["term"], h["edits"], h["factor"], 0, 0) for h in r["hits"]]) for r in seen.where(F.size("hits") > 0).collect()]
-    # a term's misspellings are worth their own odds, shrunk to the odds of the labels where neither kind has them
-    near = {0: Counter(), 1: Counter()}
-    for y, hits in rows:
-        near[y].update({t for t, e, *_ in hits if e})
-    for w, (exact, _) in list(model.terms.items()):
-        v = math.log((near[1][w] + 0.5) / (n1 + 1)) - math.log((near[0][w] + 0.5) / (n0 + 1))
-        model.terms[w] = (exact, min(v, 0.7 * exact) if v >= settings.least_near else 0.0)
     x = np.array([math.log1p(model.evidence(h)) for _, h in rows] + [0.0] * (n1 + n0 - len(rows)))
     plain = n1 - sum(y for y, _ in rows)
     y = np.array([y for y, _ in rows] + [1] * plain + [0] * (n1 + n0 - len(rows) - plain), dtype=float)

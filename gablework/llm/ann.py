@@ -168,16 +168,24 @@ def _search(k: int):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         x, q = matrix(left["embedding"]), matrix(right["query"])
         ids, query_ids = left["vec_id"].to_numpy(), right["query_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        x, ids = x[order], ids[order]
+        heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # rows that repeat an id count as one
         half, out = (x * x).sum(axis=1), []
         for start in range(0, len(q), 128):
             part = q[start : start + 128]
             rough = half[None, :] - 2 * (part @ x.T) + (part * part).sum(axis=1)[:, None]
             rough[query_ids[start : start + 128, None] == ids[None, :]] = np.inf
-            most = min(k, len(x)) - 1
+            most = min(k, len(heads)) - 1
+            least = rough if len(heads) == len(x) else np.minimum.reduceat(rough, heads, axis=1)
             # all that rounding could bring among the nearest; equal distances stay in, for the smaller id
-            edge = np.partition(rough, most, axis=1)[:, most]
+            edge = np.partition(least, most, axis=1)[:, most]
             i, j = np.nonzero((rough <= (edge + 1e-9 * (1 + np.abs(edge)))[:, None]) & np.isfinite(rough))
             exact = np.sqrt(((x[j] - part[i]) ** 2).sum(axis=1))
+            order = np.lexsort((exact, ids[j], i))
+            i, j, exact = i[order], j[order], exact[order]
+            once = np.append(True, (i[1:] != i[:-1]) | (ids[j[1:]] != ids[j[:-1]]))[: len(i)]
+            i, j, exact = i[once], j[once], exact[once]
             order = np.lexsort((ids[j], exact, i))
             i, j, exact = i[order], j[order], exact[order]
             first = np.searchsorted(i, i, side="left")

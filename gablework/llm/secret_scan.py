@@ -2,9 +2,10 @@
 
 Three base kinds are fixed patterns. Beside them a small lexer reads name-literal pairs around every assignment sign
 (= := => :), in the syntaxes that source and configuration files share: quoted or bare names and keys, string literals
-joined by + or standing side by side, bare values. A bare value that names an earlier constant takes that constant's
-literal (constants propagate through chains of names). A pair counts as a secret by a score of the name's sensitive
-words and the literal's length, character classes and entropy, less what marks placeholders.
+joined by + or standing side by side (over several lines within brackets), bare values. A bare value that names an
+earlier constant takes that constant's literal (constants propagate through chains of names), as a summary that joins
+in constant time. A pair counts as a secret by a score of the name's sensitive words and the literal's length,
+character classes and entropy, less what marks placeholders.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gablework.llm.common import column_of, text_batches, texts_of
 
@@ -56,75 +58,133 @@ class Span:
 
 
 _SIGN = re.compile(r":=|=>|[=:]")
-_NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_.\-]{0,79})[\"'\])]{0,2}[\x20\t]*\Z")
+#: A name and what may close it, read backwards from a sign.
+_NAME_BACK = re.compile(r"[\x20\t]*[\"'\])]{0,2}([A-Za-z0-9_.\-]*[A-Za-z_])")
+_OPEN = re.compile(r"[\x20\t]*(?:([(\[])[\x20\t]*)?(?:\\?\r?\n[\x20\t]*)?(?=[\"'`])")
 _TERM = re.compile(r"[\x20\t]*(?:\"((?:[^\"\\\n]|\\.)*)\"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9_+/.=\-$@!%^&*~]+))")
 _JOIN = re.compile(r"[\x20\t]*(?:\+[\x20\t]*)?(?=[\"'`])|[\x20\t]*\+[\x20\t]*")
+#: The same within brackets, where lines may end between the parts.
+_JOIN_LINES = re.compile(r"[\x20\t\r\n]*(?:\+[\x20\t\r\n]*)?(?=[\"'`])|[\x20\t]*\+[\x20\t]*")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
-_PLACEHOLDER = re.compile(r"example|changeme|placeholder|your|dummy|sample|test|xxx|\*\*\*|\.\.\.|^\$|%s|localhost", re.IGNORECASE)
-_NAME_REACH = 96
+_PLACEHOLDER = re.compile(r"example|changeme|placeholder|your|dummy|sample|test|xxx|\*\*\*|\.\.\.|%s|localhost", re.IGNORECASE)
+#: One character less than the longest placeholder: what a join has to look at on either side.
+_REACH = 10
+_CLASSES = [re.compile(c) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]")]
+#: Length beyond which a literal's numbers are scaled down; only their proportions count there.
+_LONG = 1e200
 
 
 @dataclass(frozen=True)
-class Pair:
-    """A name and its literal; start and end: where the literal stands (of a propagated one: where it was written)."""
-
-    name: str
-    literal: str
-    start: int
-    end: int
+class Summary:
+    """What the score asks of a literal. Two summaries join in the same time however long their literals are, so constants that double line by line cost no more than their text.
 
+    counts: of characters, by code point modulo 256. head, tail: the first and last characters. classes: which kinds of characters there are.
+    """
 
-def pairs(text: str) -> Iterator[Pair]:
-    """The name-literal pairs of a text in order, constants propagated."""
-    constants: dict[str, Pair] = {}
-    at = 0
+    length: float
+    counts: dict[int, float]
+    classes: frozenset[int]
+    head: str
+    tail: str
+    spaced: bool
+    placeholder: bool
+
+    @staticmethod
+    def of(text: str) -> Summary:
+        counts: dict[int, float] = {}
+        for c, n in Counter(text).items():
+            counts[ord(c) % 256] = counts.get(ord(c) % 256, 0.0) + n
+        classes = frozenset(i for i, c in enumerate(_CLASSES) if c.search(text))
+        return Summary(float(len(text)), counts, classes, text[:_REACH], text[-_REACH:], any(map(str.isspace, text)), bool(_PLACEHOLDER.search(text)))
+
+    def joined(self, other: Summary) -> Summary:
+        counts = dict(self.counts)
+        for k, n in other.counts.items():
+            counts[k] = counts.get(k, 0.0) + n
+        length, tail = self.length + other.length, (self.tail + other.tail)[-_REACH:]
+        if length > _LONG:
+            length, counts = length / 1e100, {k: n / 1e100 for k, n in counts.items()}
+        held = self.placeholder or other.placeholder or bool(_PLACEHOLDER.search(self.tail + other.head))
+        return Summary(length, counts, self.classes | other.classes, (self.head + other.head)[:_REACH], tail, self.spaced or other.spaced, held)
+
+
+class Literal:
+    """A literal and where it stands; its summary is made when it is asked for."""
+
+    __slots__ = ("start", "end", "length", "_text", "_summary")
+
+    def __init__(self, start: int, end: int, text: str | None = None, summary: Summary | None = None):
+        self.start, self.end, self._text, self._summary = start, end, text, summary
+        self.length = len(text) if summary is None else summary.length
+
+    @property
+    def summary(self) -> Summary:
+        if self._summary is None:
+            self._summary, self._text = Summary.of(self._text), None
+        return self._summary
+
+
+def _whole(parts: list[Literal]) -> Literal:
+    """The parts as one literal; of parts written far apart, the longest says where it stands."""
+    if len(parts) == 1:
+        return parts[0]
+    summary = parts[0].summary
+    for p in parts[1:]:
+        summary = summary.joined(p.summary)
+    start, end = min(p.start for p in parts), max(p.end for p in parts)
+    if end - start > 4 * summary.length + 16:
+        longest = max(parts, key=lambda p: p.length)
+        start, end = longest.start, longest.end
+    return Literal(start, end, summary=summary)
+
+
+def pairs(text: str) -> Iterator[tuple[str, Literal]]:
+    """The name-literal pairs of a text in order, constants propagated. A literal of joined parts may stand on several lines if brackets hold it; a propagated one stands where it was written."""
+    constants: dict[str, Literal] = {}
+    at = before = read = 0
     while sign := _SIGN.search(text, at):
         at = sign.end()
-        named = _NAME.search(text[max(0, sign.start() - _NAME_REACH) : sign.start()])
+        named = _NAME_BACK.match(text[before : sign.start()][::-1])
+        before = at
         if not named:
             continue
-        name, values, start, end = named[1], [], None, at
+        name, parts, end = named[1][::-1], [], at
+        opened = _OPEN.match(text, end)
+        if opened:
+            end = opened.end()
+        join = _JOIN_LINES if opened and opened[1] else _JOIN
+        inside = sign.start() < read  # within a literal that was read: its own pairs are read too, but not chained, so the time stays linear
         while term := _TERM.match(text, end):
             group = term.lastindex
-            if group is None:
-                break
-            if group == 4 and term[4] in constants:
-                known = constants[term[4]]
-                values.append(known)
-            else:
-                values.append(Pair(name, term[group], term.start(group), term.end(group)))
-            start = term.start(group) if start is None else start
+            known = constants.get(term[4]) if group == 4 else None
+            parts.append(known or Literal(term.start(group), term.end(group), term[group]))
             end = term.end()
-            joined = _JOIN.match(text, end)
+            joined = None if inside else join.match(text, end)
             if not joined or (group == 4 and "+" not in joined[0]):
                 break
             end = joined.end()
-        if not values:
+        if not parts:
             continue
         if group == 4:
-            at = end  # signs within a bare value are its own, so each character is read once
-        whole = Pair(name, "".join(v.literal for v in values), min(v.start for v in values), max(v.end for v in values))
-        if len(values) > 1 and whole.end - whole.start > 4 * len(whole.literal) + 16:  # parts written far apart: the longest stands for them
-            longest = max(values, key=lambda v: len(v.literal))
-            whole = Pair(name, whole.literal, longest.start, longest.end)
-        constants[name] = whole
-        yield whole
+            at = max(at, end)  # signs within a bare value are its own, so each character is read once
+        read = max(read, end)
+        constants[name] = whole = _whole(parts)
+        yield name, whole
 
 
-def literal_score(pair: Pair, scoring: Scoring = Scoring()) -> float:
+def literal_score(name: str, literal: Literal, scoring: Scoring = Scoring()) -> float:
     """How likely the pair is a secret: at the threshold and above it counts as one."""
-    value = pair.literal
-    if len(value) < scoring.least or any(c.isspace() for c in value) or _PLACEHOLDER.search(value):
+    if literal.length < scoring.least:
         return 0.0
     worth = dict(scoring.words)
-    parts = [p.lower() for p in _PART.findall(pair.name)]
-    name = min(2.5, sum(worth.get(p, 0.0) for p in parts))
-    if not name:
+    named = min(2.5, sum(worth.get(p.lower(), 0.0) for p in _PART.findall(name)))
+    if not named:
+        return 0.0
+    s = literal.summary
+    if s.spaced or s.placeholder or s.head.startswith("$"):
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
-    return name + min(1.0, len(value) / 24) + 0.35 * (classes - 1) + 0.25 * max(0.0, entropy - 2.5)
+    entropy = -sum(n / s.length * math.log2(n / s.length) for n in s.counts.values() if n)
+    return named + min(1.0, s.length / 24) + 0.35 * (len(s.classes) - 1) + 0.25 * max(0.0, entropy - 2.5)
 
 
 def spans_of(text: str, scoring: Scoring = Scoring()) -> list[Span]:
@@ -138,7 +198,7 @@ def spans_of(text: str, scoring: Scoring = Scoring()) -> list[Span]:
     found += [Span("hex", m.start(), m.end(), m.start(), m.end()) for m in _HEX.finditer(text)]
     if signed:
         known = [(s.start, s.end) for s in found]
-        fresh = {(p.start, p.end) for p in pairs(text) if literal_score(p, scoring) >= scoring.threshold}
+        fresh = {(v.start, v.end) for name, v in pairs(text) if literal_score(name, v, scoring) >= scoring.threshold}
         found += [Span("literal", a, b, a, b) for a, b in fresh if not any(s <= a and b <= e for s, e in known)]
     return sorted(found, key=lambda s: (s.start, KINDS.index(s.kind), s.end))
 
@@ -182,8 +242,12 @@ def scanned(docs: DataFrame, scoring: Scoring = Scoring(), id_col: str = "doc_id
 
 
 def redacted_documents(docs: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
-    """docs with the secrets of text replaced by a mark; n_chars, if there is one, follows. All rows and columns stay; null texts stay null."""
-    schema, n_chars = docs.schema, "n_chars" in docs.columns
+    """docs with the secrets of text replaced by a mark; n_chars, if there is one, follows.
+
+    All rows and columns stay as they are, null and repeated ids too; null texts stay null, empty ones empty, and an
+    empty table gives no rows.
+    """
+    schema, n_chars = StructType.fromJson(docs.schema.jsonValue()), "n_chars" in docs.columns
     schema["text"].nullable = True
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,7 +12,7 @@ large partition nor many queries meet in one task.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -21,15 +21,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gablework.llm.common import batches, column_of, written
-from gablework.llm.vectors import is_usable, matrix
+from gablework.llm.vectors import distances, is_usable, matrix, rows_of
 
 
 @dataclass(frozen=True)
 class Settings:
-    """neighbours: returned for each query. partitions: of the index. sample_values: numbers in the sample that the index is fitted on, at most; sample_rows: its vectors, at most. graph: neighbours in the graph. hidden: units of the network. recall: aimed at on held-out sample queries. chunk: candidates of a task, about; block: its queries, about."""
+    """neighbours: returned for each query. partitions: of the index, at least; partition_rows: rows for which it gets another one, up to most_partitions. sample_values: numbers in the sample that the index is fitted on, at most; sample_rows: its vectors, at most. graph: neighbours in the graph. hidden: units of the network. recall: aimed at on held-out sample queries. chunk: candidates of a task, about; block: its queries, about."""
 
     neighbours: int = 10
     partitions: int = 16
+    partition_rows: int = 50_000
+    most_partitions: int = 256
     sample_values: int = 1_000_000
     sample_rows: int = 8_192
     graph: int = 10
@@ -116,23 +118,31 @@ class Router:
 
 @dataclass
 class Index:
-    """router: None if there are too few vectors for partitions. probes: partitions that a query is sent to."""
+    """router: None if there are too few vectors for partitions. probes: partitions that a query is sent to. centre, size: vectors are routed by their difference from the sample's mean, over its largest."""
 
     router: Router | None
     parts: int
     probes: int
+    centre: np.ndarray | float = 0.0
+    size: float = 1.0
 
     def route(self, x: np.ndarray, probes: int) -> np.ndarray:
         if self.router is None:
             return np.zeros((len(x), 1), dtype=np.int32)
+        x = np.clip((x - self.centre) / self.size, -1e6, 1e6)
         return np.argsort(-self.router.probabilities(x), axis=1, kind="stable")[:, :probes].astype(np.int32)
 
 
-def fit_index(sample: np.ndarray, settings: Settings = Settings()) -> Index:
-    """The index of a sample: an eighth of it are the queries that decide on the number of probes."""
+def fit_index(sample: np.ndarray, settings: Settings = Settings(), rows: int = 0) -> Index:
+    """The index of a sample of a table of so many rows: an eighth of the sample are the queries that decide on the number of probes."""
     rng, k = np.random.default_rng(settings.seed), settings.neighbours
-    if len(sample) < max(16 * settings.partitions, 8 * k):
+    parts = max(settings.partitions, min(settings.most_partitions, rows // settings.partition_rows, len(sample) // 16))
+    if len(sample) < max(16 * parts, 8 * k):
         return Index(None, 1, 1)
+    settings = replace(settings, partitions=parts)
+    centre = sample.mean(axis=0)
+    scale = float(np.abs(sample - centre).max()) or 1.0
+    sample = (sample - centre) / scale
     held = np.arange(len(sample)) % 8 == 7
     x, queries = sample[~held], sample[held]
     graph = nearest(x, x, settings.graph, np.arange(len(x)))
@@ -143,25 +153,41 @@ def fit_index(sample: np.ndarray, settings: Settings = Settings()) -> Index:
         np.add.at(target, (np.arange(len(x)), part[graph[:, c]]), 1.0)
     router = Router(x.shape[1], settings.hidden, settings.partitions, rng)
     router.fit(x, target / target.sum(axis=1, keepdims=True), settings.epochs, rng)
-    index = Index(router, settings.partitions, settings.partitions)
+    index = Index(router, settings.partitions, settings.partitions)  # of the sample as it is now; centre and scale follow
     home, truth, routed = index.route(x, 1)[:, 0], nearest(x, queries, k), index.route(queries, settings.partitions)
     rank = np.argsort(routed, axis=1)[np.arange(len(queries))[:, None], home[truth]]
     for index.probes in range(1, settings.partitions + 1):
         if (rank < index.probes).mean() >= settings.recall:
             break
+    index.centre, index.size = centre, scale
     return index
 
 
 def _spread(rows: DataFrame, index: Index, probes: int, names: tuple[str, str], kind: str) -> DataFrame:
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
-            routed = index.route(matrix(batch.column(1).to_pylist()), probes)
+            routed = index.route(rows_of(batch.column(1)), probes)
             at = pa.array(np.repeat(np.arange(batch.num_rows), routed.shape[1]))
             yield pa.RecordBatch.from_arrays([pa.array(routed.ravel()), batch.column(0).take(at), batch.column(1).take(at)], names=["part", *names])
 
     return rows.mapInArrow(run, f"part int, {names[0]} long, {names[1]} {kind}")
 
 
+#: Pairs whose exact distance is taken at once; bounds memory.
+_EXACT = 16_384
+
+
+def _near_origin(x: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Candidates and queries by their difference from the candidates' middle, by a power of two so that no square overflows; and the share of their squares that rounding can move a squared distance by."""
+    width = x.shape[1]
+    power = int(np.frexp(max(np.abs(x).max(initial=0.0), np.abs(q).max(initial=0.0)))[1])
+    x, q = np.ldexp(x, -power), np.ldexp(q, -power)
+    centre = np.median(x[:: max(1, len(x) // 512)], axis=0)
+    x, q = x - centre, q - centre
+    power = int(np.frexp(max(np.abs(x).max(initial=0.0), np.abs(q).max(initial=0.0)))[1])
+    return np.ldexp(x, -power), np.ldexp(q, -power), (2 * width + 16) * 2.0**-52
+
+
 def _search(k: int):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -171,17 +197,21 @@ def _search(k: int):
         order = np.argsort(ids, kind="stable")
         x, ids = x[order], ids[order]
         heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # rows that repeat an id count as one
-        half, out = (x * x).sum(axis=1), []
+        near_x, near_q, allowed = _near_origin(x, q)
+        half, out = (near_x * near_x).sum(axis=1), []
         for start in range(0, len(q), 128):
-            part = q[start : start + 128]
-            rough = half[None, :] - 2 * (part @ x.T) + (part * part).sum(axis=1)[:, None]
-            rough[query_ids[start : start + 128, None] == ids[None, :]] = np.inf
+            part = near_q[start : start + 128]
+            own = (part * part).sum(axis=1)
+            rough = half[None, :] - 2 * (part @ near_x.T) + own[:, None]
+            slack = allowed * (half[None, :] + own[:, None])  # what rounding can have moved it by
+            other = query_ids[start : start + 128, None] != ids[None, :]
+            most_far = np.where(other, rough + slack, np.inf)
             most = min(k, len(heads)) - 1
-            least = rough if len(heads) == len(x) else np.minimum.reduceat(rough, heads, axis=1)
+            least = most_far if len(heads) == len(x) else np.minimum.reduceat(most_far, heads, axis=1)
             # all that rounding could bring among the nearest; equal distances stay in, for the smaller id
             edge = np.partition(least, most, axis=1)[:, most]
-            i, j = np.nonzero((rough <= (edge + 1e-9 * (1 + np.abs(edge)))[:, None]) & np.isfinite(rough))
-            exact = np.sqrt(((x[j] - part[i]) ** 2).sum(axis=1))
+            i, j = np.nonzero((rough - slack <= edge[:, None]) & other)
+            exact = np.concatenate([distances(x[j[at : at + _EXACT]], q[start + i[at : at + _EXACT]]) for at in range(0, max(1, len(i)), _EXACT)])
             order = np.lexsort((exact, ids[j], i))
             i, j, exact = i[order], j[order], exact[order]
             once = np.append(True, (i[1:] != i[:-1]) | (ids[j[1:]] != ids[j[:-1]]))[: len(i)]
@@ -214,7 +244,7 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, settings: Settings
     most = max(1, min(settings.sample_rows, settings.sample_values // width))
     share = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / n))
     sample = sorted((r["vec_id"], tuple(r["embedding"])) for r in rows.where(share).collect())
-    index = fit_index(matrix([v for _, v in sample]), settings)
+    index = fit_index(matrix([v for _, v in sample]), settings, n)
     kind = dict(rows.dtypes)["embedding"]
     indexed = written(_spread(rows, index, 1, ("vec_id", "embedding"), kind), "index")
     queries = _spread(rows.where(is_query), index, index.probes, ("query_id", "query"), kind)

@@ -23,15 +23,17 @@ from pyspark.sql import functions as F
 
 from gablework.llm.common import batches, column_of, written
 from gablework.llm.components import connected_components, forest
-from gablework.llm.vectors import is_usable, matrix
+from gablework.llm.vectors import at_one, is_usable, matrix, rows_of
 
 
 @dataclass(frozen=True)
 class Settings:
-    """threshold: least cosine of a link. tile: nodes of a tile, about, at most. lead: dimensions of the first sum; each later sum takes twice as many. slab: rows of a tile that are compared at once."""
+    """threshold: least cosine of a link. tile: nodes of a tile, about, at most; it grows to large_tile for a label that would take over copies tiles, since each row goes to every tile that it meets. lead: dimensions of the first sum; each later sum takes twice as many. slab: rows of a tile that are compared at once."""
 
     threshold: float = 0.93
     tile: int = 2048
+    large_tile: int = 16_384
+    copies: int = 32
     lead: int = 8
     slab: int = 256
 
@@ -42,7 +44,7 @@ def principal_axes(rows: DataFrame, width: int) -> np.ndarray:
     def moments(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((width, width))
         for batch in batches(parts):
-            x = matrix(column_of(batch, "embedding").to_pylist())
+            x = at_one(rows_of(column_of(batch, "embedding")))
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(width * width)), pa.array(total.ravel())], names=["at", "value"])
@@ -58,6 +60,7 @@ def principal_axes(rows: DataFrame, width: int) -> np.ndarray:
 def near_pairs(x: np.ndarray, y: np.ndarray, axes: np.ndarray, settings: Settings = Settings()) -> tuple[np.ndarray, np.ndarray]:
     """Positions (i, j) of the rows of x and of y whose cosine reaches the threshold."""
     width, least = x.shape[1], settings.threshold
+    x, y = at_one(x), at_one(y)
     size_x, size_y = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
     a, b = (x / size_x[:, None]) @ axes, (y / size_y[:, None]) @ axes
     cuts, step = [0], settings.lead
@@ -95,18 +98,19 @@ def _tiles(nodes: DataFrame, axes: np.ndarray, settings: Settings) -> DataFrame:
 
     def placed(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(parts):
-            x = matrix(column_of(batch, "embedding").to_pylist())
+            x = at_one(rows_of(column_of(batch, "embedding")))
             yield batch.append_column("along", pa.array((x / np.linalg.norm(x, axis=1, keepdims=True)) @ first))
 
-    kind = dict(nodes.dtypes)["embedding"]
-    nodes = written(nodes.mapInArrow(placed, f"label int, node long, n long, embedding {kind}, along double"), "placed")
-    sizes = {r["label"]: r["n"] for r in nodes.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(1).collect()}
-    bins = min(512, max(1, math.ceil(max(sizes.values(), default=0) / settings.tile)))
+    kind = dict(nodes.dtypes)
+    nodes = written(nodes.mapInArrow(placed, f"label {kind['label']}, node long, n long, embedding {kind['embedding']}, along double"), "placed")
+    largest = nodes.groupBy("label").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    tile = max(settings.tile, min(settings.large_tile, largest // settings.copies))
+    bins = min(512, max(1, math.ceil(largest / tile)))
     cuts = nodes.groupBy("label").agg(F.percentile_approx("along", [i / bins for i in range(1, bins)] or [0.5], 10_000).alias("cuts"))
     cuts = written(cuts if bins > 1 else cuts.withColumn("cuts", F.slice("cuts", 1, 0)), "cuts")
     bin_of = F.size(F.filter("cuts", lambda c: c < F.col("along")))
     binned = written(nodes.join(cuts, "label").withColumn("bin", bin_of).drop("cuts"), "binned")
-    spans = binned.groupBy("label", "bin").agg(F.min("along").alias("lo"), F.max("along").alias("hi"), F.ceil(F.count("*") / settings.tile).cast("int").alias("tiles"))
+    spans = binned.groupBy("label", "bin").agg(F.min("along").alias("lo"), F.max("along").alias("hi"), F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
     spans = written(spans, "spans")
     reach = math.sqrt(max(0.0, 2 - 2 * settings.threshold)) + 1e-9  # of unit vectors that link, no coordinate differs by more
     other = spans.select("label", F.col("bin").alias("bin2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"), F.col("tiles").alias("tiles2"))
@@ -123,20 +127,22 @@ def duplicate_vectors(vectors: DataFrame, settings: Settings = Settings()) -> Da
     """Rows (vec_id, n_links, component_id, kept), one for each row of vectors (vec_id, embedding, label).
 
     n_links: other rows of the label that link directly. component_id: the smallest vec_id reachable, the own
-    included. kept: whether that is the own. Null vectors, zero vectors, those with null or non-finite components, rows
+    included. kept: whether that is the own. Labels of any type that can be compared. Null vectors, zero vectors, those with null or non-finite components, rows
     of a null label or id, and vectors of another length than most have no links; their component is their own id (null
     if that is), and they are kept. Rows that repeat an id are vectors of their own. An empty table gives no rows.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("int").alias("label"))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label")
     usable = is_usable("embedding") & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
     common = rows.where(usable).groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
     if common is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     width = common["width"]
-    node = F.when(usable & (F.size("embedding") == width), F.xxhash64("label", "embedding"))
-    keyed = rows.withColumn("node", node)
-    nodes = keyed.where("node is not null").groupBy("node").agg(F.first("label").alias("label"), F.count("*").alias("n"), F.first("embedding").alias("embedding"))
-    nodes = written(nodes.select("label", "node", "n", "embedding"), "vectors")
+    takes_part = usable & (F.size("embedding") == width)
+    # two hashes of 64 bits name a vector of a label; a number that is written once stands for them from then on
+    keyed = rows.select("vec_id", "label", "embedding", *[F.when(takes_part, F.xxhash64(F.lit(k), "label", "embedding")).alias(f"h{k}") for k in (1, 2)])
+    nodes = keyed.where("h1 is not null").groupBy("h1", "h2").agg(F.first("label").alias("label"), F.count("*").alias("n"), F.min("vec_id").alias("least"), F.first("embedding").alias("embedding"))
+    named = written(nodes.withColumn("node", F.monotonically_increasing_id()), "vectors")
+    nodes = named.select("label", "node", "n", "embedding")
     axes = principal_axes(nodes, width)
 
     def compared(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -159,11 +165,10 @@ def duplicate_vectors(vectors: DataFrame, settings: Settings = Settings()) -> Da
     found = written(_tiles(nodes, axes, settings).groupBy("label", "i", "j").applyInPandas(compared, "node long, links long, to long"), "links")
     roots = connected_components(found.select(F.col("node").alias("a"), F.col("to").alias("b")))
     counted = written(found.groupBy("node").agg(F.sum("links").alias("links")), "counted")
-    least = keyed.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("least"), F.count("*").alias("n"))
-    joined = least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counted, "node", "left")
-    joined = written(joined.select("node", "root", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "rooted")
+    joined = named.select("node", "h1", "h2", "least", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(counted, "node", "left")
+    joined = written(joined.select("h1", "h2", "root", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links")), "rooted")
     component = written(joined.groupBy("root").agg(F.min("least").alias("component_id")), "component")
-    of = written(joined.join(component.hint("merge"), "root").select("node", "n_links", "component_id"), "of")
-    linked = keyed.where("node is not null").select("vec_id", "node").join(of.hint("merge"), "node").select("vec_id", "n_links", "component_id")
-    alone = keyed.where("node is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    of = written(joined.join(component.hint("merge"), "root").select("h1", "h2", "n_links", "component_id"), "of")
+    linked = keyed.where("h1 is not null").select("vec_id", "h1", "h2").join(of.hint("merge"), ["h1", "h2"]).select("vec_id", "n_links", "component_id")
+    alone = keyed.where("h1 is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

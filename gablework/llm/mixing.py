@@ -5,7 +5,7 @@ training time t in 0..1. The schedule's integral is the source's cumulative dema
 token stream, inverted through that demand, is its training position. Positions of all sources are on one axis, so a
 range sort by position interleaves them as the schedules ask.
 
-A source's stream is its documents in the order of an MD5 of their ids, repeated until the target is met to the word:
+A source's stream is its documents in the order of an MD5 of their ids and texts (so rows of one id, or of none, don't share a bucket), repeated until the target is met to the word:
 whole passes first, then a part of one more, whose last document is cut at a word. Running sums come from sums by
 (source, hash bucket), so no task holds a source.
 """
@@ -73,25 +73,25 @@ def curriculum(docs: DataFrame, mix: Mix = Mix(), carry: tuple[str, ...] = ()) -
 
     taken: words that the mix takes, repeats counted. position: where in training the document first comes, 0 to 1;
     null if it isn't taken. Rows of null ids or texts take part (a null text has 0 words); a null source is a source,
-    the last. Rows that repeat an id are rows of their own, ordered by size and content. An empty table gives no rows.
+    the last. Rows that repeat an id are rows of their own. An empty table gives no rows.
     Carried columns come under the names they have in docs, prefixed by "in_".
     """
-    key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words_of(F.col("text")).alias("size"), key.alias("key"), F.xxhash64(text_of()).alias("content"), *[F.col(c).alias(f"in_{c}") for c in carry])
-    if not carry:
-        sized = written(sized, "sized")
-    sources = written(source_targets(sized, mix), "sources")
+    key = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text_of()).cast("binary"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", words_of(F.col("text")).alias("size"), key.alias("key"), *[F.col(c).alias(f"in_{c}") for c in carry])
+    narrow = written(sized.select("doc_id", "source", "size", "key"), "sized")  # targets and offsets come from it, so texts are read once more at most
+    sized = sized if carry else narrow
+    sources = written(source_targets(narrow, mix), "sources")
     few = sources.count() <= mix.broadcast_sources
     sources = F.broadcast(sources) if few else sources.hint("merge")
-    rows, digits = docs.count(), 2
+    rows, digits = narrow.count(), 2
     while rows > mix.bucket_rows * 16**digits:
         digits += 1
-    sized = sized.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "source")
-    sized = sized.withColumn("bucket", F.substring("key", 1, digits))
-    sums = sized.groupBy("rank", "bucket").agg(F.sum("size").alias("sum"))
+    ranked = lambda t: t.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "source").withColumn("bucket", F.substring("key", 1, digits))
+    sized = ranked(sized)
+    sums = ranked(narrow).groupBy("rank", "bucket").agg(F.sum("size").alias("sum"))
     earlier = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = written(sums.select("rank", "bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("offset")), "offsets")
-    ordered = Window.partitionBy("rank", "bucket").orderBy("key", "doc_id", "size", "content")
+    ordered = Window.partitionBy("rank", "bucket").orderBy("key", "doc_id", "size")
     within = F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
     placed = sized.withColumn("within", within).join(offsets, ["rank", "bucket"]).withColumn("start", F.col("offset") + F.col("within"))
     demand = F.floor(F.col("target") + 0.5).cast("long")
@@ -136,7 +136,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 MIX_SQL = r"""
 with sized as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-    md5(coalesce(doc_id::varchar, '')) as key from documents),
+    md5(coalesce(doc_id::varchar, '') || ':' || coalesce(text, '')) as key from documents),
 totals as (select source, sum(size)::bigint as source_size from sized group by source),
 named as (select *, row_number() over (order by source is null, source) - 1 as rank from totals),
 weighed as (select *, ([3.0e0, 1.0e0, 2.0e0])[(rank % 3 + 1)::int] as weight, ([0.5e0, -0.5e0, 0.0e0])[(rank % 3 + 1)::int] as slope,

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gablework.llm.common import column_of, text_batches, texts_of
+from gablework.llm.common import column_of, small_batches, text_batches, texts_of
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -182,7 +182,7 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             columns = [column_of(batch, "doc_id"), pa.array(counts, type=pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), type=pa.int32()), flat), pa.array(same)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "whole"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, whole boolean")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, whole boolean")
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:
@@ -214,4 +214,4 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

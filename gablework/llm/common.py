@@ -16,11 +16,13 @@ WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; one of our own only where it is unset."""
+    """The folder that all executors share: spark.checkpoint.dir of the session; one of our own only where it is unset and all runs on one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gablework-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -38,6 +40,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch that Spark hands to Python, at most, and the setting that says so.
+ARROW_BYTES = 4 << 20
+_ARROW, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches are a few MB: Spark's own bound of 64 MB stands several times over in an executor and its workers. A session that has set another bound keeps it."""
+    conf = df.sparkSession.conf
+    if conf.get(_ARROW, _SPARKS_OWN) == _SPARKS_OWN:
+        conf.set(_ARROW, str(ARROW_BYTES))
+    return df
+
+
+#: Rows of a table that is broadcast, at most; beyond, it is joined by shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(table: DataFrame) -> DataFrame:
+    """A written table of ids as the small side of a join: broadcast if a count shows that it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table.hint("merge")
+
+
 def text_of(column: str = "text"):
     """The text with null read as empty."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -1,8 +1,8 @@
 """Connected components of an edge table, without gathering the edges anywhere.
 
-Each round alternates the large-star and small-star steps of Kiveris et al. (2014); before the first,
-every partition contracts its own edges to stars, which leaves few rows and few rounds. Rounds are cut
-by tables in the shared folder.
+Every partition first contracts its own edges to stars. If a count shows that what is left is no more than one partition
+contracts at once anyway, one task ends it; else rounds alternate the large-star and small-star steps of Kiveris et al.
+(2014), cut by tables in the shared folder.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gablework.llm.common import written
+from gablework.llm.common import batches, written
 
 #: Edges that a partition contracts at once; bounds its memory.
 CONTRACT_ROWS = 1_000_000
@@ -44,7 +44,7 @@ def _stars(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 def _contract(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     left, right, n = [], [], 0
-    for batch in rows:
+    for batch in batches(rows):
         left.append(batch.column(0).to_numpy())
         right.append(batch.column(1).to_numpy())
         n += batch.num_rows
@@ -66,7 +66,9 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     An empty table gives an empty result.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a is not null and b is not null and a != b")
-    edges = written(edges.mapInArrow(_contract, "a long, b long").distinct(), "edges")
+    edges = written(edges.mapInArrow(_contract, "a long, b long"), "edges")
+    if edges.count() <= CONTRACT_ROWS:
+        return _with_roots(written(edges.coalesce(1).mapInArrow(_contract, "a long, b long"), "stars"))
     seen = None
     for _ in range(rounds):
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -83,4 +85,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = (now["n"], now["h"])
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return _with_roots(edges)
+
+
+def _with_roots(stars: DataFrame) -> DataFrame:
+    return stars.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(stars.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gablework.llm.common import written
+from gablework.llm.common import small_batches, written
 
 _PARTS = 1_000_000
 
@@ -27,5 +27,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     share = {y: min(1.0, (few if counts.get(y, 0) <= counts.get(1 - y, 0) else bound - few) / max(1, counts.get(y, 0))) for y in (0, 1)}
     part = F.pmod(F.xxhash64("doc_id"), F.lit(_PARTS))
     picked = rows.where(part < F.when(F.col("y") == 1, int(share[1] * _PARTS)).otherwise(int(share[0] * _PARTS)))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return written(texts.join(F.broadcast(picked), "doc_id"), f"sample-{label}")

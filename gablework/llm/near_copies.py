@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gablework.llm.common import batches, text_batches, written
+from gablework.llm.common import batches, sized, small_batches, text_batches, texts_of, written
 from gablework.llm.components import connected_components
 
 #: The least similarity of near copies, as a fraction.
@@ -63,40 +63,12 @@ def near_pairs(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return out
 
 
-#: Bits (as a power of two) of the filter that spares most texts the second reading; what it lets through wrongly is joined away.
-FILTER_BITS = 23
-
-
-def _slots(ids: np.ndarray) -> np.ndarray:
-    """The filter's bit of each id."""
-    return ((ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-
-
-def _filter(ids: DataFrame) -> np.ndarray:
-    """A bit for each slot that an id of the table takes, 1 MB however many they are."""
-
-    def taken(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(1 << FILTER_BITS, dtype=bool)
-        for batch in batches(rows):
-            own[_slots(batch.column(0).to_numpy())] = True
-        words = np.packbits(own).view(np.int64)
-        at = np.flatnonzero(words)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(words[at])], names=["at", "word"])
-
-    words = np.zeros((1 << FILTER_BITS) // 64, dtype=np.int64)
-    for r in ids.mapInArrow(taken, "at long, word long").groupBy("at").agg(F.bit_or("word").alias("word")).toLocalIterator():
-        words[r["at"]] = r["word"]
-    return words.view(np.uint8)
-
-
-def _sets(words: int, some: np.ndarray):
-    """Rows (node, shingles) of the texts whose id may be among some; of a null id, all."""
+def _sets(words: int):
+    """Rows (node, shingles) of texts."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.unpackbits(some).view(bool)
         for batch in text_batches(rows):
-            batch = batch.filter(pa.array(bits[_slots(batch.column(0).fill_null(0).to_numpy())] | batch.column(0).is_null().to_numpy(zero_copy_only=False)))
-            made = [shingle_set(t.as_py(), words) for t in batch.column(1)]
+            made = [shingle_set(t, words) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in made], type=pa.int64()), pa.array([s.view(np.int64) for s in made], type=pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return run
@@ -135,8 +107,10 @@ def verified(docs: DataFrame, nodes: DataFrame, roots: DataFrame, words: int) ->
     docs: (doc_id, text). nodes: (node, least) with the id of one of its documents, null if none has one. roots: (node, root) of the candidates.
     """
     roots = written(roots, "candidates")
-    ids = nodes.select("node", "least").join(roots.hint("merge"), "node").where("least is not null").select("least")
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sets(words, _filter(ids)), "node long, shingles array<long>")
+    ids = written(nodes.select("node", "least").join(roots.hint("merge"), "node").where("least is not null").select(F.col("least").alias("doc_id")).distinct(), "ids")
+    texts = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(sized(ids), "doc_id", "left_semi").unionAll(texts.where("doc_id is null"))
+    read = texts.select("text").mapInArrow(_sets(words), "node long, shingles array<long>")
     sets = written(read.join(roots.hint("merge"), "node", "left_semi"), "read").groupBy("node").agg(F.first("shingles").alias("shingles"))
     rows = written(sets.join(roots.hint("merge"), "node").select("root", "node", "shingles"), "sets")
     tiles = rows.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / TILE_ROWS, F.sum(F.size("shingles")) / TILE_SHINGLES, F.lit(1))).cast("int").alias("n"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gablework.llm.common import column_of, text_batches, texts_of, written
+from gablework.llm.common import column_of, small_batches, text_batches, texts_of, written
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
@@ -101,7 +101,7 @@ def count_words(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 counts.clear()
         yield given()
 
-    return docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return small_batches(docs).select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -251,7 +251,7 @@ def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Vocabulary,
             moved = np.round((own.flat() - start).astype(np.float64) * scale).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(moved) + 1)), pa.array(np.append(moved * seen, seen))], names=["at", "value"])
 
-    total = docs.select("text").mapInArrow(local, "at long, value long").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).select("at", F.col("value").cast("double").alias("value"))
+    total = small_batches(docs).select("text").mapInArrow(local, "at long, value long").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).select("at", F.col("value").cast("double").alias("value"))
     sums = np.zeros(len(start) + 1)
     for r in total.collect():
         sums[r["at"]] = r["value"]
@@ -306,4 +306,4 @@ def scored(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: st
             means = [s / n if n else None for s, n in zip(sums, counts, strict=True)]
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(counts, type=pa.int64()), pa.array(sums, type=pa.float64()), pa.array(means, type=pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_probability"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_probability double")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_probability double")

@@ -16,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gablework.llm.common import column_of, text_batches, texts_of
+from gablework.llm.common import column_of, small_batches, text_batches, texts_of
 from gablework.llm.labelled import fold, labelled_sample
 
 
@@ -163,5 +163,5 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
             yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array([model.score(t) for t in texts_of(batch)], type=pa.float64())], names=["doc_id", "score"])
 
     modulus, out = model.settings.held_out
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
     return rows.select("doc_id", F.coalesce(fold(modulus) == out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= model.settings.threshold).cast("int").alias("predicted"))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gablework.llm.common import column_of, text_batches, texts_of
+from gablework.llm.common import column_of, small_batches, text_batches, texts_of
 
 #: Fixed: the base kinds in their order, then the lexer's.
 KINDS = ("assign", "access", "hex", "literal")
@@ -238,7 +238,7 @@ def scanned(docs: DataFrame, scoring: Scoring = Scoring(), id_col: str = "doc_id
             columns += [pa.array([hashlib.sha256(joined(b).encode()).hexdigest() for b in base]), pa.array([joined(s) for s in found], type=pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
 
 
 def redacted_documents(docs: DataFrame, scoring: Scoring = Scoring()) -> DataFrame:
@@ -264,4 +264,4 @@ def redacted_documents(docs: DataFrame, scoring: Scoring = Scoring()) -> DataFra
                     batch = batch.set_column(at, batch.schema.field(at), pa.array([len(t) if s else n for t, s, n in zip(clean, found, old, strict=True)], type=batch.schema.field(at).type))
             yield batch
 
-    return docs.mapInArrow(run, schema)
+    return small_batches(docs).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gablework.llm.common import batches, text_batches, written
+from gablework.llm.common import batches, sized, small_batches, text_batches, written
 from gablework.llm.components import connected_components, forest
 from gablework.llm.near_copies import node_of, shingle_set, verified
 
@@ -92,7 +92,7 @@ def fingerprints(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id"
             f = np.array([fingerprint(t.as_py(), scheme) for t in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(f[:, i]) for i in range(scheme.planes))], names=["doc_id", *names])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(hashed, "doc_id long, " + ", ".join(f"{n} long" for n in names))
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(hashed, "doc_id long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _keyed(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -312,7 +312,7 @@ def _nodes(docs: DataFrame, scheme: Scheme) -> tuple[DataFrame, DataFrame]:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([node_of(s) for s in sets], type=pa.int64()), *(pa.array(f[:, i]) for i in range(scheme.planes)), lists], names=["doc_id", "node", *names, "keys"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(named, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(named, "doc_id long, node long, " + ", ".join(f"{n} long" for n in names) + ", keys array<long>")
     prints = written(rows, "prints")
     return prints.select("doc_id", "node"), written(prints.groupBy("node").agg(*[F.first(n).alias(n) for n in (*names, "keys")], F.min("doc_id").alias("least")), "nodes")
 
@@ -333,17 +333,17 @@ def kept_documents(docs: DataFrame, scheme: Scheme = SIMILAR) -> DataFrame:
 
     A group is what links of a Jaccard similarity of 0.8 or more of the five-word shingle sets join.
     All columns come back as they were. Of rows that repeat an id, the first by its text stays; rows of a null id stay,
-    since nothing tells them from others.
+    since nothing tells them from others. Null texts and texts of no words are copies of each other. An empty table
+    gives no rows.
     """
     groups = near_groups(docs.select("doc_id", "text"), scheme)
-    stay = groups.where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.where("doc_id is not null")
-    once = written(stay, "stay")
-    kept = rows.join(once.hint("merge"), "doc_id", "left_semi")
-    repeated = written(rows.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"), "repeated")
+    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count("*").alias("n"))
+    odd = written(ids.where("not stays or n > 1"), "odd")
+    kept = docs.join(sized(odd.select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    repeated = odd.where("stays and n > 1").select("doc_id")
     if not repeated.head(1):
-        return kept.unionByName(docs.where("doc_id is null")).select(*docs.columns)
-    names = docs.columns
-    single = kept.join(repeated.hint("merge"), "doc_id", "left_anti").select(*names)
-    least = kept.join(repeated.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(F.col("text"), *[F.col(c) for c in names if c not in ("text", "doc_id")])).alias("row"))
-    return single.unionByName(least.select("doc_id", "row.*").select(*names)).unionByName(docs.where("doc_id is null").select(*names))
+        return kept
+    rows = docs.join(sized(repeated), "doc_id", "left_semi")
+    tie = F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind])
+    least = rows.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.struct("text", tie)).alias("row"))
+    return kept.unionByName(least.select("row.*").select(*docs.columns))

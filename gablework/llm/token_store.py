@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gablework.llm.bpe import codec
-from gablework.llm.common import batches, column_of, scratch_path, text_batches, texts_of
+from gablework.llm.common import batches, column_of, scratch_path, small_batches, text_batches, texts_of
 from gablework.llm.range_codec import pack, unpack
 
 #: Ids after which a segment is closed.
@@ -53,7 +53,7 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_
         if doc_ids:
             yield closed()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("tie", F.xxhash64("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInArrow(segments, STORE_SCHEMA).write.parquet(path)

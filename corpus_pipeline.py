@@ -15,23 +15,40 @@ from gablework.llm.common import written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs without those whose toxicity reaches the threshold, by a model of the labels outside the held-out fold.
+
+    Null and empty texts are clean; null and repeated ids stay; all columns come back as they were; an empty table, or
+    labels of one kind only, rejects nothing.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.clean_documents(docs, model)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with one document, that of the smallest id, of each group that five-word shingle sets of a similarity of 0.8 or more join.
+
+    Null and wordless texts are copies of each other; of rows that repeat an id one stays; rows of a null id all stay;
+    all columns come back as they were; an empty table gives no rows.
+    """
     return simhash.kept_documents(docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with the secrets in text replaced by a mark; no row goes. Null texts stay null; an empty table gives no rows."""
     return secret_scan.redacted_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs as the mix takes them, in training order: each as often as it is taken, at most twice; one document of a source may be cut.
+
+    A null source is a source; null and wordless texts come once; null and repeated ids are rows of their own; an empty
+    table gives no rows.
+    """
     return mixing.mixed_documents(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids, whole) of docs, in their order. Null and empty texts have no ids; an empty table gives no rows."""
     return bpe.encoded(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 

@@ -5,9 +5,9 @@ training time t in 0..1. The schedule's integral is the source's cumulative dema
 token stream, inverted through that demand, is its training position. Positions of all sources are on one axis, so a
 range sort by position interleaves them as the schedules ask.
 
-A source's stream is its documents in the order of an MD5 of their ids and texts (so rows of one id, or of none, don't share a bucket), repeated until the target is met to the word:
-whole passes first, then a part of one more, whose last document is cut at a word. Running sums come from sums by
-(source, hash bucket), so no task holds a source.
+A source's stream is its documents in the order of an MD5 of their ids and texts (so rows of one id, or of none, don't
+share a bucket), repeated until the target is met to the word: whole passes first, then a part of one more, whose last
+document is cut at a word. Running sums come from sums by (source, hash bucket), so no task holds a source.
 """
 
 from __future__ import annotations

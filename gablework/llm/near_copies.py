@@ -117,4 +117,5 @@ def verified(docs: DataFrame, nodes: DataFrame, roots: DataFrame, words: int) ->
     dealt = rows.join(written(tiles, "tiles").hint("merge"), "root").withColumn("t", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
     dealt = dealt.withColumn("u", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("u != t or n = 1")
     dealt = dealt.select("root", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "node", "shingles")
-    return connected_components(dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_decided, "a long, b long"))
+    # written, so that no task holds a Python worker for these and one more for what components do with them
+    return connected_components(written(dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_decided, "a long, b long"), "links"))

@@ -256,7 +256,7 @@ def links(nodes: DataFrame, scheme: Scheme, keyed: DataFrame | None = None) -> D
     met = written(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_met(scheme), "kind int, key long, a long, b long, " + ", ".join(f"{n} long" for n in names)), "met")
     found = met.where("kind = 0").select("a", "b")
     late = met.where("kind = 1")
-    return found.unionAll(_tiled(late.select("key", "a", *names), scheme)) if late.head(1) else found
+    return found.unionAll(written(_tiled(late.select("key", "a", *names), scheme), "tiled")) if late.head(1) else found
 
 
 def simhash_groups(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

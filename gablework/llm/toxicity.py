@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,7 +26,9 @@ from gablework.llm.common import column_of, small_batches, text_batches, texts_o
 from gablework.llm.labelled import fold, labelled_sample
 
 _TOKEN = re.compile(r"\w+(?:[@$*!]\w+)*")
-_QUOTED = re.compile("\"[^\"\\n]{1,240}\"|“[^”\\n]{1,240}”|„[^“”\\n]{1,240}[“”]|«[^»\\n]{1,240}»")
+_QUOTE = re.compile("[\"“”„«»]")
+#: What ends a quotation that a mark opens.
+_ENDS = {'"': '"', "“": "”", "„": "“”", "«": "»"}
 #: Words of reported speech, and of address.
 _REPORTS = frozenset("said says called calls wrote quote quoted word words term sagte nannte schrieb wort dijo llamó escribió palabra dit appelé écrit mot".split())
 _ADDRESS = frozenset("you your youre du dein ihr tú eres usted tu vous es".split())
@@ -52,6 +55,25 @@ class Settings:
     held_out: tuple[int, int] = (3, 1)
 
 
+def quotations(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the text's quotations, marks included, of any length within a line; in order, none within another. A mark opens one if a mark that ends it follows in the line, but not at once."""
+    out, at = [], 0
+    for line in text.split("\n"):
+        marks = [(m.start(), m[0]) for m in _QUOTE.finditer(line)] if any(map(line.__contains__, _ENDS)) else []
+        after, ends = {}, [None] * len(marks)  # of each mark the next one that ends it
+        for i in range(len(marks) - 1, -1, -1):
+            ends[i] = min((after[e] for e in _ENDS.get(marks[i][1], "") if e in after), default=None)
+            after[marks[i][1]] = i
+        i = 0
+        while i < len(marks):
+            if (j := ends[i]) is not None and marks[j][0] > marks[i][0] + 1:
+                out.append((at + marks[i][0], at + marks[j][0] + 1))
+                i = j
+            i += 1
+        at += len(line) + 1
+    return out
+
+
 def edits_of(term: str) -> int:
     """Edits that still count as the term: none up to four letters, one up to eight, two beyond."""
     return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
@@ -158,18 +180,20 @@ class Model:
             known.clear()
         for w in seen.difference(known):
             known[w] = True
-            if len(w) <= 64 and (found := automaton.match(w)) and not (found[0] and w in self.innocent):
+            if (found := automaton.match(w)) and not (found[0] and w in self.innocent):
                 hit[w] = found
         if hit.keys().isdisjoint(seen):
             return []
         lowered = text.lower()
         places = [(m[0], m.start(), m.end()) for m in _TOKEN.finditer(lowered)]
-        quotes = [(m.start(), m.end()) for m in _QUOTED.finditer(lowered)]
+        quotes = quotations(lowered)
+        starts = [x for x, _ in quotes]
         out, reach, s = [], self.settings.window, self.settings
         for i, (w, a, b) in enumerate(places):
             if w in hit:
                 factor = 1.0
-                if any(x < a and b < y for x, y in quotes):
+                q = bisect(starts, a) - 1
+                if q >= 0 and b < quotes[q][1]:
                     factor *= s.quoted
                 if any(p[0] in _REPORTS for p in places[max(0, i - reach) : i]):
                     factor *= s.reported
@@ -240,7 +264,8 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     toxic = sample.where("y = 1").select("text").mapInArrow(_toxic_words, "word string, n long, contexts array<string>")
     met = toxic.groupBy("word").agg(F.sum("n").alias("n"), F.size(F.array_distinct(F.flatten(F.collect_list("contexts")))).alias("contexts"))
     met = met.where((F.col("n") >= max(settings.least_docs, settings.least_share * n1)) & (F.col("contexts") >= settings.least_contexts) & (F.length("word") >= 3))
-    in_toxic = {r["word"]: (r["n"], r["contexts"]) for r in met.orderBy(F.desc("n"), "word").limit(10 * settings.terms).collect()}
+    # each word holds least_share of the sample's toxic documents at least, so they are few whatever the sample
+    in_toxic = {r["word"]: (r["n"], r["contexts"]) for r in met.collect()}
     clean = sample.where("y = 0").select("text").mapInArrow(_counted(frozenset(in_toxic)), "word string, n long")
     in_clean = {r["word"]: r["n"] for r in clean.groupBy("word").agg(F.sum("n").alias("n")).collect()}
     odds = {}

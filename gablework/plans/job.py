@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gablework.model import DEFAULT_EPSG, RansacConfig
 from gablework.operators import cityjson, crop
 from gablework.plans.reconstruct import METHODS, reconstruct
+from gablework.scratch import clear, written
 from gablework.sources import las, vector
 
 
@@ -30,11 +31,14 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 def run(spark: SparkSession, footprints: str, pointcloud: str, output: str, method: str = "graph-cut", date: str | None = None, single_file: bool = False, config: RansacConfig = RansacConfig()) -> dict:
     """Writes output/output.city.jsonl and returns how many buildings have a mesh and how many don't."""
     ground, epsg = read_footprints(spark, footprints)
-    ground = ground.persist()
-    buildings = reconstruct(ground, read_points(spark, pointcloud), METHODS[method](), config).persist()
-    lines = cityjson.city_lines(buildings, crop.dataset_centroid(ground), epsg or DEFAULT_EPSG, date)
-    cityjson.write_city(lines, f"{output.rstrip('/')}/output.city.jsonl", single_file)
-    return cityjson.run_summary(buildings).first().asDict()
+    try:
+        ground = written(ground, "footprints")
+        buildings = written(reconstruct(ground, read_points(spark, pointcloud), METHODS[method](), config), "reconstructed")
+        lines = cityjson.city_lines(buildings, crop.dataset_centroid(ground), epsg or DEFAULT_EPSG, date)
+        cityjson.write_city(lines, f"{output.rstrip('/')}/output.city.jsonl", single_file)
+        return cityjson.run_summary(buildings).first().asDict()
+    finally:
+        clear(spark)
 
 
 def main(argv: list[str] | None = None) -> None:

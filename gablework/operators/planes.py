@@ -6,7 +6,7 @@ import math
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +67,18 @@ def best_hypothesis(points: np.ndarray, picked: np.ndarray, config: RansacConfig
     return held
 
 
+def ransac_one(points: np.ndarray, picked: np.ndarray, config: RansacConfig) -> tuple[np.ndarray, float, float, np.ndarray] | None:
+    """One plane: the best hypothesis of the picked triples, fitted anew to its points by least squares, its points counted anew; None if they are too few or the plane too steep. (normal, d, rmse, which points)."""
+    held = best_hypothesis(points, picked, config)
+    if held is None or held.sum() < config.min_points or (fit := least_squares(points[held])) is None:
+        return None
+    normal, d, rmse = fit
+    inlier = np.abs(points @ normal + d) < config.epsilon
+    if inlier.sum() < config.min_points or _slope(normal[2]) > 90 - config.near_vertical:
+        return None
+    return normal, d, rmse, inlier
+
+
 def detect_planes_of(points: np.ndarray, seed: int, config: RansacConfig, most: int = MOST_PLANES) -> list[tuple[np.ndarray, float, float, np.ndarray]]:
     """(normal, d, rmse, positions of its points) of each plane: found one after the other, each on what the ones before left, then merged."""
     if not len(points):
@@ -76,14 +88,10 @@ def detect_planes_of(points: np.ndarray, seed: int, config: RansacConfig, most:
     for _ in range(min(most, config.max_planes)):
         if len(left) < max(3, config.min_points):
             break
-        own = local[left]
-        held = best_hypothesis(own, triples(len(left), config.max_iterations, seed), config)
-        if held is None or held.sum() < config.min_points or (fit := least_squares(own[held])) is None:
-            break
-        normal, d, rmse = fit
-        inlier = np.abs(own @ normal + d) < config.epsilon
-        if inlier.sum() < config.min_points or _slope(normal[2]) > 90 - config.near_vertical:
+        found = ransac_one(local[left], triples(len(left), config.max_iterations, seed), config)
+        if found is None:
             break
+        normal, d, rmse, inlier = found
         planes.append((normal, d, rmse, left[inlier]))
         left = left[~inlier]
     return [(n, d - float(n @ origin), r, at) for n, d, r, at in merged_planes(local, planes, config)]
@@ -114,47 +122,100 @@ def seed_of(fid) -> int:
     return int(fid) % 2**64 if isinstance(fid, (int, np.integer)) else zlib.crc32(str(fid).encode())
 
 
+#: What a kernel's arithmetic can fail with; anything else is an error of the program and ends the run.
+FAILURES = (np.linalg.LinAlgError, ArithmeticError, ValueError)
+_POINT = pa.struct([("pid", pa.int64()), ("x", pa.float64()), ("y", pa.float64()), ("z", pa.float64())])
+
+
+def _plane_rows(fid: pa.Scalar, found: list, pid: np.ndarray, points: np.ndarray) -> pa.Table:
+    """(plane_id, (normal, d, rmse, positions)) as rows of PLANES_SCHEMA; the points' lists are cut from columns, none is made a Python object."""
+    at = [np.sort(p[3]) for _, p in found]
+    flat = np.concatenate(at) if at else np.zeros(0, dtype=np.int64)
+    own = pa.StructArray.from_arrays([pa.array(pid[flat]), *(pa.array(points[flat, k]) for k in range(3))], fields=list(_POINT))
+    lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, at)]), type=pa.int32()), own)
+    numbers = [[float(x) for x in (*p[0], p[1], p[2])] for _, p in found]
+    columns = [pa.array([fid.as_py()] * len(found), type=fid.type), pa.array([i for i, _ in found], type=pa.int32())]
+    columns += [pa.array([row[k] for row in numbers], type=pa.float64()) for k in range(5)]
+    return pa.Table.from_arrays([*columns, pa.array([len(x) for x in at], type=pa.int32()), lists], names=["fid", "plane_id", "nx", "ny", "nz", "d", "rmse", "n_inliers", "inliers"])
+
+
+def _by_building(cropped: DataFrame, kernel) -> DataFrame:
+    """Rows of PLANES_SCHEMA: kernel(points, fid) of each building's points in the order of pid."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("pid")
+        pid, points = group["pid"].to_numpy(), np.stack([group[k].to_numpy() for k in "xyz"], axis=1)
+        fid = group["fid"][0]
+        return _plane_rows(fid, kernel(points, fid.as_py()), pid, points)
+
+    kind = dict(cropped.dtypes)["fid"]
+    session = cropped.sparkSession  # so many tasks however few bytes: the kernel's time is in its arithmetic
+    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
+    return cropped.select("fid", F.col("pid").cast("long"), "x", "y", "z").repartition(tasks, "fid").groupBy("fid").applyInArrow(run, PLANES_SCHEMA.format(fid=kind))
+
+
 def detect_planes(cropped: DataFrame, config: RansacConfig = RansacConfig(), most: int = MOST_PLANES) -> DataFrame:
     """Rows (fid, plane_id, nx, ny, nz, d, rmse, n_inliers, inliers) of the buildings' planes; inliers are (pid, x, y, z), in the order of pid.
 
     One building is one group. A building whose kernel fails gives a row of plane_id -1, and no other suffers.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        fid = pdf["fid"].iloc[0]
-        fid = fid.item() if isinstance(fid, np.generic) else fid
+    def kernel(points: np.ndarray, fid) -> list:
         try:
-            pdf = pdf.sort_values("pid", kind="stable")
-            found = detect_planes_of(pdf[["x", "y", "z"]].to_numpy(), seed_of(fid), config, most)
-            own = pdf[["pid", "x", "y", "z"]].to_dict("records")
-            rows = [(fid, i, *map(float, n), float(d), float(r), len(at), [own[k] for k in np.sort(at)]) for i, (n, d, r, at) in enumerate(found)]
-        except Exception:  # noqa: BLE001  one building's failure is its flat roof
-            rows = [(fid, -1, 0.0, 0.0, 0.0, 0.0, 0.0, 0, [])]
-        return pd.DataFrame(rows, columns=["fid", "plane_id", "nx", "ny", "nz", "d", "rmse", "n_inliers", "inliers"])
+            return list(enumerate(detect_planes_of(points, seed_of(fid), config, most)))
+        except FAILURES:
+            return [(-1, (np.zeros(3), 0.0, 0.0, np.zeros(0, dtype=np.int64)))]
 
-    kind = dict(cropped.dtypes)["fid"]
-    session = cropped.sparkSession  # so many tasks however few bytes: the kernel's time is in its arithmetic
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism)
-    return cropped.select("fid", "pid", "x", "y", "z").repartition(tasks, "fid").groupBy("fid").applyInPandas(run, PLANES_SCHEMA.format(fid=kind))
+    return _by_building(cropped, kernel)
 
 
-# plans
+def numbered_triples(n: int, iterations: int, fid: int) -> np.ndarray:
+    """Three different positions below n for each iteration that has them, by a rule that SQL can state too; the iterations without are left out."""
+    i = np.arange(iterations, dtype=np.int64)
+    k = [(i * a + fid * b + e) % prime % n for e, (a, b, prime) in enumerate(((7_919, 31, 10_007), (104_729, 17, 20_011), (1_299_709, 7, 30_011)))]
+    return np.stack([i, *k], axis=1)[(k[0] != k[1]) & (k[0] != k[2]) & (k[1] != k[2])]
+
+
+def ransac_round(cropped: DataFrame, config: RansacConfig = RansacConfig()) -> DataFrame:
+    """Rows of PLANES_SCHEMA: ransac_one of all points of each building (of a number as fid), over numbered_triples; plane_id 0. Buildings without such a plane have none."""
+
+    def kernel(points: np.ndarray, fid) -> list:
+        found = ransac_one(points, numbered_triples(len(points), config.max_iterations, fid)[:, 1:], config) if len(points) >= 3 else None
+        return [(0, (*found[:3], np.flatnonzero(found[3])))] if found else []
+
+    return _by_building(cropped, kernel)
+
 
+def hypothesis_round(cropped: DataFrame, config: RansacConfig = RansacConfig()) -> DataFrame:
+    """Rows (fid, n_inliers) of each building's best first hypothesis over numbered_triples."""
 
-def ransac_round(cropped: DataFrame, config: RansacConfig, iterations: int) -> DataFrame:
-    """Rows (fid, iteration, n_inliers, inliers) of each building's best first hypothesis, as a plan: the kernel's round in joins."""
-    ranked = cropped.groupBy("fid").agg(F.sort_array(F.collect_list(F.struct("pid", "x", "y", "z"))).alias("pts")).withColumn("n", F.size("pts").cast("long"))
-    tried = ranked.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(iterations - 1).cast("long"))))
-    i, f, n = F.col("i"), F.col("fid"), F.col("n")
-    at = [((i * 7919 + f * 31) % n), ((i * 104729 + f * 17 + 1) % n), ((i * 1299709 + f * 7 + 2) % n)]
-    tried = tried.where(n >= 3).select("fid", "i", "pts", *[a.cast("int").alias(f"k{j}") for j, a in enumerate(at)]).where("k0 != k1 and k0 != k2 and k1 != k2")
-    plane = g.fit_3pts(*[F.get("pts", F.col(f"k{j}")) for j in range(3)])
-    fitted = tried.withColumn("p", plane).where(F.col("p").isNotNull() & ~g.is_near_vertical(F.col("p.nz"), config.near_vertical))
-    p = F.col("p")
-    near = F.filter("pts", lambda q: g.plane_distance(p["nx"], p["ny"], p["nz"], p["d"], q["x"], q["y"], q["z"]) < config.epsilon)
-    counted = fitted.withColumn("n_inliers", F.size(near))
-    best = counted.groupBy("fid").agg(F.max(F.struct("n_inliers", (-F.col("i")).alias("late"))).alias("b"))
-    return best.select("fid", (-F.col("b.late")).alias("iteration"), F.col("b.n_inliers").alias("n_inliers"))
+    def kernel(points: np.ndarray, fid) -> list:
+        held = best_hypothesis(points, numbered_triples(len(points), config.max_iterations, fid)[:, 1:], config) if len(points) >= 3 else None
+        return [(0, (np.zeros(3), 0.0, 0.0, np.flatnonzero(held)))] if held is not None else []
+
+    return _by_building(cropped, kernel).select("fid", "n_inliers")
+
+
+def merge_planes(planes: DataFrame, config: RansacConfig = RansacConfig()) -> DataFrame:
+    """Rows of PLANES_SCHEMA with the planes of each building merged: in the order of plane_id each takes in the later ones near it, and what comes out is fitted to all their points and numbered anew."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by("plane_id")
+        lists = group["inliers"].combine_chunks()
+        points = lists.flatten()
+        xyz, ends = np.stack([points.field(k).to_numpy() for k in "xyz"], axis=1).reshape(-1, 3), np.cumsum([0, *(len(x) for x in lists)])
+        normals = np.stack([group[k].to_numpy() for k in ("nx", "ny", "nz")], axis=1)
+        own = [(n, d, r, np.arange(ends[i], ends[i + 1])) for i, (n, d, r) in enumerate(zip(normals, group["d"].to_pylist(), group["rmse"].to_pylist(), strict=True))]
+        origin = xyz.mean(axis=0) if len(xyz) else np.zeros(3)
+        local = [(n, d + float(n @ origin), r, at) for n, d, r, at in own]
+        found = merged_planes(xyz - origin, local, config)
+        return _plane_rows(group["fid"][0], [(i, (n, d - float(n @ origin), r, at)) for i, (n, d, r, at) in enumerate(found)], points.field("pid").to_numpy(), xyz)
+
+    kind = dict(planes.dtypes)["fid"]
+    return planes.where("plane_id >= 0").groupBy("fid").applyInArrow(run, PLANES_SCHEMA.format(fid=kind))
+
+
+# plans
 
 
 def plane_inliers(planes: DataFrame, cropped: DataFrame, epsilon: float = RansacConfig.epsilon) -> DataFrame:

@@ -199,7 +199,7 @@ def _ring_of(points) -> np.ndarray:
 
 
 def cdt_cells(on_crossing: str = "flat"):
-    """Column function (exterior ring, ridges array<struct<x1,y1,x2,y2>>) -> triangles by place; null where constraints cross, the ring has fewer than three corners, or anything fails."""
+    """Column function (exterior ring, ridges array<struct<x1,y1,x2,y2>>) -> triangles by place; null where constraints cross, the ring has fewer than three corners, or the arithmetic fails."""
 
     @F.pandas_udf(CELLS)
     def run(rings: pd.Series, ridges: pd.Series) -> pd.Series:
@@ -213,7 +213,7 @@ def cdt_cells(on_crossing: str = "flat"):
                 segments = [] if lines is None else [(s["x1"], s["y1"], s["x2"], s["y2"]) for s in lines]
                 cells = sorted((tuple(map(float, t.ravel())) for t in constrained_cells(corners, segments, on_crossing)), key=lambda t: (sum(t[0::2]), sum(t[1::2])))
                 out.append([dict(zip(("cell_id", "x0", "y0", "x1", "y1", "x2", "y2"), (i, *t), strict=True)) for i, t in enumerate(cells)])
-            except Exception:  # noqa: BLE001  one building's failure is its flat roof
+            except (CrossingConstraints, np.linalg.LinAlgError, ArithmeticError, ValueError):  # one building's failure is its flat roof
                 out.append(None)
         return pd.Series(out)
 

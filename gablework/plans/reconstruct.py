@@ -32,8 +32,8 @@ class Scene:
 
 
 def scene(footprints: DataFrame, points: DataFrame, config: RansacConfig = RansacConfig()) -> Scene:
-    """Footprints of fewer than five points have no planes. Buildings and planes are written: methods read them several times, and the kernel is the costly part."""
-    cropped = crop.crop_points(points, footprints)
+    """Footprints of fewer than five points have no planes. Cropped points, buildings and planes are written: they are read several times, and the crop's join and the kernel are the costly parts."""
+    cropped = written(crop.crop_points(points, footprints), "cropped")
     stats = crop.footprint_stats(footprints, cropped)
     buildings = written(footprints.select("fid", "polygon").join(stats.select("fid", "n", "z_70p", F.col("z_min").alias("h_ground")), "fid"), "buildings")
     enough = buildings.where(F.col("n") >= FEWEST_POINTS).select("fid")

@@ -392,7 +392,7 @@ q2 as (select *, sqrt(((xx-q)*(xx-q) + (yy-q)*(yy-q) + (zz-q)*(zz-q) + 2*(xy*xy
 q3 as (select *, greatest(-1.0e0, least(1.0e0, ((xx-q)/p*((yy-q)/p*(zz-q)/p - yz/p*yz/p) - xy/p*(xy/p*(zz-q)/p - yz/p*xz/p) + xz/p*(xy/p*yz/p - (yy-q)/p*xz/p))/2)) as h from q2 where p > 0),
 q4 as (select *, q + 2*p*cos(acos(h)/3 + 2*pi()/3) as lo from q3),
 q5 as (select *, xy*yz - xz*(yy-lo) as vx, xz*xy - (xx-lo)*yz as vy, (xx-lo)*(yy-lo) - xy*xy as vz from q4),
-fit as (select fid, plane_id, n, lo, vx*sgn/len as nx, vy*sgn/len as ny, vz*sgn/len as nz from
+fit as (select fid, plane_id, n, mx, my, mz, lo, vx*sgn/len as nx, vy*sgn/len as ny, vz*sgn/len as nz from
   (select *, sqrt(vx*vx + vy*vy + vz*vz) as len, case when vz < 0 then -1.0e0 else 1.0e0 end as sgn from q5) where len > 0)"""
 
 
@@ -443,22 +443,30 @@ def _(f):
 
 QUERIES["clip_line"], ORACLES["clip_line"] = QUERIES["ridgelines"], ORACLES["ridgelines"]
 
-_ROUND = """
+_ROUND = f"""
 ranked as (select fid, pid, x, y, z, row_number() over (partition by fid order by pid) - 1 as k, count(*) over (partition by fid) as n from cropped),
-it as (select fid, n, i, (i*7919 + fid*31) % n as k0, (i*104729 + fid*17 + 1) % n as k1, (i*1299709 + fid*7 + 2) % n as k2
-  from (select distinct fid, n from ranked where n >= 3) b, (select unnest(range(60)) as i) s),
+it as (select fid, n, i, (i*7919 + fid*31) % 10007 % n as k0, (i*104729 + fid*17 + 1) % 20011 % n as k1, (i*1299709 + fid*7 + 2) % 30011 % n as k2
+  from (select distinct fid, n from ranked where n >= 3) b, (select unnest(range({RansacConfig.max_iterations})) as i) s),
 hyp as (select it.fid, it.i, a.x as px, a.y as py, a.z as pz, (b.y-a.y)*(e.z-a.z) - (b.z-a.z)*(e.y-a.y) as nx, (b.z-a.z)*(e.x-a.x) - (b.x-a.x)*(e.z-a.z) as ny, (b.x-a.x)*(e.y-a.y) - (b.y-a.y)*(e.x-a.x) as nz
   from it join ranked a on a.fid = it.fid and a.k = k0 join ranked b on b.fid = it.fid and b.k = k1 join ranked e on e.fid = it.fid and e.k = k2 where k0 <> k1 and k0 <> k2 and k1 <> k2),
 unit as (select fid, i, nx/l as nx, ny/l as ny, nz/l as nz, 0.0e0 - (nx/l*px + ny/l*py + nz/l*pz) as d from (select *, sqrt(nx*nx + ny*ny + nz*nz) as l from hyp) where l >= 1e-10),
 held as (select u.fid, u.i, count(*) as n_inliers from unit u join cropped q on q.fid = u.fid where not degrees(acos(least(1.0e0, abs(nz)))) > 20 and abs(nx*q.x + ny*q.y + nz*q.z + d) < 0.25e0 group by u.fid, u.i)"""
 
 
-@query("best_hypothesis", sql([*SCENE, _ROUND], "select fid, arg_min(i, (0 - n_inliers, i)) as iteration, max(n_inliers) as n_inliers from held group by fid"))
+@query("best_hypothesis", sql([*SCENE, _ROUND], "select fid, max(n_inliers)::int as n_inliers from held group by fid"))
 def _(f):
-    return planes.ransac_round(_cropped(f), RansacConfig(), 60)
+    return planes.hypothesis_round(_cropped(f))
 
 
-QUERIES["ransac_one"], ORACLES["ransac_one"] = QUERIES["best_hypothesis"], ORACLES["best_hypothesis"]
+_ONE = """
+top as (select fid, arg_min(i, (0 - n_inliers, i)) as i, max(n_inliers) as n from held group by fid having max(n_inliers) >= 10),
+inlier as (select q.fid, 0 as plane_id, q.pid, q.x, q.y, q.z from top join unit u on u.fid = top.fid and u.i = top.i join cropped q on q.fid = u.fid where abs(nx*q.x + ny*q.y + nz*q.z + d) < 0.25e0)"""
+
+
+@query("ransac_one", sql([*SCENE, _ROUND, _ONE, _COV, _FIT, "flat as (select *, 0.0e0 - (nx*mx + ny*my + nz*mz) as d from fit where not degrees(acos(least(1.0e0, abs(nz)))) > 20)"],
+    "select flat.fid, round(nx, 5) + 0.0e0 as nx, round(ny, 5) + 0.0e0 as ny, round(nz, 5) + 0.0e0 as nz, round(sqrt(greatest(0.0e0, lo)/n), 5) + 0.0e0 as rmse, count(*)::int as n_inliers from flat join cropped q on q.fid = flat.fid where abs(nx*q.x + ny*q.y + nz*q.z + d) < 0.25e0 group by all having count(*) >= 10"))
+def _(f):
+    return planes.ransac_round(_cropped(f)).select("fid", *[r(c(k), 5).alias(k) for k in ("nx", "ny", "nz", "rmse")], "n_inliers")
 
 
 @query("detect_planes")
@@ -477,8 +485,22 @@ def _(f):
     return f.footprints.join(none, "fid", "left_anti").agg(F.count("*").alias("buildings_without_planes"))
 
 
-@query("merge_planes", sql([*GIVEN, PAIR, "centre as (select fid, plane_id, avg(x) as mx, avg(y) as my, avg(z) as mz from inlier group by fid, plane_id)"],
-    "select two.fid, i, j from two join centre m on m.fid = two.fid and m.plane_id = i where acos(least(1.0e0, abs(ux*wx + uy*wy + uz*wz))) <= radians(30.0e0) and abs(wx*mx + wy*my + wz*mz + bd) <= 1.5e0"))
+_MERGED = """
+centre as (select fid, plane_id, avg(x) as mx, avg(y) as my, avg(z) as mz from inlier group by fid, plane_id),
+joined as (select two.fid, j from two join centre m on m.fid = two.fid and m.plane_id = i where acos(least(1.0e0, abs(ux*wx + uy*wy + uz*wz))) <= radians(30.0e0) and abs(wx*mx + wy*my + wz*mz + bd) <= 1.5e0)"""
+_REFIT = _COV.replace("inlier i", "merged i").replace("from inlier", "from merged")
+
+
+@query("merge_planes", sql([*GIVEN, PAIR, _MERGED, "merged as (select v.fid, case when joined.j is null then v.plane_id else 0 end as plane_id, pid, x, y, z from inlier v left join joined on joined.fid = v.fid and joined.j = v.plane_id)", _REFIT, _FIT],
+    """select fit.fid, plane_id, n::int as n_inliers, round(case when k > 1 then nx else gx end, 5) + 0.0e0 as nx, round(case when k > 1 then ny else gy end, 5) + 0.0e0 as ny,
+      round(case when k > 1 then nz else gz end, 5) + 0.0e0 as nz, case when k > 1 then round(sqrt(greatest(0.0e0, lo)/n), 5) + 0.0e0 else 0.0e0 end as rmse
+      from fit join (select fid, count(*) as k, min(nx) as gx, min(ny) as gy, min(nz) as gz from plane_given group by fid) g on g.fid = fit.fid"""))
+def _(f):  # a plane alone stays as it is
+    own = _given_scene(f).planes
+    return planes.merge_planes(own, RansacConfig(merge_angle=30.0, merge_distance=1.5)).select("fid", "plane_id", "n_inliers", *[r(c(k), 5).alias(k) for k in ("nx", "ny", "nz", "rmse")])
+
+
+@query("merge_candidates", sql([*GIVEN, PAIR, _MERGED], "select fid, 0 as i, j from joined"))
 def _(f):
     return planes.merge_candidates(f.planes, planes.inlier_centroids(_inliers(f)), RansacConfig(merge_angle=30.0, merge_distance=1.5))
 
@@ -610,10 +632,13 @@ def _given_scene(f: Fixture) -> plans.Scene:
     return plans.Scene(f.footprints.join(stats, "fid"), _cropped(f), own.join(some, ["fid", "plane_id"]))
 
 
-@query("cdt", sql([FOOTPRINT_CTE, EDGE], "select fid, round(abs(sum(x1*y2 - x2*y1))/2, 4) as area from edge where ring = 0 and fid % 4 <> 2 group by fid"))
+@query("cdt", sql([FOOTPRINT_CTE, EDGE], "select fid, round(abs(sum(x1*y2 - x2*y1))/2, 4) as area from edge where ring = 0 group by fid"))
 def _(f):
-    rows = plans.cells_inside(plans.roof_cells(_given_scene(f), "split"))
-    return rows.where(c("fid") % 4 != 2).groupBy("fid").agg(r(F.sum("area"), 4).alias("area"))
+    # the triangles fill the exterior, of whatever shape; what holes take away is cell_in_footprint's part
+    none = F.array().cast("array<array<struct<x:double,y:double,z:double>>>")
+    rows = plans.roof_cells(_given_scene(f), "split")
+    rows = rows.withColumn("polygon", F.struct(c("polygon.exterior").alias("exterior"), none.alias("interiors")))
+    return plans.cells_inside(rows).groupBy("fid").agg(r(F.sum("area"), 4).alias("area"))
 
 
 @query("cells")
@@ -687,13 +712,12 @@ def _(f):
     return _faces(f).select("fid", F.size("m.vertices").alias("n_vertices"), F.size("m.faces").alias("n_faces"), last.alias("last_index"))
 
 
-@query("mesh_volume", sql([*SCENE, STATS], "select stats.fid, round(area*(z_70p - z_min), 3) as volume from stats join (select fid, abs(sum(x1*y2 - x2*y1))/2 as area from edge where ring = 0 group by fid) a on a.fid = stats.fid where stats.fid % 4 <> 1"))
+@query("mesh_volume", sql([*SCENE, STATS], "select stats.fid, round(area*(z_70p - z_min), 3) as volume from stats join (select fid, abs(sum(x1*y2 - x2*y1))/2 as area from edge where ring = 0 group by fid) a on a.fid = stats.fid"))
 def _(f):
-    # the fan of an L-shaped face leaves the face, but signed parts cancel; its faces' turns are the builder's own, so closed prisms only
-    turned = F.struct(c("m.vertices").alias("vertices"), F.transform("m.faces", lambda x: x).alias("faces"), c("m.semantics").alias("semantics")).cast(MESH)
-    local = F.transform("m.vertices", lambda v: g.point(v["x"] - F.get("m.vertices", F.lit(0))["x"], v["y"] - F.get("m.vertices", F.lit(0))["y"], v["z"]))
-    rows = _faces(f).select("fid", F.struct(local.alias("vertices"), turned["faces"].alias("faces"), turned["semantics"].alias("semantics")).cast(MESH).alias("m"))
-    return rows.where(c("fid") % 4 != 1).select("fid", r(mesh.volume(c("m")), 3).alias("volume"))
+    first = F.get("m.vertices", F.lit(0))
+    local = F.transform("m.vertices", lambda v: g.point(v["x"] - first["x"], v["y"] - first["y"], v["z"]))
+    rows = _faces(f).select("fid", F.struct(local.alias("vertices"), c("m.faces").alias("faces"), c("m.semantics").alias("semantics")).cast(MESH).alias("m"))
+    return rows.select("fid", r(mesh.volume(c("m")), 3).alias("volume"))
 
 
 @query("geographic_extent", sql([*SCENE, STATS, BOX], "select stats.fid, xmin, ymin, z_min as zmin, xmax, ymax, greatest(z_min, z_70p) as zmax from stats join box on box.fid = stats.fid"))

@@ -1,45 +1,22 @@
-"""Helpers that the corpus operators share: shared scratch tables, word rules, schema care."""
+"""Helpers that the corpus operators share: word rules, Arrow batches, joins with small sides; and the library's scratch tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gablework.scratch import scratch_path, written
+
+__all__ = ["column_of", "batches", "scratch_path", "sized", "small_batches", "text_batches", "text_of", "texts_of", "written"]
+
 #: White space that parts words: the space and U+0009 to U+000D; bytes.split() of UTF-8 parts at the same six.
 SPACE_CLASS = r"\x20\x09-\x0D"
 WORD_PATTERN = rf"[^{SPACE_CLASS}]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session; one of our own only where it is unset and all runs on one machine."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="gablework-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/gablework/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: it cuts the lineage, is computed once, and outlives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 #: Bytes of an Arrow batch that Spark hands to Python, at most, and the setting that says so.
 ARROW_BYTES = 4 << 20
 _ARROW, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", f"{64 << 20}b"

@@ -13,6 +13,7 @@ import base64
 import hashlib
 import os
 import re
+import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -93,7 +94,8 @@ class PieceEncoder:
 
     def _ids(self, fresh: list[str]) -> Iterator[tuple[str, bytes]]:
         for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            yield p, np.asarray(e.ids, dtype="<u4").tobytes()
+            ids = e.ids
+            yield p, struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [pieces(t) for t in texts]

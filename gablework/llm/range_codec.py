@@ -1,152 +1,157 @@
 """An adaptive context-mixing range coder for token ids, many blocks at a time.
 
-A block is coded by itself from a fresh model. For each id the order-2 context (the two ids before) or else the order-1
-context (the one before) proposes a candidate; how sure each order has been under its confidence is mixed in the
-logistic domain with weights that learn, and the mix is the probability of "it is the candidate". Where it isn't, the
-id's two bytes are coded by adaptive order-0 counts. All probabilities are integers, so coding and decoding agree on
-every machine.
+A segment starts with its order-0 model: its different ids, each with how often it stands there (to a quarter of a
+power of two). Ids are coded as places in that table. A block is coded by itself from fresh adaptive state. For each id
+the order-2 context (the two ids before) or else the order-1 context (the one before) proposes a candidate. How sure
+order 2 and order 1 have been under their confidence, and how frequent the candidate is by order 0, are mixed in the
+logistic domain with weights that learn; the mix is the probability of "it is the candidate". Where it isn't, order 0
+codes the id, the candidate left out. All probabilities are integers, so coding and decoding agree on every machine.
 
 The blocks of a segment go in lockstep, one lane each, so each numpy operation serves as many ids as there are blocks.
-Ids are below 65,536; ids above are refused.
+Ids are any unsigned 32-bit integers.
 """
 
 from __future__ import annotations
 
+import math
 import struct
 import zlib
 
 import numpy as np
 
-#: Ids in a block; slots of a context table; bits of an order-0 total; steps after which order-0 counts are read anew, doubling up to the last.
-BLOCK = 4096
-_SLOTS = 2048
-_BITS = 15
-_FIRST, _EVERY = 32, 256
+#: Ids in a block; slots of a context table; bits of the order-0 total.
+BLOCK = 8192
+_SLOTS = 4096
+_BITS = 24
+#: Ids below this are counted in an array, others by sorting.
+_DIRECT = 1 << 22
 _LOW = np.uint64(1 << 48)
 _REST = np.uint64((1 << 48) - 1)
-_48, _16, _12, _FIFTEEN = np.uint64(48), np.uint64(16), np.uint64(12), np.uint64(_BITS)
+_48, _16, _12 = np.uint64(48), np.uint64(16), np.uint64(12)
 
 _SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256.0))), 1, 4095).astype(np.int32)
 _STRETCH = np.clip(np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256), -2047, 2047).astype(np.int32)
+#: Counts by level: level q stands for 2 ** (q / 4), here times 256.
+_LEVELS = np.array([math.isqrt(math.isqrt(1 << (q + 32))) for q in range(128)], dtype=np.int64)
 
 
 class _Order0:
-    """Counts of byte values for each lane, and the intervals read from them."""
-
-    def __init__(self, lanes: int):
-        self.lanes, self.seen = lanes, 0
-        self.counts = np.zeros(lanes * 256, dtype=np.int32)
-        self.freq = np.full(lanes * 256, (1 << _BITS) // 256, dtype=np.int32)
-        self.start = np.tile(np.arange(256, dtype=np.int32) * ((1 << _BITS) // 256), lanes)
-
-    def read(self) -> None:
-        counts = self.counts.reshape(self.lanes, 256)
-        total = np.maximum(1, counts.sum(axis=1, keepdims=True))
-        freq = 1 + (counts * ((1 << _BITS) - 256)) // total
-        freq[np.arange(self.lanes), counts.argmax(axis=1)] += (1 << _BITS) - freq.sum(axis=1)
-        start = np.cumsum(freq, axis=1, dtype=np.int32) - freq
-        self.freq, self.start = freq.astype(np.int32).ravel(), start.astype(np.int32).ravel()
-
-    def find(self, lanes: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The byte whose interval holds the value, by halving."""
-        first = lanes * 256
-        at = first.copy()
-        for step in (128, 64, 32, 16, 8, 4, 2, 1):
-            at += (self.start.take(at + step) <= value) * step
-        return at - first
+    """The ids of a segment, ascending, and the interval of each."""
+
+    def __init__(self, ids: np.ndarray, levels: np.ndarray):
+        self.ids, self.levels = ids, levels
+        counts, room = _LEVELS[levels].astype(object), (1 << _BITS) - len(ids)
+        total = max(1, int(sum(counts.tolist())))
+        freq = np.array([1 + c * room // total for c in counts.tolist()], dtype=np.uint64)
+        if len(ids):
+            freq[int(levels.argmax())] += np.uint64((1 << _BITS) - int(freq.sum()))
+        self.freq, self.start = freq, np.cumsum(freq, dtype=np.uint64) - freq
+        #: The logit of each id's share, in the mixer's unit.
+        self.logit = _STRETCH[np.minimum(freq >> np.uint64(_BITS - 12), np.uint64(4095)).astype(np.int64)].astype(np.int64)
+
+    @staticmethod
+    def of(values: np.ndarray) -> tuple[_Order0, np.ndarray]:
+        """The table of these ids, and the place of each of them in it."""
+        if len(values) and values.max() < _DIRECT:
+            counts = np.bincount(values)
+            ids = np.flatnonzero(counts)
+            counts, place = counts[ids], np.zeros(len(counts), dtype=np.int32)
+            place[ids] = np.arange(len(ids), dtype=np.int32)
+            places = place[values]
+        else:
+            ids, places, counts = np.unique(values, return_inverse=True, return_counts=True)
+        levels = np.searchsorted(_LEVELS, counts.astype(np.int64) * 256, side="right") - 1
+        return _Order0(ids.astype(np.uint32), levels.astype(np.uint8)), places.astype(np.int32)
+
+    def packed(self) -> bytes:
+        gaps = np.diff(self.ids.astype(np.int64), prepend=-1) - 1
+        return zlib.compress(b"".join(((gaps >> shift) & 255).astype(np.uint8).tobytes() for shift in (0, 8, 16, 24)) + self.levels.tobytes(), 9)
+
+    @staticmethod
+    def unpacked(data: bytes) -> _Order0:
+        parts = np.frombuffer(zlib.decompress(data), dtype=np.uint8).reshape(5, -1).astype(np.int64)
+        ids = np.cumsum(parts[0] + (parts[1] << 8) + (parts[2] << 16) + (parts[3] << 24) + 1) - 1
+        if len(ids) and (ids[-1] > 0xFFFFFFFF or parts[4].max() >= len(_LEVELS)):
+            raise ValueError("the table of ids is damaged")
+        return _Order0(ids.astype(np.uint32), parts[4].astype(np.uint8))
 
 
 class _Model:
-    """The state of all lanes. predict() gives the candidates and their probabilities; update() learns the ids."""
+    """The adaptive state of all lanes. predict() gives the candidates and their probabilities; update() learns the ids."""
 
-    def __init__(self, lanes: int):
-        self.base = np.arange(lanes) * _SLOTS
-        #: Of each context: the id that it proposes times 4, plus how sure it is (0: it proposes none, to 3).
+    def __init__(self, lanes: int, order0: _Order0):
+        self.base, self.logit0 = np.arange(lanes) * _SLOTS, order0.logit
+        #: Of each context: the place that it proposes times 8, plus how sure it is (0: it proposes none, to 7).
         self.slots2, self.slots1 = np.zeros(lanes * _SLOTS, dtype=np.int32), np.zeros(lanes * _SLOTS, dtype=np.int32)
-        self.prior2, self.prior1 = np.full(lanes * 4, 1 << 15, dtype=np.int32), np.full(lanes * 8, 1 << 15, dtype=np.int32)
-        self.weight2, self.weight1 = np.full(lanes, 40_000, dtype=np.int64), np.full(lanes, 24_000, dtype=np.int64)
+        self.prior2, self.prior1 = np.full(lanes * 8, 1 << 14, dtype=np.int32), np.full(lanes * 16, 1 << 13, dtype=np.int32)
+        self.weights = [np.full(lanes, w, dtype=np.int64) for w in (32_000, 24_000, 8_000)]
         self.before, self.last = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-        self.lane4, self.lane8 = np.arange(lanes) * 4, np.arange(lanes) * 8
-        self.bytes = (_Order0(lanes), _Order0(lanes))
+        self.lane8, self.lane16 = np.arange(lanes) * 8, np.arange(lanes) * 16
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the first n lanes: the candidate, whether there is one, and its probability in 4096."""
+        """Of the first n lanes: the candidate, whether there is one, and its probability in 4096 (0 if there is none)."""
         mixed = self.last[:n] * 0x9E3779B1
-        self.at1 = (mixed >> 15 & (_SLOTS - 1)) + self.base[:n]
-        self.at2 = ((mixed ^ self.before[:n] * 0x85EBCA77) >> 15 & (_SLOTS - 1)) + self.base[:n]
+        self.at1 = (mixed >> 13 & (_SLOTS - 1)) + self.base[:n]
+        self.at2 = ((mixed ^ self.before[:n] * 0x85EBCA77) >> 13 & (_SLOTS - 1)) + self.base[:n]
         self.slot1, self.slot2 = self.slots1.take(self.at1), self.slots2.take(self.at2)
-        got1, sure1, sure2 = self.slot1 >> 2, self.slot1 & 3, self.slot2 & 3
-        candidate = np.where(sure2 > 0, self.slot2 >> 2, got1)
+        got1, sure1, sure2 = self.slot1 >> 3, self.slot1 & 7, self.slot2 & 7
+        candidate = np.where(sure2 > 0, self.slot2 >> 3, got1)
         has = (sure2 | sure1) > 0
-        self.ctx2 = self.lane4[:n] + sure2
-        self.ctx1 = self.lane8[:n] + (sure1 * 2 + (got1 == candidate))
+        self.ctx2 = self.lane8[:n] + sure2
+        self.ctx1 = self.lane16[:n] + (sure1 * 2 + (got1 == candidate))
         self.p2, self.p1 = self.prior2.take(self.ctx2), self.prior1.take(self.ctx1)
-        self.s2, self.s1 = _STRETCH.take(self.p2 >> 4), _STRETCH.take(self.p1 >> 4)
-        dot = (self.weight2[:n] * self.s2 + self.weight1[:n] * self.s1) >> 16
+        self.s = _STRETCH.take(self.p2 >> 4), _STRETCH.take(self.p1 >> 4), self.logit0.take(candidate)
+        dot = (self.weights[0][:n] * self.s[0] + self.weights[1][:n] * self.s[1] + self.weights[2][:n] * self.s[2]) >> 16
         np.maximum(dot, -2048, out=dot)
         np.minimum(dot, 2047, out=dot)
         self.p = _SQUASH.take(dot + 2048)
-        return candidate, has, self.p
+        return candidate, has, self.p * has
 
-    def update(self, n: int, ids: np.ndarray, candidate: np.ndarray, has: np.ndarray, hit: np.ndarray) -> None:
+    def update(self, n: int, now: np.ndarray, has: np.ndarray, hit: np.ndarray) -> None:
         err = ((hit.astype(np.int64) << 12) - self.p) * has * 6
-        self.weight2[:n] += (self.s2 * err) >> 10
-        self.weight1[:n] += (self.s1 * err) >> 10
+        for w, s in zip(self.weights, self.s, strict=True):
+            w[:n] += (s * err) >> 10
         to = hit.astype(np.int32) * 65_535
-        self.prior2[self.ctx2] = self.p2 + ((to - self.p2) >> 4) * has
-        self.prior1[self.ctx1] = self.p1 + ((to - self.p1) >> 4) * has
-        own = ids.astype(np.int32) * 4
+        self.prior2[self.ctx2] = self.p2 + ((to - self.p2) >> 5) * has
+        self.prior1[self.ctx1] = self.p1 + ((to - self.p1) >> 5) * has
+        own = now * 8
         for table, at, slot in ((self.slots2, self.at2, self.slot2), (self.slots1, self.at1, self.slot1)):
             # the same id: surer; another one: less sure, or taken over by it
-            sure = slot & 3
-            less = np.where(sure > 1, slot - 1, own + 1)
-            table[at] = np.where((slot - sure == own) & (sure > 0), own + np.minimum(sure + 1, 3), less)
-        self.before[:n], self.last[:n] = self.last[:n], ids
-
-    def learn_bytes(self, lanes: np.ndarray, ids: np.ndarray) -> None:
-        """Literals only: what candidates take, order 0 doesn't have to tell."""
-        self.bytes[0].counts[lanes * 256 + (ids >> 8)] += 1
-        self.bytes[1].counts[lanes * 256 + (ids & 255)] += 1
-
-
-def _rereads(step: int) -> bool:
-    return step >= _FIRST and (step & (step - 1) == 0 if step < _EVERY else step % _EVERY == 0)
+            sure = slot & 7
+            less = np.where(sure > 1, slot - ((sure + 1) >> 1), own + 1)
+            table[at] = np.where((slot - sure == own) & (sure > 0), own + np.minimum(sure + 1, 7), less)
+        self.before[:n], self.last[:n] = self.last[:n], now + 1
 
 
 def _lengths(total: int) -> np.ndarray:
     return np.array([BLOCK] * (total // BLOCK) + ([total % BLOCK] if total % BLOCK else []), dtype=np.int64)
 
 
-def _coded(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+def _coded(places: np.ndarray, lengths: np.ndarray, order0: _Order0) -> list[bytes]:
     lanes = len(lengths)
-    grid = np.zeros((BLOCK if lanes > 1 else int(lengths[0]), lanes), dtype=np.int32)
-    padded = np.zeros(grid.shape[0] * lanes, dtype=np.int32)
-    padded[: len(ids)] = ids
-    grid[:] = padded.reshape(lanes, -1).T
-    model, low, width = _Model(lanes), np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
-    out, end = np.zeros((lanes, 3 * grid.shape[0] + 64), dtype="<u2"), np.zeros(lanes, dtype=np.int64)
-    for step in range(grid.shape[0]):
+    rows = BLOCK if lanes > 1 else int(lengths[0])
+    grid = np.zeros(rows * lanes, dtype=np.int32)
+    grid[: len(places)] = places
+    grid = np.ascontiguousarray(grid.reshape(lanes, rows).T)
+    model, low, width = _Model(lanes, order0), np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
+    out, end = np.zeros((lanes, 3 * rows + 64), dtype="<u2"), np.zeros(lanes, dtype=np.int64)
+    freq, start, whole = order0.freq, order0.start, np.uint64(1 << _BITS)
+    for step in range(rows):
         n = lanes if step < lengths[-1] else lanes - 1
-        if _rereads(step):
-            for b in model.bytes:
-                b.read()
-        ids_now = grid[step, :n]
+        now = grid[step, :n]
         candidate, has, p = model.predict(n)
-        hit = has & (candidate == ids_now)
-        r, p = width[:n] >> _12, p.astype(np.uint64)
-        low[:n] += np.where(has & ~hit, r * p, np.uint64(0))
-        width[:n] = np.where(has, np.where(hit, r * p, r * (np.uint64(4096) - p)), width[:n])
+        hit = has & (candidate == now)
+        cut = (width[:n] >> _12) * p.astype(np.uint64)
+        low[:n] += cut * ~hit
+        width[:n] = np.where(hit, cut, width[:n] - cut)
         lit = np.flatnonzero(~hit)
         if len(lit):
-            values = ids_now[lit]
-            lo, w = low[lit], width[lit]
-            for part, b in zip((values >> 8, values & 255), model.bytes, strict=True):
-                r = w >> _FIFTEEN
-                at = lit * 256 + part
-                lo, w = lo + r * b.start.take(at).astype(np.uint64), r * b.freq.take(at).astype(np.uint64)
-            low[lit], width[lit] = lo, w
-            model.learn_bytes(lit, values)
-        model.update(n, ids_now, candidate, has, hit)
+            own, not_it = now[lit], candidate[lit]
+            left_out = freq.take(not_it) * has[lit]
+            r = width[lit] // (whole - left_out)
+            low[lit] += r * (start.take(own) - left_out * (own > not_it))
+            width[lit] = r * freq.take(own)
+        model.update(n, now, has, hit)
         need = np.flatnonzero(width[:n] < _LOW)
         while len(need):
             lo, w = low[need], width[need]
@@ -162,88 +167,95 @@ def _coded(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     return [out[i, : end[i]].tobytes() for i in range(lanes)]
 
 
-def _read(words: list[np.ndarray], lengths: np.ndarray) -> np.ndarray:
-    lanes, longest = len(lengths), int(lengths[0])
+def _read(words: list[np.ndarray], lengths: np.ndarray, order0: _Order0) -> np.ndarray:
+    """The places of the lanes' ids. Of damaged words it makes other places; the checksums tell."""
+    lanes, rows = len(lengths), int(lengths[0])
     stream = np.zeros((lanes, max(map(len, words)) + 8), dtype=np.uint64)
     for i, w in enumerate(words):
         stream[i, : len(w)] = w
     code = (stream[:, 0] << _48) | (stream[:, 1] << np.uint64(32)) | (stream[:, 2] << _16) | stream[:, 3]
-    end = np.full(lanes, 4, dtype=np.int64)
-    model, low, width = _Model(lanes), np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
-    grid = np.zeros((longest, lanes), dtype=np.int32)
-    for step in range(longest):
+    end, last = np.full(lanes, 4, dtype=np.int64), stream.shape[1] - 1
+    model, low, width = _Model(lanes, order0), np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
+    freq, start, whole, one = order0.freq, order0.start, np.uint64(1 << _BITS), np.uint64(1)
+    grid = np.zeros((rows, lanes), dtype=np.int32)
+    for step in range(rows):
         n = lanes if step < lengths[-1] else lanes - 1
-        if _rereads(step):
-            for b in model.bytes:
-                b.read()
         candidate, has, p = model.predict(n)
-        r, p = width[:n] >> _12, p.astype(np.uint64)
-        cut = r * p
+        cut = (width[:n] >> _12) * p.astype(np.uint64)
         hit = has & (code[:n] - low[:n] < cut)
-        low[:n] += np.where(has & ~hit, cut, np.uint64(0))
-        width[:n] = np.where(has, np.where(hit, cut, r * (np.uint64(4096) - p)), width[:n])
-        ids_now = candidate.copy()
+        low[:n] += cut * ~hit
+        width[:n] = np.where(hit, cut, width[:n] - cut)
+        now = candidate.astype(np.int32)
         lit = np.flatnonzero(~hit)
         if len(lit):
-            lo, w, c, values = low[lit], width[lit], code[lit], 0
-            for b in model.bytes:
-                r = w >> _FIFTEEN
-                part = b.find(lit, np.minimum((c - lo) // r, np.uint64((1 << _BITS) - 1)).astype(np.int32))
-                at = lit * 256 + part
-                lo, w = lo + r * b.start.take(at).astype(np.uint64), r * b.freq.take(at).astype(np.uint64)
-                values = values * 256 + part
-            low[lit], width[lit] = lo, w
-            ids_now[lit] = values
-            model.learn_bytes(lit, values)
-        model.update(n, ids_now, candidate, has, hit)
-        grid[step, :n] = ids_now
+            not_it = candidate[lit]
+            left_out = freq.take(not_it) * has[lit]
+            total = whole - left_out
+            r = width[lit] // total
+            value = np.minimum((code[lit] - low[lit]) // np.maximum(r, one), total - one)
+            value += left_out * (value >= start.take(not_it))
+            own = np.searchsorted(start, value, side="right") - 1
+            low[lit] += r * (start.take(own) - left_out * (own > not_it))
+            width[lit] = r * freq.take(own)
+            now[lit] = own
+        model.update(n, now, has, hit)
+        grid[step, :n] = now
         need = np.flatnonzero(width[:n] < _LOW)
-        while len(need):
+        rounds = 0
+        while len(need) and rounds < 4:
             lo, w = low[need], width[need]
-            apart = ((lo ^ (lo + (w - np.uint64(1)))) >> _48) != 0
+            apart = ((lo ^ (lo + (w - one))) >> _48) != 0
             w = np.where(apart, _LOW - (lo & _REST), w)
-            code[need] = (code[need] << _16) | stream[need, end[need]]
+            code[need] = (code[need] << _16) | stream[need, np.minimum(end[need], last)]
             end[need] += 1
             low[need], width[need] = lo << _16, w << _16
             need = need[(w << _16) < _LOW]
+            rounds += 1
     return np.concatenate([grid[: lengths[i], i] for i in range(lanes)]) if lanes else np.zeros(0, dtype=np.int32)
 
 
-_HEAD, _ENTRY = struct.Struct("<4sIQI"), struct.Struct("<III")
-_MAGIC = b"GWT1"
+_HEAD, _ENTRY = struct.Struct("<4sIQIII"), struct.Struct("<III")
+_MAGIC = b"GWT2"
 #: Lanes that go in lockstep at once; bounds memory.
-_LANES = 1024
+_LANES = 512
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """A segment: a head (magic, block size, ids, blocks), for each block its ids, bytes and the CRC-32 of its ids as little-endian unsigned 32-bit integers, then the blocks."""
+    """A segment: a head (magic, block size, ids, blocks, bytes of the table, CRC-32 of the table and the entries), the table of ids, for each block its ids, bytes and the CRC-32 of its ids as little-endian unsigned 32-bit integers, then the blocks."""
     ids = np.asarray(ids, dtype=np.int64)
-    if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFF):
-        raise ValueError("ids must be within 0 and 65,535")
-    ids = ids.astype(np.int32)
+    if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFFFFFF):
+        raise ValueError("ids must be unsigned 32-bit integers")
+    order0, places = _Order0.of(ids)
     lengths = _lengths(len(ids))
     blocks: list[bytes] = []
     for i in range(0, len(lengths), _LANES):
-        blocks += _coded(ids[i * BLOCK : (i + _LANES) * BLOCK], lengths[i : i + _LANES])
-    plain = ids.astype("<u4")
-    entries = [_ENTRY.pack(n, len(b), zlib.crc32(plain[i * BLOCK : i * BLOCK + n].tobytes())) for i, (n, b) in enumerate(zip(lengths.tolist(), blocks, strict=True))]
-    return b"".join([_HEAD.pack(_MAGIC, BLOCK, len(ids), len(blocks)), *entries, *blocks])
+        blocks += _coded(places[i * BLOCK : (i + _LANES) * BLOCK], lengths[i : i + _LANES], order0)
+    plain, table = ids.astype("<u4"), order0.packed()
+    entries = b"".join(_ENTRY.pack(n, len(b), zlib.crc32(plain[i * BLOCK : i * BLOCK + n].tobytes())) for i, (n, b) in enumerate(zip(lengths.tolist(), blocks, strict=True)))
+    return b"".join([_HEAD.pack(_MAGIC, BLOCK, len(ids), len(blocks), len(table), zlib.crc32(table + entries)), table, entries, *blocks])
 
 
 def unpack(segment: bytes) -> np.ndarray:
-    """The ids of a segment as unsigned 32-bit integers; ValueError if a checksum doesn't hold."""
-    magic, block, total, n = _HEAD.unpack_from(segment)
+    """The ids of a segment as unsigned 32-bit integers; ValueError if it isn't one, is cut short, or a checksum doesn't hold."""
+    if len(segment) < _HEAD.size:
+        raise ValueError("not a segment of this format")
+    magic, block, total, n, size, crc = _HEAD.unpack_from(segment)
     if magic != _MAGIC or block != BLOCK:
         raise ValueError("not a segment of this format")
-    entries = [_ENTRY.unpack_from(segment, _HEAD.size + i * _ENTRY.size) for i in range(n)]
-    at, words = _HEAD.size + n * _ENTRY.size, []
-    for _, size, _ in entries:
-        words.append(np.frombuffer(segment, dtype="<u2", count=size // 2, offset=at))
-        at += size
+    head, at = segment[_HEAD.size : _HEAD.size + size + n * _ENTRY.size], _HEAD.size + size + n * _ENTRY.size
+    if at > len(segment) or zlib.crc32(head) != crc:
+        raise ValueError("the head of the segment is damaged")
+    order0, entries = _Order0.unpacked(head[:size]), list(_ENTRY.iter_unpack(head[size:]))
     lengths = np.array([e[0] for e in entries], dtype=np.int64)
-    parts = [_read(words[i : i + _LANES], lengths[i : i + _LANES]) for i in range(0, n, _LANES)]
-    ids = np.concatenate(parts).astype("<u4") if parts else np.zeros(0, dtype="<u4")
-    for i, (count, _, crc) in enumerate(entries):
-        if zlib.crc32(ids[i * BLOCK : i * BLOCK + count].tobytes()) != crc:
+    if lengths.sum() != total or lengths.tolist() != _lengths(total).tolist() or at + sum(e[1] for e in entries) != len(segment):
+        raise ValueError("the segment is cut short")
+    words = []
+    for _, length, _ in entries:
+        words.append(np.frombuffer(segment, dtype="<u2", count=length // 2, offset=at))
+        at += length
+    parts = [_read(words[i : i + _LANES], lengths[i : i + _LANES], order0) for i in range(0, n, _LANES)]
+    ids = order0.ids[np.concatenate(parts)].astype("<u4") if parts else np.zeros(0, dtype="<u4")
+    for i, (count, _, own) in enumerate(entries):
+        if zlib.crc32(ids[i * BLOCK : i * BLOCK + count].tobytes()) != own:
             raise ValueError(f"block {i} is damaged")
     return ids

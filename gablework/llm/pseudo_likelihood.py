@@ -1,10 +1,15 @@
 """Documents scored by masked pseudo-likelihood under a bidirectional window network.
 
-The vocabulary is counted over all documents: the commonest words, and buckets by ending for the rest. The network adds
-up the embeddings of the words on either side, each scaled by its place, and predicts the masked word in two steps, its
-class and the word in it. It is trained in numpy: a warm start on a bounded sample, then every partition trains on its
-own documents from there, each with a share of its positions masked, and the partitions' parameters are averaged by
-what they saw. A document's score is the sum of the log-probabilities of all its tokens, each given its neighbours.
+All words are counted over all documents. The network knows the commonest, and buckets by ending for the rest. It adds up
+the embeddings of the words on either side, each scaled by its place, and predicts the masked word in two steps, its
+class and the word in it; a rarer word is then drawn from its bucket by its count in the corpus, so the probabilities of
+all words of the corpus sum to one. It is trained in numpy: a warm start on a bounded sample, then every partition
+trains on its own documents from there, each with a share of its positions masked, and the partitions' parameters are
+averaged by what they saw. A document's score is the sum of the log-probabilities of all its tokens, each given its
+neighbours.
+
+Documents become numbers in the pass that trains, and are scored from those. The counts of rarer words are looked up in
+an array where they are few enough to be sent to every worker, else joined.
 """
 
 from __future__ import annotations
@@ -14,20 +19,23 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gablework.llm.common import column_of, small_batches, text_batches, texts_of, written
+from gablework.llm.common import batches, column_of, small_batches, text_batches, texts_of, written
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
 @dataclass(frozen=True)
 class Settings:
-    """classes: of the vocabulary, as many words in each. buckets: of the vocabulary, for rarer words by ending. window: words to either side. width: of an embedding. masked: share of the positions that a pass trains on. rate: of learning. batch: positions of a step. warm_docs: documents of the warm start, about, at most. spread: decimals (binary) that averages keep, so that their order doesn't matter."""
+    """classes: of the vocabulary, as many words in each. buckets: of the vocabulary, for rarer words by ending. window: words to either side. width: of an embedding. masked: share of the positions that a pass trains on. rate: of learning. batch: positions of a step. warm_docs: documents of the warm start, at most. lookup: rarer words that stand more than once whose counts are sent to every worker, at most; beyond, counts are joined. spread: decimals (binary) that averages keep, so that their order doesn't matter."""
 
     classes: int = 32
     buckets: int = 96
@@ -38,6 +46,7 @@ class Settings:
     batch: int = 4096
     warm_docs: int = 400
     warm_passes: int = 4
+    lookup: int = 4_000_000
     spread: int = 24
     seed: int = 11
 
@@ -74,7 +83,13 @@ class Vocabulary(dict):
         return _vocabulary, (list(self), self.first, self.buckets)
 
     def ids(self, text: str) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, _TOKEN.findall(text.lower())), dtype=np.int32)
+        return self.numbered(text)[0]
+
+    def numbered(self, text: str) -> tuple[np.ndarray, list[str]]:
+        """The id of each token, and the tokens that stand in buckets, in order."""
+        tokens = _TOKEN.findall(text.lower())
+        ids = np.fromiter(map(self.__getitem__, tokens), dtype=np.int32, count=len(tokens))
+        return ids, [tokens[i] for i in np.flatnonzero(ids >= self.first).tolist()]
 
 
 def _vocabulary(words: list[str], first: int, buckets: int) -> Vocabulary:
@@ -101,7 +116,7 @@ def count_words(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
                 counts.clear()
         yield given()
 
-    return small_batches(docs).select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -206,104 +221,230 @@ class Network:
 
     def train(self, texts_ids: Iterator[np.ndarray], rng: np.random.Generator) -> int:
         """Learns from a share of each text's positions; the number of positions learned from."""
-        s, squares, seen = self.settings, {k: np.full_like(v, 1e-6) for k, v in self.values.items()}, 0
-        contexts, targets, held = [], [], 0
+        trainer = Trainer(self, rng)
         for ids in texts_ids:
-            at = np.flatnonzero(rng.random(len(ids)) < s.masked)
-            if len(at):
-                contexts.append(self.contexts(ids)[at])
-                targets.append(ids[at])
-                held += len(at)
-            if held >= s.batch:
-                c, t = np.concatenate(contexts), np.concatenate(targets)
-                for i in range(0, held, s.batch):
-                    self.learn(c[i : i + s.batch], t[i : i + s.batch], squares)
-                seen, contexts, targets, held = seen + held, [], [], 0
-        if held:
-            self.learn(np.concatenate(contexts), np.concatenate(targets), squares)
-        return seen + held
-
-
-def train(docs: DataFrame, settings: Settings = Settings()) -> tuple[Vocabulary, Network]:
-    """Vocabulary and network of all documents."""
+            trainer.feed(ids)
+        return trainer.finish()
+
+
+class Trainer:
+    """Steps of a network on texts that come one by one."""
+
+    def __init__(self, network: Network, rng: np.random.Generator):
+        self.network, self.rng = network, rng
+        self.squares = {k: np.full_like(v, 1e-6) for k, v in network.values.items()}
+        self.contexts, self.targets, self.held, self.seen = [], [], 0, 0
+
+    def feed(self, ids: np.ndarray) -> None:
+        s = self.network.settings
+        at = np.flatnonzero(self.rng.random(len(ids)) < s.masked)
+        if len(at):
+            self.contexts.append(self.network.contexts(ids)[at])
+            self.targets.append(ids[at])
+            self.held += len(at)
+        if self.held >= s.batch:
+            self._learn()
+
+    def _learn(self) -> None:
+        c, t, batch = np.concatenate(self.contexts), np.concatenate(self.targets), self.network.settings.batch
+        for i in range(0, self.held, batch):
+            self.network.learn(c[i : i + batch], t[i : i + batch], self.squares)
+        self.seen, self.contexts, self.targets, self.held = self.seen + self.held, [], [], 0
+
+    def finish(self) -> int:
+        if self.held:
+            self._learn()
+        return self.seen
+
+
+@dataclass
+class Shares:
+    """What tells a bucket's words apart. totals: ln of each bucket's tokens. hashes (ascending), logs: ln of the count of each word that stands more than once; every other counts once. None where they are too many to hold: then table has them as rows (h, n)."""
+
+    totals: np.ndarray
+    hashes: np.ndarray | None
+    logs: np.ndarray | None
+    table: DataFrame | None = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"table": None}
+
+    def log_counts(self, words: list[str]) -> np.ndarray:
+        """ln of each word's count in the corpus; 0 of a word that it doesn't have."""
+        h = hashes_of(words)
+        if not len(self.hashes):
+            return np.zeros(len(h))
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, self.logs[at], 0.0)
+
+
+def hashes_of(words: list[str]) -> np.ndarray:
+    """As xxhash64() of Spark SQL."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), dtype=np.uint64, count=len(words)).view(np.int64)
+
+
+@dataclass
+class Model:
+    vocabulary: Vocabulary
+    network: Network
+    shares: Shares
+
+
+def _shares(counts: DataFrame, vocabulary: Vocabulary, settings: Settings) -> Shares:
+    """counts: rows (word, n) of all words."""
+    spark = counts.sparkSession
+    known = spark.createDataFrame([(w,) for w in vocabulary], "word string")
+    rare = counts.join(F.broadcast(known), "word", "left_anti")
+    bucket = F.pmod(F.crc32(F.encode(F.right("word", F.lit(2)), "utf-8")), F.lit(settings.buckets)).cast("int")
+    totals = np.zeros(settings.buckets)
+    for r in rare.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        totals[r["bucket"]] = np.log(r["n"])
+    often = written(rare.where("n > 1").groupBy(F.xxhash64("word").alias("h")).agg(F.sum("n").alias("n")), "often")
+    if often.count() > settings.lookup:
+        return Shares(totals, None, None, often)
+    rows = often.toArrow()
+    h, n = rows["h"].to_numpy(), rows["n"].to_numpy()
+    order = np.argsort(h)
+    return Shares(totals, h[order], np.log(n[order]).astype(np.float32))
+
+
+#: Rows of a numbered document (kind 0) and of a partition's learned parameters (kind 1).
+_NUMBERED = "kind int, doc_id long, part int, seq long, ids binary, log_counts double, rare array<long>, at long, value long"
+
+
+def _rows(kind: int, **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    kinds = {"kind": pa.int32(), "doc_id": pa.int64(), "part": pa.int32(), "seq": pa.int64(), "ids": pa.binary(), "log_counts": pa.float64(), "rare": pa.list_(pa.int64()), "at": pa.int64(), "value": pa.int64()}
+    columns |= {"kind": np.full(n, kind, dtype=np.int32)}
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], type=t) if k in columns else pa.nulls(n, t) for k, t in kinds.items()], names=list(kinds))
+
+
+def _numbered(vocabulary: Vocabulary, shares: Shares, trained: Network | None, scale: float, seed: int):
+    """Documents as ids; with a network, also what it learns from them, as whole numbers times the positions seen."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seq = TaskContext.get().partitionId(), 0
+        own = trained and trained.filled(trained.flat())
+        trainer = own and Trainer(own, np.random.default_rng(seed))
+        for batch in text_batches(parts):
+            ids, logs, rare = [], [], []
+            for text in texts_of(batch):
+                numbers, words = vocabulary.numbered(text)
+                ids.append(numbers.astype("<u2").tobytes())
+                logs.append(float(shares.log_counts(words).sum()) if shares.hashes is not None else 0.0)
+                rare.append(hashes_of(words) if shares.hashes is None else None)
+                if trainer:
+                    trainer.feed(numbers)
+            n = len(ids)
+            yield _rows(0, doc_id=column_of(batch, "doc_id"), part=np.full(n, part, dtype=np.int32), seq=np.arange(seq, seq + n), ids=ids, log_counts=logs, rare=rare)
+            seq += n
+        if trainer and (seen := trainer.finish()):
+            moved = np.round((own.flat() - trained.flat()).astype(np.float64) * scale).astype(np.int64)
+            yield _rows(1, at=np.arange(len(moved) + 1), value=np.append(moved * seen, seen))
+
+    return run
+
+
+def _ids_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def learned(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> tuple[Model, DataFrame]:
+    """The model of all documents, and the documents as numbers, as scored_numbers() takes them."""
     s = settings
+    docs = _ids_of(docs, id_col, text_col)
     counts = written(count_words(docs, s), "words")
     words = [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(s.vocabulary - s.buckets).collect()]
     vocabulary, network = Vocabulary(words, s), Network.fresh(s)
+    shares = _shares(counts, vocabulary, s)
     n = docs.count()
-    share = F.pmod(F.xxhash64("doc_id", F.lit("warm")), F.lit(1_000_000)) < int(1_000_000 * min(1.0, s.warm_docs / max(1, n)))
-    rows = docs.where("doc_id is not null").where(share).select("doc_id", "text")
-
-    def numbered(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(parts):
-            yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array([vocabulary.ids(t) for t in texts_of(batch)], type=pa.list_(pa.int32()))], names=["doc_id", "ids"])
-
-    warm = sorted((r["doc_id"], r["ids"]) for r in rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(numbered, "doc_id long, ids array<int>").collect())
+    mark = F.pmod(F.xxhash64("doc_id", F.lit("warm")), F.lit(1_000_000))
+    picked = docs.where("doc_id is not null").withColumn("mark", mark).where(F.col("mark") < int(1_000_000 * min(1.0, 2 * s.warm_docs / max(1, n))))
+    warm = [vocabulary.ids(r["text"] or "") for r in picked.orderBy("mark", "doc_id", "text").limit(s.warm_docs).toLocalIterator()]
     rng = np.random.default_rng(s.seed)
     for _ in range(s.warm_passes):
-        network.train((np.array(ids, dtype=np.int32) for _, ids in warm), rng)
+        network.train(iter(warm), rng)
     start, scale = network.flat(), float(1 << s.spread)
-
-    def local(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = network.filled(start)
-        seen = own.train((vocabulary.ids(t) for batch in text_batches(parts) for t in texts_of(batch)), np.random.default_rng(s.seed))
-        if seen:
-            moved = np.round((own.flat() - start).astype(np.float64) * scale).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(moved) + 1)), pa.array(np.append(moved * seen, seen))], names=["at", "value"])
-
-    total = small_batches(docs).select("text").mapInArrow(local, "at long, value long").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).select("at", F.col("value").cast("double").alias("value"))
+    rows = written(docs.mapInArrow(_numbered(vocabulary, shares, network, scale, s.seed), _NUMBERED), "numbered")
+    total = rows.where("kind = 1").groupBy("at").agg(F.sum(F.col("value").cast("decimal(38,0)")).alias("value")).select("at", F.col("value").cast("double").alias("value"))
     sums = np.zeros(len(start) + 1)
     for r in total.collect():
         sums[r["at"]] = r["value"]
     if sums[-1]:
         network = network.filled(start + sums[:-1] / sums[-1] / scale)
-    return vocabulary, network
+    return Model(vocabulary, network, shares), rows.where("kind = 0")
 
 
-def document_score(text: str, vocabulary: Vocabulary, network: Network) -> tuple[int, float]:
-    """Tokens of a whole text and the sum of their log-probabilities, each given its neighbours."""
-    ids = vocabulary.ids(text)
-    return len(ids), float(network.log_probabilities(network.contexts(ids), ids).sum()) if len(ids) else 0.0
+def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
+    """The model of all documents."""
+    return learned(docs, settings)[0]
 
 
 #: Positions that are scored at once; bounds memory.
-_SCORED = 200_000
-
-
-def scored(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+_SCORED = 20_000
+
+
+def _network_sums(model: Model, texts: list[np.ndarray]) -> list[float]:
+    """Of each text the sum of its tokens' log-probabilities, those in buckets as if each bucket were one word of its total."""
+    network, first = model.network, model.vocabulary.first
+    lengths = np.array([len(x) for x in texts], dtype=np.int64)
+    sums, at, i = [0.0] * len(texts), 0, 0
+    while i < len(texts):  # texts are put together up to so many positions; a longer one is cut, not its neighbours
+        j, size = i, 0
+        while j < len(texts) and (size == 0 or size + lengths[j] <= _SCORED):
+            size += lengths[j]
+            j += 1
+        if size:
+            ids, contexts = np.concatenate(texts[i:j]), np.concatenate([network.contexts(x) for x in texts[i:j]])
+            values = np.concatenate([network.log_probabilities(contexts[k : k + _SCORED], ids[k : k + _SCORED]) for k in range(0, size, _SCORED)])
+            rare = np.flatnonzero(ids >= first)
+            values[rare] -= model.shares.totals[ids[rare] - first]
+            ends = np.cumsum(lengths[i:j])
+            sums[i:j] = [float(values[e - n : e].sum()) for e, n in zip(ends, lengths[i:j], strict=True)]
+        i = j
+    return sums
+
+
+def document_score(text: str, model: Model) -> tuple[int, float]:
+    """Tokens of a whole text and the sum of their log-probabilities, each given its neighbours; of a model whose counts are held."""
+    ids, rare = model.vocabulary.numbered(text)
+    return len(ids), _network_sums(model, [ids])[0] + float(model.shares.log_counts(rare).sum()) if len(ids) else 0.0
+
+
+def scored_numbers(rows: DataFrame, model: Model) -> DataFrame:
+    """The scores of numbered documents."""
+    if model.shares.table is not None:
+        each = rows.select("part", "seq", F.explode("rare").alias("h")).groupBy("part", "seq", "h").agg(F.count("*").alias("times"))
+        found = each.join(model.shares.table.hint("merge"), "h").groupBy("part", "seq").agg(F.sum(F.col("times") * F.log("n")).alias("found"))
+        found = written(found, "log-counts")
+        rows = rows.drop("log_counts").join(found.hint("merge"), ["part", "seq"], "left").withColumn("log_counts", F.coalesce("found", F.lit(0.0)))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches(parts):
+            for start in range(0, batch.num_rows, 512):
+                piece = batch.slice(start, 512)
+                texts = [np.frombuffer(x, dtype="<u2").astype(np.int32) for x in column_of(piece, "ids").to_pylist()]
+                sums = np.array(_network_sums(model, texts)) + column_of(piece, "log_counts").to_numpy()
+                counts = np.array([len(x) for x in texts], dtype=np.int64)
+                sums = np.where(counts > 0, sums, 0.0)
+                means = [float(v / n) if n else None for v, n in zip(sums, counts, strict=True)]
+                yield pa.RecordBatch.from_arrays([column_of(piece, "doc_id"), pa.array(counts), pa.array(sums), pa.array(means, type=pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_probability"])
+
+    return rows.select("doc_id", "ids", "log_counts").mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_probability double")
+
+
+def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, n_tokens, log_likelihood, mean_log_probability), one for each row of docs.
 
-    Of the whole text; a text of no tokens (null or empty) has the sum 0 and no mean. Null and repeated ids come out as
-    they came in; an empty table gives no rows; other columns aren't read.
+    Of the whole text; a text of no tokens (null or empty) has the sum 0 and no mean. A word that the model's corpus
+    doesn't have counts as one that stands there once. Null and repeated ids come out as they came in; an empty table
+    gives no rows; other columns aren't read.
     """
+    rows = _ids_of(docs, id_col, text_col).mapInArrow(_numbered(model.vocabulary, model.shares, None, 1.0, 0), _NUMBERED)
+    return scored_numbers(written(rows, "numbered"), model)
 
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_batches(rows):
-            texts, counts, sums = texts_of(batch), [], []
-            held: list[np.ndarray] = []
-
-            def settle() -> None:
-                lengths = np.array([len(x) for x in held])
-                if lengths.sum():
-                    flat = np.concatenate([network.contexts(x) for x in held]), np.concatenate(held)
-                    values = np.concatenate([network.log_probabilities(flat[0][i : i + 20_000], flat[1][i : i + 20_000]) for i in range(0, len(flat[1]), 20_000)])
-                    ends = np.cumsum(lengths)
-                    sums.extend(float(values[e - n : e].sum()) for e, n in zip(ends, lengths, strict=True))
-                else:
-                    sums.extend(0.0 for _ in held)
-                counts.extend(lengths.tolist())
-                held.clear()
-
-            size = 0
-            for text in texts:
-                held.append(vocabulary.ids(text))
-                size += len(held[-1])
-                if size >= _SCORED:
-                    settle()
-                    size = 0
-            if held:
-                settle()
-            means = [s / n if n else None for s, n in zip(sums, counts, strict=True)]
-            yield pa.RecordBatch.from_arrays([column_of(batch, "doc_id"), pa.array(counts, type=pa.int64()), pa.array(sums, type=pa.float64()), pa.array(means, type=pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "mean_log_probability"])
-
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, log_likelihood double, mean_log_probability double")
+
+def corpus_scores(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """scored() of the documents by the model that they make: each text is read twice, to count words and to number them."""
+    model, rows = learned(docs, settings)
+    return scored_numbers(rows, model)

@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -361,37 +362,91 @@ def test_quality_awkward(spark):
 # pseudo-likelihood
 
 
-def test_scores_equal_brute_force(spark):
-    docs = frame(spark, [*varied(60), "", None])
-    vocabulary, network = pseudo_likelihood.train(docs)
+def brute_likelihood(model, texts, text):
+    """The sum over all tokens of ln p(class) + ln p(word in class), and for words in buckets ln of their share of the bucket."""
+    network, vocabulary = model.network, model.vocabulary
     v, n, w = network.values, network.settings.classes, network.settings.window
-    for r in pseudo_likelihood.scored(docs, vocabulary, network).collect()[::9]:
-        ids = vocabulary.ids(next(t for i, t in enumerate([*varied(60), "", ""]) if i == r.doc_id))
-        total = 0.0
-        for at, target in enumerate(ids):
-            h = np.zeros(network.settings.width)
-            for place, o in enumerate([*range(-w, 0), *range(1, w + 1)]):
-                h += v["embed"][ids[at + o] if 0 <= at + o < len(ids) else network.settings.vocabulary] * v["place"][place]
-            h = np.tanh(h)
-            for z, k in ((h @ v["class"] + v["class_bias"], target // n), (h @ v["word"][target // n] + v["word_bias"][target // n], target % n)):
-                total += z[k] - np.log(np.exp(z).sum())
-        assert r.n_tokens == len(ids) and r.log_likelihood == pytest.approx(total, rel=1e-4)
+    counts = Counter(t for x in texts for t in re.findall(r"\w+|[^\w\s]", x.lower()))
+    totals = Counter()
+    for word, k in counts.items():
+        if vocabulary[word] >= vocabulary.first:
+            totals[vocabulary[word]] += k
+    tokens, total = re.findall(r"\w+|[^\w\s]", text.lower()), 0.0
+    ids = [vocabulary[t] for t in tokens]
+    for at, (token, target) in enumerate(zip(tokens, ids, strict=True)):
+        h = np.zeros(network.settings.width)
+        for place, o in enumerate([*range(-w, 0), *range(1, w + 1)]):
+            h += v["embed"][ids[at + o] if 0 <= at + o < len(ids) else network.settings.vocabulary] * v["place"][place]
+        h = np.tanh(h)
+        for z, k in ((h @ v["class"] + v["class_bias"], target // n), (h @ v["word"][target // n] + v["word_bias"][target // n], target % n)):
+            total += z[k] - np.log(np.exp(z).sum())
+        if target >= vocabulary.first:
+            total += np.log(counts[token] / totals[target])
+    return len(ids), total
+
+
+def rare_and_common():
+    rng = random.Random(8)
+    return [t + " " + " ".join(f"rare{min(int(rng.paretovariate(0.4)), 5000)}" for _ in range(60)) for t in varied(80)] + ["", None]
+
+
+@pytest.mark.parametrize("lookup", [4_000_000, 10], ids=["looked up", "joined"])
+def test_scores_equal_brute_force(spark, lookup):
+    texts = rare_and_common()
+    docs = frame(spark, texts)
+    own = pseudo_likelihood.Settings(classes=8, buckets=8, lookup=lookup)
+    model, rows = pseudo_likelihood.learned(docs, own)
+    assert (model.shares.table is None) == (lookup > 10) and len(model.vocabulary) == 56
+    got = {r.doc_id: r for r in pseudo_likelihood.scored_numbers(rows, model).collect()}
+    assert len(got) == 82
+    again = {r.doc_id: r.log_likelihood for r in pseudo_likelihood.scored(docs, model).collect()}
+    for i in (0, 7, 33, 79, 80):
+        n, total = brute_likelihood(model, [t or "" for t in texts], texts[i])
+        assert got[i].n_tokens == n and got[i].log_likelihood == pytest.approx(total, rel=1e-4) == again[i]
+        if lookup > 10:
+            assert pseudo_likelihood.document_score(texts[i], model) == (n, pytest.approx(total, rel=1e-4))
+
+
+def test_probabilities_of_all_words_sum_to_one(spark):
+    texts = rare_and_common()[:20]
+    model = pseudo_likelihood.train(frame(spark, texts), pseudo_likelihood.Settings(classes=8, buckets=8))
+    words = sorted({t for x in texts for t in x.lower().split()})
+    before, after = "word1 word2", "word3 word4"
+    total = 0.0
+    network, vocabulary, shares = model.network, model.vocabulary, model.shares
+    for w in words:
+        ids = vocabulary.ids(f"{before} {w} {after}")
+        p = network.log_probabilities(network.contexts(ids)[2:3], ids[2:3])[0]
+        if ids[2] >= vocabulary.first:
+            p += shares.log_counts([w])[0] - shares.totals[ids[2] - vocabulary.first]
+        total += np.exp(p)
+    used = {vocabulary[w] for w in words}
+    ids = vocabulary.ids(f"{before} x {after}")
+    unused = sum(np.exp(network.log_probabilities(network.contexts(ids)[2:3], np.array([k], dtype=np.int32))[0]) for k in set(range(64)) - used)
+    assert total + unused == pytest.approx(1.0, abs=1e-4)
+
+
+def test_words_that_stand_twice_are_likelier(spark):
+    texts = [f"the cat sat on the {a}{b}" for a in ("mat", "hat", "rug") for b in "abcdefgh"] + [f"the cat sat on the mat{b}" for b in "abcdefgh"]
+    model = pseudo_likelihood.train(frame(spark, texts), pseudo_likelihood.Settings(classes=4, buckets=8, warm_docs=5))
+    assert model.shares.log_counts(["math", "hatb", "unknown"]).tolist() == pytest.approx([np.log(2), 0, 0])
 
 
 def test_training_helps_and_reruns_agree(spark):
     docs = frame(spark, [" ".join(["the cat sat on the mat and the dog ran"] * 6)] * 40)
     trained = pseudo_likelihood.train(docs)
-    fresh = (trained[0], pseudo_likelihood.Network.fresh(pseudo_likelihood.Settings()))
+    fresh = pseudo_likelihood.Model(trained.vocabulary, pseudo_likelihood.Network.fresh(pseudo_likelihood.Settings()), trained.shares)
     text = "the cat sat on the mat"
-    assert pseudo_likelihood.document_score(text, *trained)[1] > pseudo_likelihood.document_score(text, *fresh)[1]
-    a, b = (pseudo_likelihood.scored(docs, *m).first().log_likelihood for m in (trained, pseudo_likelihood.train(docs.coalesce(docs.rdd.getNumPartitions()))))
+    assert pseudo_likelihood.document_score(text, trained)[1] > pseudo_likelihood.document_score(text, fresh)[1]
+    a, b = (pseudo_likelihood.corpus_scores(d).first().log_likelihood for d in (docs, docs.coalesce(docs.rdd.getNumPartitions())))
     assert a == b
 
 
 def test_likelihood_awkward(spark):
-    rows = pseudo_likelihood.scored(awkward(spark), *pseudo_likelihood.train(awkward(spark))).collect()
+    rows = pseudo_likelihood.corpus_scores(awkward(spark)).collect()
     assert len(rows) == 9 and next(r for r in rows if r.doc_id == 1).mean_log_probability is None
-    assert pseudo_likelihood.scored(none(spark), *pseudo_likelihood.train(none(spark))).count() == 0
+    assert pseudo_likelihood.corpus_scores(none(spark)).count() == 0
+    assert pseudo_likelihood.scored(none(spark), pseudo_likelihood.train(awkward(spark))).count() == 0
 
 
 def test_registry_names():

@@ -242,8 +242,9 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, settings: Settings
     width, n = widths["width"], widths["n"]
     rows = rows.where(F.size("embedding") == width)
     most = max(1, min(settings.sample_rows, settings.sample_values // width))
-    share = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, most / n))
-    sample = sorted((r["vec_id"], tuple(r["embedding"])) for r in rows.where(share).collect())
+    mark = F.pmod(F.xxhash64("vec_id"), F.lit(1_000_000))
+    picked = rows.withColumn("mark", mark).where(F.col("mark") < int(1_000_000 * min(1.0, 1.2 * most / n)))
+    sample = sorted((r["vec_id"], tuple(r["embedding"])) for r in picked.orderBy("mark", "vec_id").limit(most).collect())
     index = fit_index(matrix([v for _, v in sample]), settings, n)
     kind = dict(rows.dtypes)["embedding"]
     indexed = written(_spread(rows, index, 1, ("vec_id", "embedding"), kind), "index")

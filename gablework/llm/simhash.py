@@ -15,7 +15,7 @@ Within a large group only a spanning forest of the links is kept, since componen
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from itertools import combinations
 
 import numpy as np
@@ -55,6 +55,14 @@ class Scheme:
         return np.random.default_rng(64).integers(0, 2**64, size=(self.pivots, self.planes), dtype=np.uint64)
 
 
+    def of_size(self, nodes: int) -> Scheme:
+        """The scheme for so many nodes: more blocks, and with them longer keys, until a key holds few strangers. What links stays the same, as blocks - equal does."""
+        out = self
+        while out.blocks < 12 and nodes >> (64 * out.equal // out.blocks) > self.tile // 64:
+            out = replace(out, blocks=out.blocks + 1, equal=out.equal + 1)
+        return out
+
+
 #: Fingerprints of 64 bits over four-word shingles, linked at four differing bits or fewer: exact.
 EXACT = Scheme()
 #: Sketches of five-word shingle sets: 192 one-bit minima. At a Jaccard similarity of 0.8 a bit differs with a chance of 0.1, 19 bits of 192 with a deviation of 4.2; 44 lie six deviations off.
@@ -271,7 +279,7 @@ def simhash_groups(docs: DataFrame, scheme: Scheme = EXACT, id_col: str = "doc_i
     prints = written(fingerprints(docs, scheme, id_col, text_col), "prints")
     node = F.col("f0") if scheme.planes == 1 else F.xxhash64(*names)
     nodes = written(prints.groupBy(*names).agg(F.min("doc_id").alias("least")).select(node.alias("node"), *names, "least"), "nodes")
-    roots = connected_components(links(nodes, scheme))
+    roots = connected_components(links(nodes, scheme.of_size(nodes.count())))
     rooted = nodes.select("node", "least").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least")
     rooted = written(rooted, "rooted")
     component = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component")  # so that a join of a hot root can be split

@@ -1,8 +1,9 @@
 """Quality by compression: zstandard dictionaries of good and of bad labelled text.
 
 A text is compressed with either dictionary, block by block so that the dictionary matters to its end. The difference
-of the compressed sizes over their sum says which kind of text it resembles; with the text's own compressibility it
-becomes a score by a logistic curve that is fitted on labelled documents the dictionaries haven't seen.
+of the compressed sizes over their sum says which kind of text it resembles; with the text's own compressibility, which
+says how much any dictionary can save on it, it becomes a score by a logistic curve that is fitted on labelled
+documents the dictionaries haven't seen. Nothing but compressed sizes goes into a score.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from gablework.llm.labelled import fold, labelled_sample
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled documents that are learned from, about, at most: half for the dictionaries, half for the curve. dictionary_blocks: blocks that a dictionary is built from, about, at most. block, large_block: bytes. threshold: score of predicted 1. held_out: the fold (modulus, remainder) never learned from."""
+    """sample: labelled documents that are learned from, at most: half for the dictionaries, half for the curve. dictionary_blocks: blocks that a dictionary is built from, about, at most. block, large_block: bytes. threshold: score of predicted 1. held_out: the fold (modulus, remainder) never learned from."""
 
     sample: int = 12_000
     dictionary_blocks: int = 6_000
@@ -69,7 +70,7 @@ class Model:
         return self._made["good"], self._made["bad"], self._made["plain"]
 
     def features(self, text: str) -> list[float]:
-        """All sizes are of the whole text."""
+        """Of blocks of either size the difference of the compressed sizes, over their sum and over the text's; and the share that the text compresses to without a dictionary. All are of the whole text."""
         good, bad, plain = self._compressors()
         data = text.encode("utf-8", "surrogatepass")
         out = []
@@ -77,8 +78,7 @@ class Model:
             parts = _blocks(data, size)
             g, b = (sum(len(c.compress(p)) for p in parts) for c in (good, bad))
             out += [(b - g) / max(1, b + g), (b - g) / (len(data) + 16)]
-        own = len(plain.compress(data)) / (len(data) + 16)
-        return [*out, own, np.log1p(len(data)) / 10]
+        return [*out, len(plain.compress(data)) / (len(data) + 16)]
 
     def score(self, text: str) -> float:
         return self.prior if self.weights is None else float(scores(np.array([self.features(text)]), self.weights)[0])
@@ -108,7 +108,7 @@ def fit_curve(x: np.ndarray, y: np.ndarray, importance: np.ndarray) -> np.ndarra
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learns from the labelled documents outside the held-out fold, by no other input than their texts. Without labels of both kinds every score is the share of label 1 (0.5 if there are none)."""
+    """Learns from the labelled documents outside the held-out fold, by no other input than their texts. Without labels of both kinds every score is the share of label 1 (0.5 if there are none). Of rows that repeat an id the first text by order is learned from; null texts count as empty; an empty table gives the score of no labels."""
     modulus, out = settings.held_out
     usable = fold(modulus) != out
     counts = {r["y"]: r["n"] for r in labels.where(F.col("quality").isin(0, 1) & usable).groupBy(F.col("quality").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}

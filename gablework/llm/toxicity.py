@@ -36,7 +36,7 @@ _ADDRESS = frozenset("you your youre du dein ihr tú eres usted tu vous es".spli
 
 @dataclass(frozen=True)
 class Settings:
-    """sample: labelled documents that are learned from, about, at most. terms: of the lexicon at most, the most telling. least_docs, least_share, least_contexts, least_odds: what a word needs to enter (toxic documents, their share, different words before it, log odds). least_near: log odds from which a misspelled form that clean documents have counts. least_clean: clean documents from which a form is held to that. near: a misspelled hit's share of its term's worth. threshold: score from which a document is rejected. window: words to either side of a hit. quoted, reported, addressed: factors of a hit's worth. held_out: the fold (modulus, remainder) never learned from."""
+    """sample: labelled documents that are learned from, at most. terms: of the lexicon at most, the most telling. least_docs, least_share, least_contexts, least_odds: what a word needs to enter (toxic documents, their share, different words before it, log odds). least_near: log odds from which a misspelled form that clean documents have counts. least_clean: clean documents from which a form is held to that. near: a misspelled hit's share of its term's worth. threshold: score from which a document is rejected. window: words to either side of a hit. quoted, reported, addressed: factors of a hit's worth. held_out: the fold (modulus, remainder) never learned from."""
 
     sample: int = 20_000
     terms: int = 2_000
@@ -254,7 +254,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model:
-    """Learns from the labelled documents outside the held-out fold, by no other input than their texts. With no toxic or no clean ones every score is 0.5 or less."""
+    """Learns from the labelled documents outside the held-out fold, by no other input than their texts. With no toxic or no clean ones every score is 0.5 or less. Of rows that repeat an id the first text by order is learned from; null texts count as empty."""
     modulus, out = settings.held_out
     sample = labelled_sample(docs, labels, "toxic", fold(modulus) != out, settings.sample)
     sizes = {r["y"]: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -325,7 +325,7 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def clean_documents(docs: DataFrame, model: Model) -> DataFrame:
-    """docs without the rows whose score reaches the threshold; all columns as they were."""
+    """docs without the rows whose score reaches the threshold; all columns as they were. Null and empty texts are clean; null and repeated ids stay as they are; an empty table gives no rows."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_batches(rows):

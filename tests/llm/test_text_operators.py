@@ -90,6 +90,15 @@ def test_simhash_equals_brute_force(spark, tile):
     assert {r.doc_id: r.component_id for r in rows} == brute_components(prints)
 
 
+def test_longer_keys_for_more_nodes(spark):
+    sizes = [simhash.EXACT.of_size(n) for n in (10, 10**9, 10**11, 10**14)]
+    assert [(s.blocks, s.equal) for s in sizes][0] == (7, 3) and sizes[3].equal > sizes[2].equal > 3
+    assert all(s.blocks - s.equal == 4 == s.max_bits for s in sizes)
+    texts = varied(120)
+    rows = simhash.simhash_groups(frame(spark, texts), sizes[2]).collect()
+    assert {r.doc_id: r.component_id for r in rows} == brute_components([(i, brute_print(t, 4)) for i, t in enumerate(texts)])
+
+
 def test_simhash_awkward(spark):
     rows = simhash.simhash_groups(awkward(spark)).collect()
     of = {r.doc_id: r for r in rows}
@@ -352,6 +361,31 @@ def test_quality_held_out(spark):
     assert np.allclose(got.sort_values("doc_id")["score"], again.sort_values("doc_id")["score"])
 
 
+def test_features_are_compressed_sizes():
+    import zstandard
+
+    rng = random.Random(3)
+    text = " ".join(rng.choices(["stone", "river", "light", "ü"], k=900))
+    model = quality.Model(b"stone river light " * 40, b"$$$ %%% &&& " * 40, None, 0.5, quality.Settings())
+    options = {"level": 3, "write_checksum": False, "write_content_size": False, "write_dict_id": False}
+    data, expected = text.encode(), []
+    for size in (1024, 8192):
+        g, b = (sum(len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d), **options).compress(data[i : i + size])) for i in range(0, len(data), size)) for d in (model.good, model.bad))
+        expected += [(b - g) / (b + g), (b - g) / (len(data) + 16)]
+    expected.append(len(zstandard.ZstdCompressor(**options).compress(data)) / (len(data) + 16))
+    assert model.features(text) == pytest.approx(expected) and expected[0] > 0
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    from gablework.llm.labelled import labelled_sample
+
+    docs = frame(spark, [f"t{i}" for i in range(300)]).unionByName(spark.createDataFrame([(7, f"again{i}", "en", "s", 1) for i in range(200)], DOCS))
+    labels = labels_of(spark, [(i, i % 2, 0) for i in range(300)] + [(7, 1, 0)] * 50)
+    got = labelled_sample(docs, labels, "quality", mixing.F.lit(True), 100).collect()
+    assert 60 <= len(got) <= 100 and len({(r.doc_id, r.y) for r in got}) == len(got)
+    assert labelled_sample(docs, labels, "quality", mixing.F.lit(True), 1000).where("doc_id = 7").select("text").collect() == [("again0",)]
+
+
 def test_quality_awkward(spark):
     model = quality.train(awkward(spark), labels_of(spark, [(0, 1, 0), (1, None, None)]))
     rows = quality.scored(awkward(spark), model).collect()

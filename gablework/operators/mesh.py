@@ -67,16 +67,18 @@ def _ground_and_walls(ring: Column, tops: Column, h_ground: Column, first: Colum
     return F.concat(bottom, top), F.concat(F.array(ground), F.transform(_upto(n), wall))
 
 
-def cell_mesh(exterior: Column, cells: Column, planes: Column, tops: Column, h_ground: Column, default: Column) -> Column:
+def cell_mesh(exterior: Column, cells: Column, planes: Column, tops: Column, h_ground: Column, default: Column, bare: Column) -> Column:
     """The mesh of labelled roof cells: a triangle for each, then ground and walls; 3T + 3n vertices, T + n + 1 faces.
 
     cells: array<struct<x0..y2, plane_id>> in order. planes: array<struct<plane_id,nx,ny,nz,d>> in order. tops: a height
-    for each corner. default: the height over a cell whose plane is vertical.
+    for each corner. default: the height over a cell whose plane is vertical; bare: over a cell of no plane, which takes
+    the first plane's surface.
     """
     ring = g.open_ring(exterior)
-    at = lambda c, x, y: F.coalesce(g.eval_z(*[F.get(planes, c["plane_id"])[k] for k in ("nx", "ny", "nz", "d")], c[x], c[y]), default)
+    over = lambda c, x, y: F.coalesce(g.eval_z(*[F.get(planes, c["plane_id"])[k] for k in ("nx", "ny", "nz", "d")], c[x], c[y]), default)
+    at = lambda c, x, y: F.when(c["plane_id"].isNull(), bare).otherwise(over(c, x, y))
     roof = F.flatten(F.transform(cells, lambda c: F.array(*[g.point(c[x], c[y], at(c, x, y)) for x, y in (("x0", "y0"), ("x1", "y1"), ("x2", "y2"))])))
-    triangles = F.transform(cells, lambda c, i: face(F.array(3 * i, 3 * i + 1, 3 * i + 2), c["plane_id"] + 2))
+    triangles = F.transform(cells, lambda c, i: face(F.array(3 * i, 3 * i + 1, 3 * i + 2), F.coalesce(c["plane_id"], F.lit(0)) + 2))
     vertices, faces = _ground_and_walls(ring, tops, h_ground, 3 * F.size(cells))
     semantics = F.concat(F.array(semantic("GroundSurface"), semantic("WallSurface", True)), F.transform(planes, roof_with_stats))
     return F.when(F.size(ring) >= 3, mesh(F.concat(roof, vertices), F.concat(triangles, faces), semantics))

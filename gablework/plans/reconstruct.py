@@ -103,7 +103,7 @@ def _assembled(rows: DataFrame, labelled: DataFrame, tops: DataFrame, default: f
     none = F.array().cast("array<struct<site_id:int,x0:double,y0:double,x1:double,y1:double,x2:double,y2:double,plane_id:int>>")
     held = F.coalesce("labelled", none)
     z = F.transform("tops", lambda t: F.coalesce(t["z"], F.col("h_ground") + wall_default))
-    made = mesh.cell_mesh(F.col("polygon.exterior"), held, F.col("planes"), z, F.col("h_ground"), F.col("h_ground") + default)
+    made = mesh.cell_mesh(F.col("polygon.exterior"), held, F.col("planes"), z, F.col("h_ground"), F.col("h_ground") + default, F.col("z_70p"))
     broken = F.col("cells").isNull() | F.col("failed")
     return met.select("fid", F.when(~broken, made).alias("mesh"), broken.alias("failed"), F.size(held).alias("n_cells"))
 
@@ -118,14 +118,19 @@ class Arrangement:
 
     def meshes(self, of: Scene) -> DataFrame:
         rows = written(roof_cells(of, self.on_crossing), "cells")
-        cells, edge = cells_inside(rows), corners(rows)
+        return self.assembled(of, rows, cells_inside(rows)).drop("n_cells")
+
+    @staticmethod
+    def assembled(of: Scene, rows: DataFrame, cells: DataFrame) -> DataFrame:
+        """The meshes of buildings' rows over given cells: cells and corners take the plane with most points around them."""
+        edge = corners(rows)
         sites = cells.select("fid", "site_id", "cx", "cy").unionAll(edge.select("fid", -1 - F.col("seq"), "vx", "vy"))
         votes = labels.inlier_votes(sites, of.planes, of.inliers)
         label = written(labels.label_vote(votes, of.planes), "labels")
         labelled = cells.join(label.select("fid", "site_id", "plane_id"), ["fid", "site_id"])
         at = label.where("site_id < 0").select("fid", (-1 - F.col("site_id")).alias("seq"), "plane_id")
         tops = labels.heights(edge.join(at, ["fid", "seq"], "left"), of.planes, "vx", "vy")
-        return _assembled(rows, labelled, tops.select("fid", "seq", "z"), 0.0, 3.0).drop("n_cells")
+        return _assembled(rows, labelled, tops.select("fid", "seq", "z"), 0.0, 3.0)
 
 
 class GraphCut:
@@ -138,14 +143,18 @@ class GraphCut:
 
     def meshes(self, of: Scene) -> DataFrame:
         rows = written(roof_cells(of, self.on_crossing), "cells")
-        cells = cells_inside(rows, 1e-6)
+        made = self.assembled(of, rows, cells_inside(rows, 1e-6))
+        return made.select("fid", F.when(F.col("n_cells") > 0, F.col("mesh")).alias("mesh"), "failed")
+
+    @staticmethod
+    def assembled(of: Scene, rows: DataFrame, cells: DataFrame) -> DataFrame:
+        """The meshes of buildings' rows over given cells: cells take the plane of least cost, corners that of the nearest cell."""
         label = labels.label_cost(labels.data_costs(cells, of.planes, of.inliers))
         labelled = written(cells.join(label.select("fid", "site_id", "plane_id"), ["fid", "site_id"]), "labelled")
         edge = corners(rows)
         nearest = labels.nearest_cell(edge, labelled)
         tops = labels.heights(edge.join(nearest.select("fid", "seq", "plane_id"), ["fid", "seq"], "left"), of.planes, "vx", "vy")
-        made = _assembled(rows, labelled, tops.select("fid", "seq", "z"), 3.0, 3.0)
-        return made.select("fid", F.when(F.col("n_cells") > 0, F.col("mesh")).alias("mesh"), "failed")
+        return _assembled(rows, labelled, tops.select("fid", "seq", "z"), 3.0, 3.0)
 
 
 METHODS: dict[str, type] = {m.name: m for m in (PlaneExtrude, Arrangement, GraphCut)}

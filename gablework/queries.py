@@ -18,6 +18,7 @@ from gablework.functions import text as t
 from gablework.model import DEFAULTS, MESH, RansacConfig
 from gablework.operators import cityjson, crop, labels, mesh, planes, triangulate
 from gablework.plans import reconstruct as plans
+from gablework.scratch import written
 from gablework.sources import las, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -745,24 +746,44 @@ def _mesh_counts(rows: DataFrame) -> DataFrame:
     return rows.where("mesh is not null").select("fid", F.size("mesh.vertices").alias("n_vertices"), F.size("mesh.faces").alias("n_faces"), F.size("mesh.semantics").alias("n_semantics"))
 
 
-def _given_cells(f: Fixture, label: DataFrame) -> DataFrame:
+def _given_cells(f: Fixture, method) -> DataFrame:
+    """The method's meshes over the given planes and cells: counts, heights of roof and walls, and the surface of each face."""
     of = _given_scene(f)
-    rows = of.buildings.join(plans._plane_arrays(of), "fid").withColumn("cells", F.array(F.lit(0)))
-    edge = plans.corners(rows).select("fid", "seq", F.lit(9.0).alias("z"))
-    return _mesh_counts(plans._assembled(rows, f.cells.join(label.select("fid", "site_id", "plane_id"), ["fid", "site_id"]), edge, 3.0, 3.0))
+    rows = written(of.buildings.join(plans._plane_arrays(of), "fid").withColumn("cells", F.array(F.lit(0))), "given")
+    m, total = c("mesh"), lambda v: r(F.aggregate(v, F.lit(0.0), lambda a, p: a + p["z"]), 4)
+    n = (F.size("mesh.vertices") / 3).cast("int") - 4
+    surfaces = F.array_join(F.transform(m["faces"], lambda x: x["semantic_index"]).cast("array<string>"), ",")
+    made = method.assembled(of, rows, f.cells).where("mesh is not null")
+    heights = total(F.slice(m["vertices"], 1, 12)).alias("roof_z"), total(F.slice(m["vertices"], 13 + n, 2 * n)).alias("wall_z")
+    return made.select("fid", F.size("mesh.vertices").alias("n_vertices"), F.size("mesh.faces").alias("n_faces"), F.size("mesh.semantics").alias("n_semantics"), *heights, surfaces.alias("surfaces"))
 
 
-_COUNTS = sql([FOOTPRINT_CTE, GIVEN_CTE, CORNER], "select distinct corner.fid, 12 + 3*n as n_vertices, 4 + n + 1 as n_faces, 2 + k as n_semantics from corner join (select fid, count(*) as k from plane_given group by fid) p on p.fid = corner.fid")
+_GIVEN_MESH = """
+shown as (select l.fid, l.site_id, l.plane_id, (0.0e0 - (nx*x0 + ny*y0 + d))/nz + (0.0e0 - (nx*x1 + ny*y1 + d))/nz + (0.0e0 - (nx*x2 + ny*y2 + d))/nz as z
+  from labelled l join cell_given k on k.fid = l.fid and k.cell_id = l.site_id join plane_given p on p.fid = l.fid and p.plane_id = l.plane_id),
+roofs as (select fid, sum(z) as z, string_agg(cast(plane_id + 2 as varchar), ',' order by site_id) as surfaces from shown group by fid),
+walls as (select t.fid, count(*) as n, sum(2*(0.0e0 - (nx*x + ny*y + d))/nz) as z from tops t join plane_given p on p.fid = t.fid and p.plane_id = t.plane_id group by t.fid)"""
+_GIVEN_SELECT = """select roofs.fid, 12 + 3*n as n_vertices, 4 + n + 1 as n_faces, 2 + k as n_semantics, round(roofs.z, 4) + 0.0e0 as roof_z, round(walls.z, 4) + 0.0e0 as wall_z, surfaces || ',0' || repeat(',1', n::int) as surfaces
+  from roofs join walls on walls.fid = roofs.fid join (select fid, count(*) as k from plane_given group by fid) c on c.fid = roofs.fid"""
+_CORNER_VOTE = f"""{CORNER},
+corner_vote as (
+  select e.fid, e.seq, e.x, e.y, e.plane_id, coalesce(v.votes, 0) as votes
+  from (select k.fid, k.seq, k.x, k.y, p.plane_id from corner k join plane_given p on p.fid = k.fid) e
+  left join (select k.fid, k.seq, i.plane_id, count(*) as votes from corner k join inlier i on i.fid = k.fid
+    where (i.x - k.x)*(i.x - k.x) + (i.y - k.y)*(i.y - k.y) < 9.0e0 group by k.fid, k.seq, i.plane_id) v
+  on v.fid = e.fid and v.seq = e.seq and v.plane_id = e.plane_id),
+corner_best as (select fid, seq, x, y, arg_min(plane_id, (0 - votes, plane_id)) as top, max(votes) as votes from corner_vote group by fid, seq, x, y),
+tops as (select b.fid, seq, x, y, case when votes >= 2 then top else first end as plane_id from corner_best b join firsts on firsts.fid = b.fid)"""
 
 
-@query("mesh_arrangement", _COUNTS)
+@query("mesh_arrangement", sql([*GIVEN, VOTE, _BEST, "labelled as (select best.fid, site_id, case when votes >= 2 then top else first end as plane_id from best join firsts on firsts.fid = best.fid)", _CORNER_VOTE, _GIVEN_MESH], _GIVEN_SELECT))
 def _(f):
-    return _given_cells(f, labels.label_vote(labels.inlier_votes(f.cells, f.planes, _inliers(f)), f.planes))
+    return _given_cells(f, plans.Arrangement)
 
 
-@query("mesh_graphcut", _COUNTS)
+@query("mesh_graphcut", sql([*GIVEN, COST, _ARGMIN, "labelled as (select fid, site_id, plane_id from least_cost)", _NEAREST, "tops as (select near.fid, seq, x, y, plane_id from near join least_cost b on b.fid = near.fid and b.site_id = near.cell_id)", _GIVEN_MESH], _GIVEN_SELECT))
 def _(f):
-    return _given_cells(f, labels.label_cost(labels.data_costs(f.cells, f.planes, _inliers(f))))
+    return _given_cells(f, plans.GraphCut)
 
 
 @query("mesh_extrude")

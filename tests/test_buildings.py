@@ -64,6 +64,15 @@ def test_crossing_ridge_falls_back(spark):
     assert plans.reconstruct(ring, cloud, plans.GraphCut("split")).first().fallback is None
 
 
+def test_cells_of_no_plane_take_the_roof_height_and_the_first_surface(spark):
+    kind = "array<struct<nx:double,ny:double,nz:double,d:double>>"
+    cell = "named_struct('x0', 0D, 'y0', 0D, 'x1', 12D, 'y1', 0D, 'x2', 5D, 'y2', 4D, 'plane_id', {})"
+    cells = F.array(F.expr(cell.format("cast(null as int)")), F.expr(cell.format("0")))
+    planes = F.expr(f"from_json('[{{\"nx\":1,\"ny\":0,\"nz\":0,\"d\":-3}}]', '{kind}')")
+    made = footprints(spark, {1: BOX}).select(mesh.cell_mesh(F.col("polygon.exterior"), cells, planes, F.array(*[F.lit(4.0)] * 4), F.lit(1.0), F.lit(1.0), F.lit(6.5)).alias("m")).first().m
+    assert [v.z for v in made.vertices[:6]] == [6.5, 6.5, 6.5, 1.0, 1.0, 1.0] and [f.semantic_index for f in made.faces[:2]] == [2, 2]
+
+
 def test_quantised_towards_zero(spark):
     row = spark.range(1).select(*[cityjson.quantised(F.lit(v), F.lit(0.0)).alias(str(i)) for i, v in enumerate((-0.0019, 0.0019, float("nan"), 1e30, -1e30))]).first()
     assert tuple(row) == (-1, 1, 0, 2**63 - 1, -(2**63))

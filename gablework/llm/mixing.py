@@ -41,24 +41,40 @@ def _cycled(values: tuple, rank: Column, kind: str) -> Column:
     return F.get(F.array(*[F.lit(v).cast(kind) for v in values]), F.pmod(rank, F.lit(len(values))).cast("int"))
 
 
+def with_running(rows: DataFrame, order: tuple[str, ...], sums: dict[str, str], name: str) -> DataFrame:
+    """rows with the sum of each column over all rows before, in an order without ties: {column: name of its sum}.
+
+    Rows are dealt by ranges of the order and summed within them; the ranges' own sums, as many as there are
+    partitions, are what one task adds up.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, *order).withColumn("piece", F.spark_partition_id()), name)
+    totals = dealt.groupBy("piece").agg(*[F.sum(c).alias(f"all_{c}") for c in sums])
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = totals.select("piece", *[before(f"all_{c}", Window.orderBy("piece")).alias(f"start_{c}") for c in sums])
+    within = Window.partitionBy("piece").orderBy(*order)
+    dealt = dealt.join(F.broadcast(starts), "piece").select(*rows.columns, *[(F.col(f"start_{c}") + before(c, within)).alias(out) for c, out in sums.items()])
+    return dealt
+
+
 def source_targets(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """Rows (source, rank, source_size, target, slope), one for each source of rows (source, size).
+    """Rows (source, rank, source_size, earlier, target, slope), one for each source of rows (source, size). earlier: words of the sources before.
 
     The caps are filled in the order of cap over weight: of all levels (budget left) / (weight left), the highest is
-    the one at which no source is above its cap. A source of no words has target 0.
+    the one at which no source is above its cap. A source of no words has target 0. However many sources there are, no
+    task holds them all.
     """
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    named = totals.withColumn("rank", F.row_number().over(by_name) - 1)
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("none", F.col("source").isNull()).withColumn("one", F.lit(1).cast("long"))
+    named = with_running(totals, ("none", "source"), {"one": "rank", "source_size": "earlier"}, "named")
     named = named.withColumn("weight", _cycled(mix.weights, F.col("rank"), "double")).withColumn("slope", _cycled(mix.slopes, F.col("rank"), "double"))
     named = named.withColumn("most", (mix.cap * F.col("source_size")).cast("double")).withColumn("ratio", F.col("most") / F.col("weight"))
-    before = Window.orderBy("ratio", "rank").rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy(F.lit(1))
-    used = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
-    level = (mix.budget * F.sum("source_size").over(everything) - used("most")) / (F.sum("weight").over(everything) - used("weight"))
-    filled = named.withColumn("level", level).withColumn("level", F.max("level").over(everything))
-    target = F.when(F.col("ratio") <= F.col("level"), F.col("most")).otherwise(F.col("level") * F.col("weight"))
-    return filled.select("source", "rank", "source_size", target.alias("target"), "slope")
+    filled = written(with_running(named, ("ratio", "rank"), {"most": "used", "weight": "used_weight"}, "rated"), "filled")
+    whole = filled.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
+    filled = filled.crossJoin(F.broadcast(whole)).withColumn("level", (mix.budget * F.col("all_size") - F.col("used")) / (F.col("all_weight") - F.col("used_weight")))
+    highest = written(filled.agg(F.max("level").alias("highest")), "level")
+    filled = filled.crossJoin(F.broadcast(highest))
+    target = F.when(F.col("ratio") <= F.col("highest"), F.col("most")).otherwise(F.col("highest") * F.col("weight"))
+    return filled.select("source", "rank", "source_size", "earlier", target.alias("target"), "slope")
 
 
 def _demand_inverse(share: Column, slope: Column) -> Column:
@@ -89,11 +105,10 @@ def curriculum(docs: DataFrame, mix: Mix = Mix(), carry: tuple[str, ...] = ()) -
     ranked = lambda t: t.join(sources.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of", "source").withColumn("bucket", F.substring("key", 1, digits))
     sized = ranked(sized)
     sums = ranked(narrow).groupBy("rank", "bucket").agg(F.sum("size").alias("sum"))
-    earlier = Window.partitionBy("rank").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = written(sums.select("rank", "bucket", F.coalesce(F.sum("sum").over(earlier), F.lit(0)).alias("offset")), "offsets")
+    offsets = written(with_running(sums, ("rank", "bucket"), {"sum": "before"}, "sums").select("rank", "bucket", "before"), "offsets")
     ordered = Window.partitionBy("rank", "bucket").orderBy("key", "doc_id", "size")
     within = F.sum("size").over(ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
-    placed = sized.withColumn("within", within).join(offsets, ["rank", "bucket"]).withColumn("start", F.col("offset") + F.col("within"))
+    placed = sized.withColumn("within", within).join(offsets, ["rank", "bucket"]).withColumn("start", F.col("before") - F.col("earlier") + F.col("within"))
     demand = F.floor(F.col("target") + 0.5).cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(demand / F.col("source_size"))).otherwise(0).cast("long")
     rest = demand - passes * F.col("source_size")

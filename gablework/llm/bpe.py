@@ -141,6 +141,18 @@ class ByteBpe:
         """Ids and the (start, end) of each in characters; tokens that share a character both have its place."""
         return [(e.ids, e.offsets) for e in self._tokenizer().encode_batch(texts, add_special_tokens=False)]
 
+    def spans(self, text: str, ids: bytes) -> np.ndarray:
+        """(start, end) in characters of each id of a text; ids that hold parts of one character all have its place."""
+        if "l" not in self._made:
+            self._made["l"] = np.array([len(x) for x in self._bytes_by_id()], dtype=np.int64)
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        if not len(data):
+            return np.zeros((0, 2), dtype=np.int32)
+        own = np.cumsum((data & 0xC0) != 0x80) - 1  # the character that each byte is of
+        size = self._made["l"][np.frombuffer(ids, dtype="<u4")]
+        end = np.cumsum(size)
+        return np.stack([own[end - size], own[end - 1] + 1], axis=1).astype(np.int32)
+
     def _bytes_by_id(self) -> list[bytes]:
         if "b" not in self._made:
             back = {c: b for b, c in enumerate(byte_characters())}
@@ -166,8 +178,8 @@ def codec(path: str) -> ByteBpe:
     return ByteBpe(path)
 
 
-def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, n_tokens, ids array<int>, whole boolean), one for each row of docs: the ids of the whole text, and whether they decode to its bytes.
+def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", offsets: bool = False) -> DataFrame:
+    """Rows (doc_id, n_tokens, ids array<int>, whole boolean), one for each row of docs: the ids of the whole text, and whether they decode to its bytes. With offsets, also spans array<struct<start,end>>: the characters that each id stands for.
 
     A null text counts as empty and has no ids. Null and repeated ids come out as they came in; an empty table gives
     no rows; other columns aren't read. Texts of any length are taken whole.
@@ -181,10 +193,16 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             flat = pa.array(np.frombuffer(b"".join(ids), dtype="<u4").view(np.int32))
             counts = [len(x) // 4 for x in ids]
             same = [bpe.decode_bytes(x) == t.encode() for x, t in zip(ids, texts, strict=True)]
-            columns = [column_of(batch, "doc_id"), pa.array(counts, type=pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), type=pa.int32()), flat), pa.array(same)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "whole"])
-
-    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, whole boolean")
+            ends = pa.array(np.cumsum([0, *counts]), type=pa.int32())
+            columns = [column_of(batch, "doc_id"), pa.array(counts, type=pa.int64()), pa.ListArray.from_arrays(ends, flat), pa.array(same)]
+            if offsets:
+                at = np.concatenate([bpe.spans(t, x) for x, t in zip(ids, texts, strict=True)] or [np.zeros((0, 2), dtype=np.int32)])
+                columns.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(at[:, 0]), pa.array(at[:, 1])], names=["start", "end"])))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    names = ["doc_id", "n_tokens", "ids", "whole", *(["spans"] if offsets else [])]
+    schema = "doc_id long, n_tokens long, ids array<int>, whole boolean" + (", spans array<struct<start:int,end:int>>" if offsets else "")
+    return small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 def decoded(ids: DataFrame, path: str) -> DataFrame:

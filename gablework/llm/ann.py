@@ -26,7 +26,7 @@ from gablework.llm.vectors import distances, is_usable, matrix, rows_of
 
 @dataclass(frozen=True)
 class Settings:
-    """neighbours: returned for each query. partitions: of the index, at least; partition_rows: rows for which it gets another one, up to most_partitions. sample_values: numbers in the sample that the index is fitted on, at most; sample_rows: its vectors, at most. graph: neighbours in the graph. hidden: units of the network. recall: aimed at on held-out sample queries. chunk: candidates of a task, about; block: its queries, about."""
+    """neighbours: returned for each query. partitions: of the index, at least; partition_rows: rows for which it gets another one, up to most_partitions. sample_values: numbers in the sample that the index is fitted on, at most; sample_rows: its vectors, at most. graph: neighbours in the graph. hidden: units of the network. recall: aimed at on held-out sample queries. chunk: candidates of a task, about; block: its queries, about; they grow to large_chunk and large_block where a candidate would go to over copies tasks."""
 
     neighbours: int = 10
     partitions: int = 16
@@ -40,6 +40,9 @@ class Settings:
     recall: float = 0.94
     chunk: int = 4_096
     block: int = 1_024
+    large_chunk: int = 16_384
+    large_block: int = 8_192
+    copies: int = 16
     seed: int = 7
 
 
@@ -199,12 +202,13 @@ def _search(k: int):
         heads = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))  # rows that repeat an id count as one
         near_x, near_q, allowed = _near_origin(x, q)
         half, out = (near_x * near_x).sum(axis=1), []
-        for start in range(0, len(q), 128):
-            part = near_q[start : start + 128]
+        step = max(16, 524_288 // len(x))
+        for start in range(0, len(q), step):
+            part = near_q[start : start + step]
             own = (part * part).sum(axis=1)
             rough = half[None, :] - 2 * (part @ near_x.T) + own[:, None]
             slack = allowed * (half[None, :] + own[:, None])  # what rounding can have moved it by
-            other = query_ids[start : start + 128, None] != ids[None, :]
+            other = query_ids[start : start + step, None] != ids[None, :]
             most_far = np.where(other, rough + slack, np.inf)
             most = min(k, len(heads)) - 1
             least = most_far if len(heads) == len(x) else np.minimum.reduceat(most_far, heads, axis=1)
@@ -250,8 +254,9 @@ def nearest_neighbours(vectors: DataFrame, is_query: Column, settings: Settings
     indexed = written(_spread(rows, index, 1, ("vec_id", "embedding"), kind), "index")
     queries = _spread(rows.where(is_query), index, index.probes, ("query_id", "query"), kind)
     queries = written(queries, "queries")
-    chunks = indexed.groupBy("part").agg(F.ceil(F.count("*") / settings.chunk).cast("int").alias("chunks"))
-    blocks = queries.groupBy("part").agg(F.ceil(F.count("*") / settings.block).cast("int").alias("blocks"))
+    grown = lambda least, most: F.greatest(F.lit(least), F.least(F.lit(most), F.ceil(F.count("*") / settings.copies)))
+    chunks = indexed.groupBy("part").agg(F.ceil(F.count("*") / grown(settings.chunk, settings.large_chunk)).cast("int").alias("chunks"))
+    blocks = queries.groupBy("part").agg(F.ceil(F.count("*") / grown(settings.block, settings.large_block)).cast("int").alias("blocks"))
     grid = F.broadcast(written(chunks.join(blocks, "part"), "grid"))  # a row for each partition
     left = indexed.join(grid, "part").withColumn("chunk", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int"))
     left = left.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("part", "chunk", "block", "vec_id", "embedding")

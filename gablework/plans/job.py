@@ -19,7 +19,8 @@ def read_footprints(spark: SparkSession, path: str) -> tuple[DataFrame, str | No
         found = vector.scan_geopackage_crs(spark, path).where("epsg is not null").select("epsg").first()
         return vector.scan_geopackage(spark, path), found and found["epsg"]
     if path.endswith((".geojson", ".json")):
-        return vector.scan_geojson(spark, path), None
+        found = vector.scan_geojson_crs(spark, path).where("epsg is not null").select("epsg").first()
+        return vector.scan_geojson(spark, path), found and found["epsg"]
     return spark.read.parquet(path), None
 
 

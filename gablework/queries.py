@@ -18,7 +18,7 @@ from gablework.functions import text as t
 from gablework.model import DEFAULTS, MESH, RansacConfig
 from gablework.operators import cityjson, crop, labels, mesh, planes, triangulate
 from gablework.plans import reconstruct as plans
-from gablework.scratch import written
+from gablework.scratch import put, scratch_path, written
 from gablework.sources import las, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,16 +122,28 @@ def _flat(f: Fixture) -> DataFrame:
 # sources
 
 
+def _las_files(f: Fixture) -> str:
+    """The cloud as LAS files in the scratch folder, one for each last digit of pid."""
+
+    def encoded(group: pa.Table) -> pa.Table:
+        xyz = np.stack([group[k].to_numpy() for k in "xyz"], axis=1)
+        return pa.table({"file": group["file"][:1], "data": pa.array([las.encode_las(xyz, epsg=2154)], type=pa.binary())})
+
+    folder = scratch_path(f.spark, "cloud")
+    parts = f.points.withColumn("file", c("pid") % 10).select("file", "x", "y", "z").groupBy("file").applyInArrow(encoded, "file long, data binary")
+    for row in parts.toLocalIterator():
+        put(f.spark, f"{folder}/{row['file']}.las", bytes(row["data"]))
+    return folder
+
+
 @query("scan_las", sql([FOOTPRINT_CTE, POINT_CTE], "select round(x, 4) + 0.0e0 as x, round(y, 4) + 0.0e0 as y, round(z, 4) + 0.0e0 as z from pt"))
 def _(f):
-    def files(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in rows:
-            if batch.num_rows:
-                xyz = las.decode_points(las.encode_las(np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)))
-                yield pa.RecordBatch.from_arrays([pa.array(xyz[:, k]) for k in range(3)], names=["x", "y", "z"])
+    return las.scan_las(f.spark, _las_files(f)).select(*[r(c(k), 4).alias(k) for k in "xyz"])
+
 
-    back = f.points.select("x", "y", "z").mapInArrow(files, "x double, y double, z double")
-    return back.select(*[r(c(k), 4).alias(k) for k in "xyz"])
+@query("las_files_crs", sql([FOOTPRINT_CTE, POINT_CTE], "select distinct cast(pid % 10 as varchar) || '.las' as file, '2154' as epsg from pt"))
+def _(f):
+    return las.scan_las_crs(f.spark, _las_files(f)).select(F.element_at(F.split("path", "/"), -1).alias("file"), "epsg")
 
 
 _WKT_SQL = """select s_suppkey as fid, case s_suppkey % 3 when 0 then 'PROJCS["a",GEOGCS["b",AUTHORITY["EPSG","' || cast(4000 + s_suppkey % 900 as varchar) || '"]],AUTHORITY["EPSG","2154"]]'
@@ -160,6 +172,23 @@ def _vertices(footprints: DataFrame) -> DataFrame:
 
 
 @query("scan_footprints", _VERT)
+def _(f):
+    folder = scratch_path(f.spark, "footprints")
+    vector.to_geojson(f.footprints).write.text(folder)
+    return _vertices(vector.scan_geojson(f.spark, folder))
+
+
+@query("footprint_crs", "select * from (values ('a.geojson', '4326'), ('b.geojson', '2154'), ('c.gpkg', '3035')) v(file, epsg)")
+def _(f):
+    folder = scratch_path(f.spark, "crs")
+    put(f.spark, f"{folder}/a.geojson", b'{"type": "FeatureCollection", "features": []}')
+    put(f.spark, f"{folder}/b.geojson", b'{"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": "urn:ogc:def:crs:EPSG::2154"}}, "features": []}')
+    put(f.spark, f"{folder}/c.gpkg", vector.empty_geopackage(3035))
+    found = vector.scan_geojson_crs(f.spark, f"{folder}/*.geojson").unionAll(vector.scan_geopackage_crs(f.spark, f"{folder}/*.gpkg"))
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "epsg")
+
+
+@query("footprints_of_wkt", _VERT)
 def _(f):
     texts = f.footprints.select("fid", vector.to_wkt(c("polygon")).alias("wkt"))
     return _vertices(vector.from_wkt(texts))
@@ -836,6 +865,31 @@ def _(f):
     return lines.select("section", "fid", F.get_json_object("line", "$.type").alias("type"))
 
 
+def _city_file(f: Fixture) -> DataFrame:
+    """The city as the writer leaves it: rows (line) of its files."""
+    folder = scratch_path(f.spark, "city")
+    cityjson.write_city(cityjson.city_lines(_flat(f), crop.dataset_centroid(f.footprints), date=DATE), folder)
+    return f.spark.read.text(folder).withColumnRenamed("value", "line")
+
+
+@query("sink_open", f"select 'CityJSON' as type, '2.0' as version, '{DATE}' as date, 1 as headers")
+def _(f):
+    top = _city_file(f).where(F.get_json_object("line", "$.type") == "CityJSON")
+    at = lambda p: F.max(F.get_json_object("line", f"$.{p}"))
+    return top.agg(at("type").alias("type"), at("version").alias("version"), at("metadata.referenceDate").alias("date"), F.count("*").cast("int").alias("headers"))
+
+
+@query("sink_feature", sql([FOOTPRINT_CTE, CORNER], "select cast(fid as varchar) as id, 2*max(n) as n_vertices from corner group by fid"))
+def _(f):
+    rows = _city_file(f).where(F.get_json_object("line", "$.type") == "CityJSONFeature")
+    return rows.select(F.get_json_object("line", "$.id").alias("id"), F.size(F.from_json(F.get_json_object("line", "$.vertices"), "array<array<bigint>>")).alias("n_vertices"))
+
+
+@query("sink_close", sql([FOOTPRINT_CTE], "select count(*) + 1 as lines from fp"))
+def _(f):
+    return _city_file(f).agg(F.count("*").alias("lines"))
+
+
 @query("run_summary", sql([FOOTPRINT_CTE], "select count(*) as succeeded, 0 as failed from fp"))
 def _(f):
     return cityjson.run_summary(_flat(f))

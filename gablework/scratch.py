@@ -37,6 +37,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def put(spark: SparkSession, path: str, data: bytes) -> None:
+    """Writes a file of the shared folder, through the file system that Spark itself uses."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+
+
 def clear(spark: SparkSession) -> None:
     """Deletes this application's tables. Results that were not written elsewhere can't be read any more."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own(spark))

@@ -80,8 +80,16 @@ def encode_las(points: np.ndarray, scale: float = 0.0001, epsg: int | None = Non
     return head + record + raw.tobytes()
 
 
+def point_ids(file: int, start: int, n: int) -> np.ndarray:
+    """Ids of a file's points from a place on: a different one for each place of a file, spread over 64 bits by the file's hash."""
+    x = np.arange(start, start + n, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(file % 2**64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(31))).view(np.int64)
+
+
 def scan_las(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (pid, x, y, z) of a file, folder or pattern. pid: a hash of the file's path above the point's place in it. Coordinates that aren't finite are an error, as are missing paths."""
+    """Rows (pid, x, y, z) of a file, folder or pattern. pid: a hash of 64 bits of the file's path and the point's place in it, so that no two points of a building share one. Coordinates that aren't finite are an error, as are missing paths."""
 
     def decoded(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rows:
@@ -91,8 +99,7 @@ def scan_las(spark: SparkSession, path: str) -> DataFrame:
                     raise LasError("coordinates that aren't finite")
                 for start in range(0, len(xyz), 1 << 20):
                     part = xyz[start : start + (1 << 20)]
-                    pid = (file & 0x7FFFFF) << 40 | (np.arange(start, start + len(part), dtype=np.int64))
-                    yield pa.RecordBatch.from_arrays([pa.array(pid), *(pa.array(part[:, k]) for k in range(3))], names=["pid", "x", "y", "z"])
+                    yield pa.RecordBatch.from_arrays([pa.array(point_ids(file, start, len(part))), *(pa.array(part[:, k]) for k in range(3))], names=["pid", "x", "y", "z"])
 
     files = spark.read.format("binaryFile").load(path).select(F.xxhash64("path").alias("file"), "content")
     return files.mapInArrow(decoded, "pid long, x double, y double, z double")

@@ -165,6 +165,19 @@ def _layer(base: sqlite3.Connection) -> tuple[str, str]:
     return first
 
 
+def empty_geopackage(epsg: int) -> bytes:
+    """A GeoPackage of one layer without features."""
+    with tempfile.NamedTemporaryFile(suffix=".gpkg") as file:
+        with sqlite3.connect(file.name) as base:
+            base.executescript(f"""create table gpkg_contents (table_name text); create table gpkg_geometry_columns (table_name text, column_name text, srs_id int);
+                create table gpkg_spatial_ref_sys (srs_id int, organization_coordsys_id int); insert into gpkg_contents values ('layer');
+                insert into gpkg_geometry_columns values ('layer', 'geom', {epsg:d}); insert into gpkg_spatial_ref_sys values ({epsg:d}, {epsg:d});
+                create table layer (fid integer primary key, geom blob)""")
+        base.close()
+        with open(file.name, "rb") as made:
+            return made.read()
+
+
 def scan_geopackage(spark: SparkSession, path: str) -> DataFrame:
     """Footprints of the first layer of each file; a file is a task's row."""
 
@@ -214,6 +227,41 @@ def scan_geojson(spark: SparkSession, path: str) -> DataFrame:
     return typed(spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, _ROW))
 
 
+_CRS_NAME = re.compile(r"EPSG:(?::|[0-9.]+:)?([0-9]+)\Z")
+
+
+def geojson_epsg(text: str) -> str | None:
+    """The EPSG code that the text's crs member names; 4326, which the format stands for, without one; None of another name."""
+    try:
+        whole = json.loads(text)
+    except ValueError:
+        whole = next((json.loads(line) for line in text.splitlines() if line.strip()), {})
+    crs = whole.get("crs") if isinstance(whole, dict) else None
+    if not crs:
+        return "4326"
+    name = str((crs.get("properties") or {}).get("name", ""))
+    found = _CRS_NAME.search(name)
+    return found[1] if found else "4326" if name.endswith("CRS84") else None
+
+
+def scan_geojson_crs(spark: SparkSession, path: str) -> DataFrame:
+    """Rows (path, epsg) of the files."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([geojson_epsg(x.as_py().decode()) for x in batch.column(1)], type=pa.string())], names=["path", "epsg"])
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, epsg string")
+
+
+def to_geojson(footprints: DataFrame) -> DataFrame:
+    """Rows (line) of footprints (fid, polygon, attributes): a feature each, as scan_geojson reads them."""
+    ring = lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"], p["z"]))
+    rings = F.concat(F.array(ring(F.col("polygon.exterior"))), F.transform("polygon.interiors", ring))
+    geometry = F.struct(F.lit("Polygon").alias("type"), rings.alias("coordinates"))
+    return footprints.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.col("fid").alias("id"), geometry.alias("geometry"), F.col("attributes").alias("properties"))).alias("line"))
+
+
 def from_wkt(rows: DataFrame, fid: str = "fid", wkt: str = "wkt") -> DataFrame:
     """Footprints of rows that hold WKT; the other columns are their attributes where they are numbers or text."""
     from gablework.functions.text import attribute_map

@@ -103,8 +103,10 @@ def test_volume_and_extent(spark):
 def test_las_round_trip(spark, tmp_path):
     xyz = np.round(gable() + [900_000, 6_500_000, 0], 4)
     (tmp_path / "a.las").write_bytes(las.encode_las(xyz, epsg=2154))
-    back = las.scan_las(spark, str(tmp_path / "a.las")).orderBy("pid").toPandas()
-    assert np.allclose(back[["x", "y", "z"]].to_numpy(), xyz, atol=1e-9)
+    back = las.scan_las(spark, str(tmp_path / "a.las")).toPandas()
+    assert np.allclose(back[["x", "y", "z"]].to_numpy(), xyz, atol=1e-9) and back["pid"].is_unique
+    (tmp_path / "b.las").write_bytes(las.encode_las(xyz))
+    assert las.scan_las(spark, str(tmp_path / "*.las")).select("pid").distinct().count() == 2 * len(xyz)
     assert las.scan_las_crs(spark, str(tmp_path / "a.las")).first().epsg == "2154"
     with pytest.raises(las.LasError):
         las.decode_points(b"LASF" + bytes(100))
@@ -153,6 +155,12 @@ def test_geojson_and_wkt(spark, tmp_path):
     assert vector.wkt_rings("POLYGON EMPTY") == vector.wkt_rings(None) == vector.wkt_rings("LINESTRING (0 0, 1 1)") == []
 
 
+def test_geojson_crs():
+    crs = lambda name: json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": name}}, "features": []})
+    assert [vector.geojson_epsg(crs(n)) for n in ("urn:ogc:def:crs:EPSG::2154", "EPSG:3035", "urn:ogc:def:crs:EPSG:9.9.1:4258", "urn:ogc:def:crs:OGC:1.3:CRS84", "local")] == ["2154", "3035", "4258", "4326", None]
+    assert vector.geojson_epsg('{"type": "Feature"}\n{"type": "Feature"}') == vector.geojson_epsg("") == "4326"
+
+
 def test_job(spark, tmp_path):
     (tmp_path / "a.las").write_bytes(las.encode_las(gable()))
     (tmp_path / "f.geojson").write_text(json.dumps({"type": "Feature", "id": 1, "geometry": {"type": "Polygon", "coordinates": [[list(p) for p in BOX]]}, "properties": {}}))

@@ -13,7 +13,11 @@ def _supported(sites: DataFrame, planes: DataFrame, inliers: DataFrame, radius:
     """For every site and plane of a building the measure over the plane's inliers strictly within the radius; null or 0 without any."""
     c = F.col
     near = (c("x") - c("cx")) * (c("x") - c("cx")) + (c("y") - c("cy")) * (c("y") - c("cy")) < radius * radius
-    some = sites.select("fid", "site_id", "cx", "cy").join(inliers, "fid").where(near)
+    # a grid of the radius: an inlier is in one square, a site asks its own and the eight around it
+    square = lambda v: F.floor(v / (radius or 1.0))
+    around = lambda v: F.explode(F.sequence(square(v) - 1, square(v) + 1))
+    asked = sites.select("fid", "site_id", "cx", "cy", around(c("cx")).alias("gx")).select("*", around(c("cy")).alias("gy"))
+    some = asked.join(inliers.withColumn("gx", square(c("x"))).withColumn("gy", square(c("y"))), ["fid", "gx", "gy"]).where(near).drop("gx", "gy")
     some = some.join(planes.select("fid", "plane_id", "nx", "ny", "nz", "d"), ["fid", "plane_id"])
     found = some.groupBy("fid", "site_id", "plane_id").agg(F.count("*").alias("support"), measure.alias("measure"))
     every = sites.select("fid", "site_id").join(planes.select("fid", "plane_id"), "fid")

@@ -10,17 +10,21 @@ from gablework.model import DEFAULT_EPSG, RansacConfig
 from gablework.operators import cityjson, crop
 from gablework.plans.reconstruct import METHODS, reconstruct
 from gablework.scratch import clear, written
-from gablework.sources import las, vector
+from gablework.sources import las, shapefile, vector
 
 
 def read_footprints(spark: SparkSession, path: str) -> tuple[DataFrame, str | None]:
-    """Footprints and their EPSG code by the path's ending: .gpkg, .geojson or .json, else Parquet of (fid, polygon, attributes)."""
+    """Footprints and their EPSG code by the path's ending: .gpkg, .geojson or .json, .shp (its .dbf and .prj beside it), else Parquet of (fid, polygon, attributes)."""
     if path.endswith(".gpkg"):
         found = vector.scan_geopackage_crs(spark, path).where("epsg is not null").select("epsg").first()
         return vector.scan_geopackage(spark, path), found and found["epsg"]
     if path.endswith((".geojson", ".json")):
         found = vector.scan_geojson_crs(spark, path).where("epsg is not null").select("epsg").first()
         return vector.scan_geojson(spark, path), found and found["epsg"]
+    if path.endswith(".shp"):
+        beside = f"{path[:-4]}.{{shp,dbf,prj}}"
+        found = shapefile.scan_shapefile_crs(spark, beside).where("epsg is not null").select("epsg").first()
+        return shapefile.scan_shapefile(spark, beside), found and found["epsg"]
     return spark.read.parquet(path), None
 
 

@@ -19,7 +19,7 @@ from gablework.model import DEFAULTS, MESH, RansacConfig
 from gablework.operators import cityjson, crop, labels, mesh, planes, triangulate
 from gablework.plans import reconstruct as plans
 from gablework.scratch import put, scratch_path, written
-from gablework.sources import las, vector
+from gablework.sources import las, shapefile, vector
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -178,6 +178,23 @@ def _(f):
     return _vertices(vector.scan_geojson(f.spark, folder))
 
 
+@query("scan_shapefile", "select s_suppkey as fid, s_name as name, s_acctbal as balance, case s_suppkey % 4 when 1 then 7 else 5 end as n, case s_suppkey % 4 when 2 then 1 else 0 end as holes from supplier")
+def _(f):
+    def encoded(group: pa.Table) -> pa.Table:
+        point = lambda p: (p["x"], p["y"], p["z"])
+        rows = [([[point(p) for p in ring] for ring in (r["polygon"]["exterior"], *r["polygon"]["interiors"])], {"id": r["fid"], "name": r["name"], "balance": r["balance"]}) for r in group.to_pylist()]
+        shp, dbf = shapefile.encode_shapefile(rows)
+        return pa.table({"file": group["file"][:1], "shp": pa.array([shp], type=pa.binary()), "dbf": pa.array([dbf], type=pa.binary())})
+
+    folder, value = scratch_path(f.spark, "shapes"), lambda k, kind: F.try_variant_get(F.try_element_at("attributes", F.lit(k)), "$", kind)
+    parts = f.footprints.select((c("fid") % 5).alias("file"), "fid", "polygon", value("name", "string").alias("name"), value("balance", "double").alias("balance"))
+    for row in parts.groupBy("file").applyInArrow(encoded, "file long, shp binary, dbf binary").toLocalIterator():
+        put(f.spark, f"{folder}/{row['file']}.shp", bytes(row["shp"]))
+        put(f.spark, f"{folder}/{row['file']}.dbf", bytes(row["dbf"]))
+    back = shapefile.scan_shapefile(f.spark, folder)
+    return back.select(value("id", "bigint").alias("fid"), value("name", "string").alias("name"), value("balance", "double").alias("balance"), F.size("polygon.exterior").alias("n"), F.size("polygon.interiors").alias("holes"))
+
+
 @query("footprint_crs", "select * from (values ('a.geojson', '4326'), ('b.geojson', '2154'), ('c.gpkg', '3035')) v(file, epsg)")
 def _(f):
     folder = scratch_path(f.spark, "crs")

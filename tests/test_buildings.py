@@ -8,7 +8,7 @@ from gablework.model import MESH, POLYGON
 from gablework.operators import cityjson, crop, mesh
 from gablework.plans import job
 from gablework.plans import reconstruct as plans
-from gablework.sources import las, vector
+from gablework.sources import las, shapefile, vector
 
 BOX = [(0.0, 0.0), (12.0, 0.0), (12.0, 10.0), (0.0, 10.0), (0.0, 0.0)]
 
@@ -155,6 +155,32 @@ def test_geojson_and_wkt(spark, tmp_path):
     assert vector.wkt_rings("POLYGON EMPTY") == vector.wkt_rings(None) == vector.wkt_rings("LINESTRING (0 0, 1 1)") == []
 
 
+def test_shapefile(spark, tmp_path):
+    hole = [(4.0, 3.0, 1.0), (8.0, 3.0, 1.0), (8.0, 7.0, 1.0), (4.0, 7.0, 1.0), (4.0, 3.0, 1.0)]
+    box = [(x, y, 2.0) for x, y in BOX]
+    far = [(x + 50, y, 0.0) for x, y in BOX]
+    shp, dbf = shapefile.encode_shapefile([([box, hole], {"name": "ü", "n": 3}), ([], {"name": "none"}), ([box], {"h": 2.5, "n": -1}), ([box, far], {})])
+    (tmp_path / "a.shp").write_bytes(shp)
+    (tmp_path / "a.dbf").write_bytes(dbf)
+    (tmp_path / "a.prj").write_text('PROJCS["x",AUTHORITY["EPSG","2154"]]')
+    rows = {r.fid: r for r in shapefile.scan_shapefile(spark, str(tmp_path)).select("fid", "polygon", F.to_json("attributes").alias("a")).collect()}
+    assert sorted(rows) == ["0", "2", "3"] and json.loads(rows["0"].a) == {"name": "ü", "n": 3} and json.loads(rows["2"].a) == {"h": 2.5, "n": -1}
+    assert len(rows["0"].polygon.interiors) == 1 and not rows["3"].polygon.interiors and {(p.x, p.y, p.z) for p in rows["0"].polygon.exterior} == set(box)
+    assert shapefile.scan_shapefile_crs(spark, str(tmp_path)).first().epsg == "2154"
+    ground, epsg = job.read_footprints(spark, str(tmp_path / "a.shp"))
+    assert epsg == "2154" and ground.count() == 3
+    with pytest.raises(vector.VectorError):
+        list(shapefile.shapes(b"none"))
+    with pytest.raises(vector.VectorError):
+        list(shapefile.shapes(shp[:-9]))
+
+
+def test_shapefile_outer_rings_run_clockwise(spark):
+    shp, _ = shapefile.encode_shapefile([([[(x, y, 0.0) for x, y in BOX]], {})])
+    (rings,) = shapefile.shapes(shp)
+    assert shapefile._turn(np.array(rings[0])) < 0
+
+
 def test_geojson_crs():
     crs = lambda name: json.dumps({"type": "FeatureCollection", "crs": {"type": "name", "properties": {"name": name}}, "features": []})
     assert [vector.geojson_epsg(crs(n)) for n in ("urn:ogc:def:crs:EPSG::2154", "EPSG:3035", "urn:ogc:def:crs:EPSG:9.9.1:4258", "urn:ogc:def:crs:OGC:1.3:CRS84", "local")] == ["2154", "3035", "4258", "4326", None]

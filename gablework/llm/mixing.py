@@ -69,11 +69,10 @@ def source_targets(sized: DataFrame, mix: Mix = Mix()) -> DataFrame:
     named = named.withColumn("weight", _cycled(mix.weights, F.col("rank"), "double")).withColumn("slope", _cycled(mix.slopes, F.col("rank"), "double"))
     named = named.withColumn("most", (mix.cap * F.col("source_size")).cast("double")).withColumn("ratio", F.col("most") / F.col("weight"))
     filled = written(with_running(named, ("ratio", "rank"), {"most": "used", "weight": "used_weight"}, "rated"), "filled")
-    whole = filled.agg(F.sum("source_size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    filled = filled.crossJoin(F.broadcast(whole)).withColumn("level", (mix.budget * F.col("all_size") - F.col("used")) / (F.col("all_weight") - F.col("used_weight")))
-    highest = written(filled.agg(F.max("level").alias("highest")), "level")
-    filled = filled.crossJoin(F.broadcast(highest))
-    target = F.when(F.col("ratio") <= F.col("highest"), F.col("most")).otherwise(F.col("highest") * F.col("weight"))
+    whole = filled.agg(F.sum("source_size").alias("size"), F.sum("weight").alias("weight")).first()
+    level = (mix.budget * F.lit(whole["size"]).cast("long") - F.col("used")) / (F.lit(whole["weight"]).cast("double") - F.col("used_weight"))
+    highest = F.lit(filled.agg(F.max(level).alias("level")).first()["level"]).cast("double")
+    target = F.when(F.col("ratio") <= highest, F.col("most")).otherwise(highest * F.col("weight"))
     return filled.select("source", "rank", "source_size", "earlier", target.alias("target"), "slope")
 
 

@@ -147,74 +147,90 @@ class Network:
         """For each position the ids of its neighbours, left to right; of the edge beyond the text."""
         w, edge = self.settings.window, self.settings.vocabulary
         padded = np.concatenate([np.full(w, edge, np.int32), ids, np.full(w, edge, np.int32)])
-        return np.stack([padded[o : o + len(ids)] for o in (*range(w), *range(w + 1, 2 * w + 1))], axis=1)
+        return np.stack([padded[o : o + len(ids)] for o in (*range(w), *range(w + 1, 2 * w + 1))]).T
 
     def _hidden(self, contexts: np.ndarray) -> np.ndarray:
+        """The hidden values of each position, and a last column of ones, which meets the biases."""
         v = self.values
         h = np.take(v["embed"] * v["place"][0], contexts[:, 0], axis=0)
         for o in range(1, contexts.shape[1]):
             h += np.take(v["embed"] * v["place"][o], contexts[:, o], axis=0)
-        return np.tanh(h, out=h)
+        out = np.ones((len(h), h.shape[1] + 1), dtype=h.dtype)
+        np.tanh(h, out=out[:, :-1])
+        return out
+
+    def _weights(self) -> tuple[np.ndarray, np.ndarray, bool]:
+        """Weights with their biases as the last row, of the classes and of the words; whether no logit can pass 60, as a hidden value is 1 at most."""
+        v = self.values
+        of, within = np.vstack([v["class"], v["class_bias"]]), np.concatenate([v["word"], v["word_bias"][:, None]], axis=1)
+        return of, within, max(np.abs(of).sum(axis=0).max(), np.abs(within).sum(axis=1).max()) < 60
 
     @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
+    def _sorted(contexts: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of the positions by id, and both in it."""
+        order = np.argsort(ids.astype(np.uint16), kind="stable")
+        return order, np.take(contexts.T, order, axis=1).T, ids[order]
+
+    def _logits(self, h: np.ndarray, of: np.ndarray, weights: tuple[np.ndarray, np.ndarray, bool]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, slice]]]:
+        """Of positions in the order of their classes: logits of the classes, of the words in the own class, and where each class stands. Each row is less its maximum where it might overflow."""
+        n, (classes, words, small) = self.settings.classes, weights
+        ends = np.searchsorted(of, np.arange(n + 1))
+        at = [(k, slice(ends[k], ends[k + 1])) for k in range(n) if ends[k] < ends[k + 1]]
+        z = h @ classes
+        y = np.empty_like(z)
+        for k, rows in at:
+            np.matmul(h[rows], words[k], out=y[rows])
+        if not small:
+            z -= z.max(axis=1, keepdims=True)
+            y -= y.max(axis=1, keepdims=True)
+        return z, y, at
 
     def log_probabilities(self, contexts: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """ln p(id | its neighbours) of each position."""
-        v, n = self.values, self.settings.classes
-        order = np.argsort(ids, kind="stable")
-        ids = ids[order]
-        of, within = np.divmod(ids, n)
-        h = self._hidden(contexts[order])
-        sums = self._chosen(h @ v["class"] + v["class_bias"], of).astype(np.float64)
-        ends = np.searchsorted(of, np.arange(n + 1))
-        for k in range(n):
-            at = slice(ends[k], ends[k + 1])
-            if ends[k] < ends[k + 1]:
-                sums[at] += self._chosen(h[at] @ v["word"][k] + v["word_bias"][k], within[at])
-        out = np.empty_like(sums)
-        out[order] = sums
+        order, contexts, ids = self._sorted(contexts, ids)
+        of, within = np.divmod(ids, self.settings.classes)
+        z, y, _ = self._logits(self._hidden(contexts), of, self._weights())
+        out = np.empty(len(ids))
+        out[order] = self._chosen(z, of).astype(np.float64) + self._chosen(y, within)
         return out
 
     @staticmethod
     def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
         """The log-softmax of each row at its own column."""
-        z -= z.max(axis=1, keepdims=True)
         own = z[np.arange(len(z)), at]
-        return own - np.log(np.exp(z, out=z).sum(axis=1))
+        return own - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], dtype=z.dtype))
+
+    @staticmethod
+    def _errors(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """The softmax of each row, less one at its own column, over the number of rows."""
+        np.exp(z, out=z)
+        z *= (1 / (len(z) * (z @ np.ones(z.shape[1], dtype=z.dtype))))[:, None]
+        z[np.arange(len(z)), at] -= 1 / len(z)
+        return z
 
     def learn(self, contexts: np.ndarray, ids: np.ndarray, squares: dict[str, np.ndarray]) -> None:
         """One Adagrad step on the positions."""
-        v, n, s = self.values, self.settings.classes, self.settings
-        order = np.argsort(ids, kind="stable")
-        ids, contexts = ids[order], contexts[order]
-        of, within = np.divmod(ids, n)
-        h = self._hidden(contexts)
-        d = self._softmax(h @ v["class"] + v["class_bias"])
-        d[np.arange(len(ids)), of] -= 1
-        d /= len(ids)
-        grads = {"class": h.T @ d, "class_bias": d.sum(axis=0), "word": np.zeros_like(v["word"]), "word_bias": np.zeros_like(v["word_bias"])}
+        v, s = self.values, self.settings
+        _, contexts, ids = self._sorted(contexts, ids)
+        of, within = np.divmod(ids, s.classes)
+        h, weights = self._hidden(contexts), self._weights()
+        z, y, at = self._logits(h, of, weights)
+        d, e = self._errors(z, of), self._errors(y, within)
+        classes = h.T @ d
+        words = np.zeros_like(weights[1])
         back = d @ v["class"].T
-        ends = np.searchsorted(of, np.arange(n + 1))
-        for k in range(n):
-            at = slice(ends[k], ends[k + 1])
-            if ends[k] < ends[k + 1]:
-                e = self._softmax(h[at] @ v["word"][k] + v["word_bias"][k])
-                e[np.arange(len(e)), within[at]] -= 1
-                e /= len(ids)
-                grads["word"][k], grads["word_bias"][k] = h[at].T @ e, e.sum(axis=0)
-                back[at] += e @ v["word"][k].T
-        back *= 1 - h * h
-        grads["place"] = np.stack([(back * v["embed"][contexts[:, o]]).sum(axis=0) for o in range(contexts.shape[1])])
-        embed = np.empty_like(v["embed"])
-        where, steps = contexts.T.ravel(), np.concatenate([back * v["place"][o] for o in range(contexts.shape[1])])
-        for c in range(s.width):
-            embed[:, c] = np.bincount(where, weights=steps[:, c], minlength=len(embed))
-        grads["embed"] = embed
+        for k, rows in at:
+            np.matmul(h[rows].T, e[rows], out=words[k])
+            back[rows] += e[rows] @ v["word"][k].T
+        back *= 1 - h[:, :-1] ** 2
+        # the sum of back over the positions at which each word stands in each place, from which both gradients follow
+        sums = np.empty((contexts.shape[1], s.width, s.vocabulary + 1), dtype=back.dtype)
+        columns = np.ascontiguousarray(back.T)
+        for o, place in enumerate(contexts.T.astype(np.intp)):
+            for c, column in enumerate(columns):
+                sums[o, c] = np.bincount(place, weights=column, minlength=s.vocabulary + 1)
+        grads = {"class": classes[:-1], "class_bias": classes[-1], "word": words[:, :-1], "word_bias": words[:, -1]}
+        grads |= {"place": np.einsum("ocv,vc->oc", sums, v["embed"]), "embed": np.einsum("ocv,oc->vc", sums, v["place"])}
         for name, g in grads.items():
             squares[name] += g * g
             v[name] -= s.rate * g / (np.sqrt(squares[name]) + 1e-6)
@@ -237,16 +253,19 @@ class Trainer:
 
     def feed(self, ids: np.ndarray) -> None:
         s = self.network.settings
-        at = np.flatnonzero(self.rng.random(len(ids)) < s.masked)
-        if len(at):
-            self.contexts.append(self.network.contexts(ids)[at])
-            self.targets.append(ids[at])
-            self.held += len(at)
+        contexts = self.network.contexts(ids)
+        if s.masked < 1:
+            at = np.flatnonzero(self.rng.random(len(ids)) < s.masked)
+            contexts, ids = contexts[at], ids[at]
+        if len(ids):
+            self.contexts.append(contexts.T)
+            self.targets.append(ids)
+            self.held += len(ids)
         if self.held >= s.batch:
             self._learn()
 
     def _learn(self) -> None:
-        c, t, batch = np.concatenate(self.contexts), np.concatenate(self.targets), self.network.settings.batch
+        c, t, batch = np.concatenate(self.contexts, axis=1).T, np.concatenate(self.targets), self.network.settings.batch
         for i in range(0, self.held, batch):
             self.network.learn(c[i : i + batch], t[i : i + batch], self.squares)
         self.seen, self.contexts, self.targets, self.held = self.seen + self.held, [], [], 0

@@ -4,7 +4,7 @@ All words are counted over all documents. The network knows the commonest, and b
 the embeddings of the words on either side, each scaled by its place, and predicts the masked word in two steps, its
 class and the word in it; a rarer word is then drawn from its bucket by its count in the corpus, so the probabilities of
 all words of the corpus sum to one. It is trained in numpy: a warm start on a bounded sample, then every partition
-trains on its own documents from there, each with a share of its positions masked, and the partitions' parameters are
+trains on its own documents from there, every position masked in turn, and the partitions' parameters are
 averaged by what they saw. A document's score is the sum of the log-probabilities of all its tokens, each given its
 neighbours.
 
@@ -41,7 +41,7 @@ class Settings:
     buckets: int = 96
     window: int = 2
     width: int = 16
-    masked: float = 0.3
+    masked: float = 1.0
     rate: float = 0.15
     batch: int = 4096
     warm_docs: int = 400

@@ -15,10 +15,11 @@ an array where they are few enough to be sent to every worker, else joined.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -31,6 +32,8 @@ from pyspark.sql import functions as F
 from gablework.llm.common import batches, column_of, small_batches, text_batches, texts_of, written
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
+#: Tokens that a worker holds, four bytes each, before it gives the counts of their words, and before it looks their words up.
+_COUNTED, _HELD = 8_000_000, 2_000_000
 
 
 @dataclass(frozen=True)
@@ -99,22 +102,50 @@ def _vocabulary(words: list[str], first: int, buckets: int) -> Vocabulary:
     return out
 
 
+@lru_cache(maxsize=1)
+def _kinds() -> np.ndarray:
+    """Of each code point: 0 white space, 1 of a word, 2 a token by itself, as _TOKEN has them."""
+    return np.fromiter((0 if c.isspace() else 1 if c.isalnum() or c == "_" else 2 for c in map(chr, range(sys.maxunicode + 1))), dtype=np.uint8, count=sys.maxunicode + 1)
+
+
+def _tokens(texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """What _TOKEN finds in the lower-cased texts, one after the other, and of each text how many tokens."""
+    low = [t.lower() for t in texts]
+    chars = np.frombuffer("\n".join(low).encode("utf-32-le"), dtype="<u4")
+    kinds = _kinds().take(chars)
+    starts = kinds == 1
+    starts[1:] &= kinds[:-1] != 1
+    at = np.flatnonzero(starts | (kinds == 2))
+    counts = np.diff(np.searchsorted(at, np.cumsum([len(x) + 1 for x in low])), prepend=0)
+    shown = kinds > 0  # without white space the tokens' bytes adjoin, as an Arrow column has them
+    widths = shown.astype(np.int8)
+    for first in (0x80, 0x800, 0x10000):
+        widths += shown & (chars >= first)
+    ends = np.cumsum(widths, dtype=np.int64)
+    offsets = np.append(ends[at] - widths[at], ends[-1:] if len(ends) else 0)
+    data = chars[shown].tobytes().decode("utf-32-le").encode()
+    return pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode(), counts
+
+
 def count_words(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Rows (word, n) over all documents."""
 
     def counted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: Counter = Counter()
-
-        def given() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), type=pa.string()), pa.array(list(counts.values()), type=pa.int64())], names=["word", "n"])
+        def given(held: list[pa.DictionaryArray]) -> Iterator[pa.RecordBatch]:
+            tokens = pa.chunked_array(held).unify_dictionaries()
+            words = tokens.chunk(0).dictionary.cast(pa.string())
+            counts = sum(np.bincount(x.indices, minlength=len(words)) for x in tokens.chunks)
+            yield from pa.table({"word": words, "n": counts}).to_batches(100_000)
 
+        held, size = [], 0
         for batch in text_batches(rows):
-            for text in texts_of(batch):
-                counts.update(_TOKEN.findall(text.lower()))
-            if len(counts) > 400_000:
-                yield given()
-                counts.clear()
-        yield given()
+            held.append(_tokens(texts_of(batch))[0])
+            size += len(held[-1])
+            if size > _COUNTED:
+                yield from given(held)
+                held, size = [], 0
+        if held:
+            yield from given(held)
 
     return docs.select("text").mapInArrow(counted, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -302,6 +333,24 @@ def hashes_of(words: list[str]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, words, repeat(42)), dtype=np.uint64, count=len(words)).view(np.int64)
 
 
+def _looked_up(held: list[tuple[pa.DictionaryArray, np.ndarray]], vocabulary: Vocabulary, shares: Shares) -> Iterator[tuple[list[np.ndarray], list[float], list[np.ndarray | None]]]:
+    """For each of _tokens(): of each text the ids of its tokens, the sum of its rarer words' ln counts, and their hashes where the counts aren't held. A word is looked up once for all of them, not at each place where it stands."""
+    tokens = pa.chunked_array([x for x, _ in held]).unify_dictionaries()
+    words, known = tokens.chunk(0).dictionary.to_numpy(zero_copy_only=False).tolist(), shares.hashes is not None
+    ids = np.fromiter(map(vocabulary.__getitem__, words), dtype=np.int32, count=len(words))
+    rare = np.flatnonzero(ids >= vocabulary.first)
+    rare_words, values = [words[i] for i in rare.tolist()], np.zeros(len(ids), dtype=np.float64 if known else np.int64)
+    values[rare] = shares.log_counts(rare_words) if known else hashes_of(rare_words)
+    for chunk, (_, counts) in zip(tokens.chunks, held, strict=True):
+        places = chunk.indices.to_numpy()
+        each = [places[e - n : e] for e, n in zip(np.cumsum(counts).tolist(), counts.tolist(), strict=True)]
+        numbers = [ids[x] for x in each]
+        if known:
+            yield numbers, [float(values[x].sum()) for x in each], [None] * len(each)
+        else:
+            yield numbers, [0.0] * len(each), [values[x[i >= vocabulary.first]] for x, i in zip(each, numbers, strict=True)]
+
+
 @dataclass
 class Model:
     vocabulary: Vocabulary
@@ -345,18 +394,27 @@ def _numbered(vocabulary: Vocabulary, shares: Shares, trained: Network | None, s
         part, seq = TaskContext.get().partitionId(), 0
         own = trained and trained.filled(trained.flat())
         trainer = own and Trainer(own, np.random.default_rng(seed))
+
+        def numbered(doc_ids: list[pa.Array], held: list) -> Iterator[pa.RecordBatch]:
+            nonlocal seq
+            for own_ids, (ids, logs, rare) in zip(doc_ids, _looked_up(held, vocabulary, shares), strict=True):
+                for x in ids if trainer else ():
+                    trainer.feed(x)
+                n = len(ids)
+                yield _rows(0, doc_id=own_ids, part=np.full(n, part, dtype=np.int32), seq=np.arange(seq, seq + n), ids=[x.astype("<u2").tobytes() for x in ids], log_counts=logs, rare=rare)
+                seq += n
+
+        doc_ids, held, size = [], [], 0
         for batch in text_batches(parts):
-            ids, logs, rare = [], [], []
-            for text in texts_of(batch):
-                numbers, words = vocabulary.numbered(text)
-                ids.append(numbers.astype("<u2").tobytes())
-                logs.append(float(shares.log_counts(words).sum()) if shares.hashes is not None else 0.0)
-                rare.append(hashes_of(words) if shares.hashes is None else None)
-                if trainer:
-                    trainer.feed(numbers)
-            n = len(ids)
-            yield _rows(0, doc_id=column_of(batch, "doc_id"), part=np.full(n, part, dtype=np.int32), seq=np.arange(seq, seq + n), ids=ids, log_counts=logs, rare=rare)
-            seq += n
+            tokens = _tokens(texts_of(batch))
+            doc_ids.append(column_of(batch, "doc_id"))
+            held.append(tokens)
+            size += len(tokens[0])
+            if size > _HELD:
+                yield from numbered(doc_ids, held)
+                doc_ids, held, size = [], [], 0
+        if held:
+            yield from numbered(doc_ids, held)
         if trainer and (seen := trainer.finish()):
             moved = np.round((own.flat() - trained.flat()).astype(np.float64) * scale).astype(np.int64)
             yield _rows(1, at=np.arange(len(moved) + 1), value=np.append(moved * seen, seen))

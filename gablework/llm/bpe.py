@@ -14,7 +14,7 @@ import hashlib
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -86,6 +86,42 @@ def pieces(text: str) -> list[str]:
     return out if out[0] else out[1:]
 
 
+#: Bytes that a space joins no white space with: not white space, and not the first byte of any that _ODD knows (some others with them).
+_PLAIN = np.ones(256, dtype=bool)
+_PLAIN[[*range(0x09, 0x0E), *range(0x1C, 0x21), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = False
+
+
+#: Kinds of bytes: 1 letters, 2 digits, 3 the apostrophe, 4 other marks; 0 all else. A letter of two bytes from 0xC3 on has its second counted as one.
+_KIND = np.zeros(256, dtype=np.uint8)
+for _b in range(0x21, 0x7F):
+    _KIND[_b] = 1 if chr(_b).isalpha() else 2 if chr(_b).isdigit() else 3 if _b == 0x27 else 4
+#: Whether the pattern of byte-level BPE always parts a byte from the next, by kind (five a row): no match holds two kinds, but that an apostrophe takes letters.
+_PARTS = np.array([[0, 0, 0, 0, 0], [0, 0, 1, 1, 1], [0, 1, 0, 1, 1], [0, 0, 1, 0, 0], [0, 1, 1, 0, 0]], dtype=bool).ravel()
+
+
+def cut(texts: list[str], by_kind: bool = False) -> tuple[pa.DictionaryArray, np.ndarray]:
+    """The texts' pieces, one text's after the other, and of each text how many; as pieces() has them, or some of those put together. By kind also letters, digits and marks are parted where the pattern parts them."""
+    parts = [t.encode() for t in texts]
+    data, sizes = np.frombuffer(b"".join(parts), dtype=np.uint8), np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    ends = np.cumsum(sizes)
+    starts = data == 0x20
+    starts[:-1] &= _PLAIN.take(data[1:])
+    starts[ends[sizes > 0] - 1] = False
+    if by_kind and len(data):
+        kinds = _KIND.take(data)
+        second = np.flatnonzero(data[:-1] == 0xC3) + 1
+        kinds[second] = (data[second] & 0xDF) != 0x97  # all but the signs of multiplication and division
+        starts[1:] |= _PARTS.take(kinds[:-1] * 5 + kinds[1:])
+    starts[(ends - sizes)[sizes > 0]] = True
+    at = np.flatnonzero(starts)
+    column = pa.Array.from_buffers(pa.large_string(), len(at), [None, pa.py_buffer(np.append(at, len(data))), pa.py_buffer(data)])
+    return column.dictionary_encode(), np.diff(np.searchsorted(at, ends), prepend=0)
+
+
+#: A space and letters that every version of the pattern knows; and how many of those are encoded as one text.
+_WORD, JOINED_WORDS = re.compile(" [A-Za-zÀ-ÖØ-öø-ɏ]+"), 200
+
+
 class PieceEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers."""
 
@@ -97,18 +133,42 @@ class PieceEncoder:
             ids = e.ids
             yield p, struct.pack(f"<{len(ids)}I", *ids)
 
+    def _ids_of_words(self, fresh: list[str], sizes: np.ndarray) -> Iterator[tuple[str, bytes]]:
+        """As _ids(), with the words in texts of many: the ids are parted where their bytes reach the words' ends. sizes: the bytes of each id."""
+        words = [p for p in fresh if _WORD.fullmatch(p)]
+        yield from self._ids([p for p in fresh if not _WORD.fullmatch(p)])
+        together = ["".join(words[i : i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
+        ids = np.array([i for e in self.tokenizer.encode_batch_fast(together, add_special_tokens=False) for i in e.ids], dtype="<u4")
+        reached = np.cumsum(sizes[ids])
+        wanted = np.cumsum(np.fromiter((len(p.encode()) for p in words), dtype=np.int64, count=len(words)))
+        ends = np.searchsorted(reached, wanted) + 1
+        if len(words) and not np.array_equal(reached.take(ends - 1, mode="clip"), wanted):
+            raise ValueError("the tokenizer joins words that its pattern parts")
+        data, start = ids.tobytes(), 0
+        for p, end in zip(words, (4 * ends).tolist(), strict=True):
+            yield p, data[start:end]
+            start = end
+
     def encode(self, texts: list[str]) -> list[bytes]:
         parts = [pieces(t) for t in texts]
+        return self._encoded(set().union(*parts), lambda of: [b"".join(map(of, part)) for part in parts])
+
+    def each(self, different: list[str], sizes: np.ndarray | None) -> list[bytes]:
+        """Ids of pieces that are all different. With the bytes of each id, words are encoded together."""
+        return self._encoded(different, lambda of: list(map(of, different)), sizes)
+
+    def _encoded(self, wanted: Iterable[str], given: Callable[[Callable[[str], bytes]], list[bytes]], sizes: np.ndarray | None = None) -> list[bytes]:
+        """What given() makes of the ids of the wanted pieces."""
         cache = self.cache
         if len(cache) > CACHE_PIECES:  # short pieces are the frequent ones
             kept = {p: ids for p, ids in cache.items() if len(p) <= SHORT_PIECE_CHARS}
             cache.clear()
             if len(kept) < CACHE_PIECES // 2:
                 cache.update(kept)
-        fresh = list(set().union(*parts).difference(cache))
-        found = dict(self._ids(fresh))
+        fresh = [p for p in wanted if p not in cache]
+        found = dict(self._ids(fresh) if sizes is None else self._ids_of_words(fresh, sizes))
         cache.update(found)
-        out = [b"".join(map(cache.__getitem__, part)) for part in parts]
+        out = given(cache.__getitem__)
         for p in found:
             if len(p) > CACHE_PIECE_CHARS:
                 del cache[p]
@@ -132,10 +192,49 @@ class ByteBpe:
                 self._made["t"] = tokenizer_of_ranks(read_ranks(self.path))
         return self._made["t"]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _encoder(self) -> PieceEncoder:
         if "e" not in self._made:
             self._made["e"] = PieceEncoder(self._tokenizer())
-        return self._made["e"].encode(texts)
+        return self._made["e"]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return self._encoder().encode(texts)
+
+    def _added(self) -> list[str] | None:
+        """The tokens that are found before the text is split; None if the tokenizer splits otherwise than by the pattern of byte-level BPE, or one of these is words alone."""
+        if "a" not in self._made:
+            from tokenizers import pre_tokenizers
+
+            own = self._tokenizer()
+            added = [x.content for x in own.get_added_tokens_decoder().values()]
+            usual = own.normalizer is None and isinstance(own.pre_tokenizer, pre_tokenizers.ByteLevel) and own.pre_tokenizer.use_regex and not own.pre_tokenizer.add_prefix_space
+            self._made["a"] = added if usual and not any(x.replace(" ", "a").isalpha() for x in added) else None
+        return self._made["a"]
+
+    def _sizes(self) -> np.ndarray:
+        """The bytes of each id."""
+        if "l" not in self._made:
+            self._made["l"] = np.array([len(x) for x in self._bytes_by_id()], dtype=np.int64)
+        return self._made["l"]
+
+    def cut(self, texts: list[str]) -> tuple[pa.DictionaryArray, np.ndarray]:
+        """cut(), by kind unless the tokenizer splits by another pattern or a text holds one of its added tokens."""
+        added = self._added()
+        return cut(texts, added is not None and not any(a in t for a in added for t in texts))
+
+    def encode_cut(self, held: list[tuple[pa.DictionaryArray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each of cut(): the ids of all its texts, one after the other, and of each text how many. A piece is looked up once for all of them, not at each place where it stands."""
+        pieces = pa.chunked_array([x for x, _ in held]).unify_dictionaries()
+        own = self._encoder().each(pieces.chunk(0).dictionary.to_numpy(zero_copy_only=False).tolist(), None if self._added() is None else self._sizes())
+        flat, sizes = np.frombuffer(b"".join(own), dtype="<u4"), np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
+        starts = np.cumsum(sizes) - sizes
+        for chunk, (_, counts) in zip(pieces.chunks, held, strict=True):
+            at = chunk.indices.to_numpy()
+            n = sizes.take(at)
+            ends = np.append(0, np.cumsum(n))
+            from_ = np.repeat(starts.take(at) - ends[:-1], n)
+            from_ += np.arange(len(from_))
+            yield flat.take(from_), np.diff(ends[np.cumsum(counts)], prepend=0)
 
     def encode_with_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         """Ids and the (start, end) of each in characters; tokens that share a character both have its place."""
@@ -143,13 +242,11 @@ class ByteBpe:
 
     def spans(self, text: str, ids: bytes) -> np.ndarray:
         """(start, end) in characters of each id of a text; ids that hold parts of one character all have its place."""
-        if "l" not in self._made:
-            self._made["l"] = np.array([len(x) for x in self._bytes_by_id()], dtype=np.int64)
         data = np.frombuffer(text.encode(), dtype=np.uint8)
         if not len(data):
             return np.zeros((0, 2), dtype=np.int32)
         own = np.cumsum((data & 0xC0) != 0x80) - 1  # the character that each byte is of
-        size = self._made["l"][np.frombuffer(ids, dtype="<u4")]
+        size = self._sizes()[np.frombuffer(ids, dtype="<u4")]
         end = np.cumsum(size)
         return np.stack([own[end - size], own[end - 1] + 1], axis=1).astype(np.int32)
 

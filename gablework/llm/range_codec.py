@@ -77,49 +77,62 @@ class _Order0:
 
 
 class _Model:
-    """The adaptive state of all lanes. predict() gives the candidates and their probabilities; update() learns the ids."""
+    """The adaptive state of all lanes, order 2 in the first row and order 1 in the second. predict() gives the candidates and their probabilities; update() learns the ids."""
 
     def __init__(self, lanes: int, order0: _Order0):
-        self.base, self.logit0 = np.arange(lanes) * _SLOTS, order0.logit
+        base, lane = np.arange(lanes) * _SLOTS, np.arange(lanes)
+        self.base, self.logit0 = np.stack([base, base + lanes * _SLOTS]), order0.logit
         #: Of each context: the place that it proposes times 8, plus how sure it is (0: it proposes none, to 7).
-        self.slots2, self.slots1 = np.zeros(lanes * _SLOTS, dtype=np.int32), np.zeros(lanes * _SLOTS, dtype=np.int32)
-        self.prior2, self.prior1 = np.full(lanes * 8, 1 << 14, dtype=np.int32), np.full(lanes * 16, 1 << 13, dtype=np.int32)
-        self.weights = [np.full(lanes, w, dtype=np.int64) for w in (32_000, 24_000, 8_000)]
-        self.before, self.last = np.zeros(lanes, dtype=np.int64), np.zeros(lanes, dtype=np.int64)
-        self.lane8, self.lane16 = np.arange(lanes) * 8, np.arange(lanes) * 16
+        self.slots = np.zeros(2 * lanes * _SLOTS, dtype=np.int32)
+        self.prior = np.repeat(np.array([1 << 14, 1 << 13], dtype=np.int32), [lanes * 8, lanes * 16])
+        self.lane = np.stack([lane * 8, lane * 16 + lanes * 8])
+        self.weights = np.repeat(np.array([[32_000], [24_000], [8_000]], dtype=np.int64), lanes, axis=1)
+        self.before, self.last = np.zeros(lanes, dtype=np.uint32), np.zeros(lanes, dtype=np.uint32)
 
     def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of the first n lanes: the candidate, whether there is one, and its probability in 4096 (0 if there is none)."""
-        mixed = self.last[:n] * 0x9E3779B1
-        self.at1 = (mixed >> 13 & (_SLOTS - 1)) + self.base[:n]
-        self.at2 = ((mixed ^ self.before[:n] * 0x85EBCA77) >> 13 & (_SLOTS - 1)) + self.base[:n]
-        self.slot1, self.slot2 = self.slots1.take(self.at1), self.slots2.take(self.at2)
-        got1, sure1, sure2 = self.slot1 >> 3, self.slot1 & 7, self.slot2 & 7
-        candidate = np.where(sure2 > 0, self.slot2 >> 3, got1)
-        has = (sure2 | sure1) > 0
-        self.ctx2 = self.lane8[:n] + sure2
-        self.ctx1 = self.lane16[:n] + (sure1 * 2 + (got1 == candidate))
-        self.p2, self.p1 = self.prior2.take(self.ctx2), self.prior1.take(self.ctx1)
-        self.s = _STRETCH.take(self.p2 >> 4), _STRETCH.take(self.p1 >> 4), self.logit0.take(candidate)
-        dot = (self.weights[0][:n] * self.s[0] + self.weights[1][:n] * self.s[1] + self.weights[2][:n] * self.s[2]) >> 16
+        mixed = np.empty((2, n), dtype=np.uint32)
+        np.multiply(self.last[:n], 0x9E3779B1, out=mixed[1])
+        np.bitwise_xor(mixed[1], self.before[:n] * 0x85EBCA77, out=mixed[0])
+        mixed >>= 13
+        mixed &= _SLOTS - 1
+        self.at = mixed + self.base[:, :n]
+        self.slot = slot = self.slots.take(self.at)
+        self.sure = sure = slot & 7
+        got = slot >> 3
+        candidate = np.where(sure[0] > 0, got[0], got[1])
+        has = (sure[0] | sure[1]) > 0
+        self.ctx = self.lane[:, :n] + sure
+        self.ctx[1] += sure[1]
+        self.ctx[1] += got[1] == candidate
+        self.p = self.prior.take(self.ctx)
+        self.s = np.empty((3, n), dtype=np.int64)
+        self.s[:2] = _STRETCH.take(self.p >> 4)
+        self.s[2] = self.logit0.take(candidate)
+        products = self.weights[:, :n] * self.s
+        dot = products[0]
+        dot += products[1]
+        dot += products[2]
+        dot >>= 16
         np.maximum(dot, -2048, out=dot)
         np.minimum(dot, 2047, out=dot)
-        self.p = _SQUASH.take(dot + 2048)
-        return candidate, has, self.p * has
+        dot += 2048
+        self.mixed = _SQUASH.take(dot) * has
+        return candidate, has, self.mixed
 
     def update(self, n: int, now: np.ndarray, has: np.ndarray, hit: np.ndarray) -> None:
-        err = ((hit.astype(np.int64) << 12) - self.p) * has * 6
-        for w, s in zip(self.weights, self.s, strict=True):
-            w[:n] += (s * err) >> 10
-        to = hit.astype(np.int32) * 65_535
-        self.prior2[self.ctx2] = self.p2 + ((to - self.p2) >> 5) * has
-        self.prior1[self.ctx1] = self.p1 + ((to - self.p1) >> 5) * has
-        own = now * 8
-        for table, at, slot in ((self.slots2, self.at2, self.slot2), (self.slots1, self.at1, self.slot1)):
-            # the same id: surer; another one: less sure, or taken over by it
-            sure = slot & 7
-            less = np.where(sure > 1, slot - ((sure + 1) >> 1), own + 1)
-            table[at] = np.where((slot - sure == own) & (sure > 0), own + np.minimum(sure + 1, 7), less)
+        self.s *= hit * (6 << 12) - self.mixed * 6
+        self.s >>= 10
+        self.weights[:, :n] += self.s
+        moved = hit * np.int32(65_535) - self.p
+        moved >>= 5
+        moved *= has
+        moved += self.p
+        self.prior[self.ctx] = moved
+        own, slot, sure = now * 8, self.slot, self.sure
+        # the same id: surer; another one: less sure, or taken over by it
+        less = np.where(sure > 1, slot - ((sure + 1) >> 1), own + 1)
+        self.slots[self.at] = np.where(slot - sure == own, slot + (sure < 7), less)
         self.before[:n], self.last[:n] = self.last[:n], now + 1
 
 
@@ -140,17 +153,18 @@ def _coded(places: np.ndarray, lengths: np.ndarray, order0: _Order0) -> list[byt
         n = lanes if step < lengths[-1] else lanes - 1
         now = grid[step, :n]
         candidate, has, p = model.predict(n)
-        hit = has & (candidate == now)
+        hit = candidate == now
+        hit &= has
         cut = (width[:n] >> _12) * p.astype(np.uint64)
-        low[:n] += cut * ~hit
-        width[:n] = np.where(hit, cut, width[:n] - cut)
-        lit = np.flatnonzero(~hit)
-        if len(lit):
-            own, not_it = now[lit], candidate[lit]
-            left_out = freq.take(not_it) * has[lit]
-            r = width[lit] // (whole - left_out)
-            low[lit] += r * (start.take(own) - left_out * (own > not_it))
-            width[lit] = r * freq.take(own)
+        left_out = freq.take(candidate) * has
+        r = (width[:n] - cut) // np.maximum(whole - left_out, np.uint64(1))  # nothing is left out of a table of one id
+        left_out *= now > candidate
+        past = r * (start.take(now) - left_out)
+        past += cut
+        past *= ~hit
+        low[:n] += past
+        r *= freq.take(now)
+        width[:n] = np.where(hit, cut, r)
         model.update(n, now, has, hit)
         need = np.flatnonzero(width[:n] < _LOW)
         while len(need):
@@ -183,21 +197,19 @@ def _read(words: list[np.ndarray], lengths: np.ndarray, order0: _Order0) -> np.n
         candidate, has, p = model.predict(n)
         cut = (width[:n] >> _12) * p.astype(np.uint64)
         hit = has & (code[:n] - low[:n] < cut)
-        low[:n] += cut * ~hit
-        width[:n] = np.where(hit, cut, width[:n] - cut)
-        now = candidate.astype(np.int32)
-        lit = np.flatnonzero(~hit)
-        if len(lit):
-            not_it = candidate[lit]
-            left_out = freq.take(not_it) * has[lit]
-            total = whole - left_out
-            r = width[lit] // total
-            value = np.minimum((code[lit] - low[lit]) // np.maximum(r, one), total - one)
-            value += left_out * (value >= start.take(not_it))
-            own = np.searchsorted(start, value, side="right") - 1
-            low[lit] += r * (start.take(own) - left_out * (own > not_it))
-            width[lit] = r * freq.take(own)
-            now[lit] = own
+        left_out = freq.take(candidate) * has
+        total = np.maximum(whole - left_out, one)
+        r = (width[:n] - cut) // total
+        value = np.minimum((code[:n] - low[:n] - cut) // np.maximum(r, one), total - one)
+        value += left_out * (value >= start.take(candidate))
+        now = np.where(hit, candidate, np.searchsorted(start, value, side="right").astype(np.int32) - np.int32(1))
+        left_out *= now > candidate
+        past = r * (start.take(now) - left_out)
+        past += cut
+        past *= ~hit
+        low[:n] += past
+        r *= freq.take(now)
+        width[:n] = np.where(hit, cut, r)
         model.update(n, now, has, hit)
         grid[step, :n] = now
         need = np.flatnonzero(width[:n] < _LOW)

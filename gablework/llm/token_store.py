@@ -24,6 +24,8 @@ from gablework.llm.range_codec import pack, unpack
 
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 4_000_000
+#: Pieces of text that wait to be looked up together, four bytes each.
+WAITING_PIECES = 1_000_000
 STORE_SCHEMA = "part int, seq int, n_ids long, doc_ids array<long>, lengths array<long>, packed binary"
 
 
@@ -34,22 +36,40 @@ def write_store(docs: DataFrame, tokenizer: str, path: str, end_id: int = 0, id_
     """
 
     def segments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, end, part = codec(tokenizer), np.array([end_id], dtype="<u4").tobytes(), TaskContext.get().partitionId()
-        doc_ids, texts_ids, held, seq = [], [], 0, 0
+        bpe, part = codec(tokenizer), TaskContext.get().partitionId()
+        doc_ids, lengths, ids, held, seq = [], [], [], 0, 0
 
         def closed() -> pa.RecordBatch:
-            packed = pack(np.frombuffer(b"".join(texts_ids), dtype="<u4"))
-            columns = [pa.array([part], type=pa.int32()), pa.array([seq], type=pa.int32()), pa.array([held], type=pa.int64()), pa.array([doc_ids], type=pa.list_(pa.int64())), pa.array([[len(x) // 4 for x in texts_ids]], type=pa.list_(pa.int64())), pa.array([packed], type=pa.binary())]
+            nonlocal doc_ids, lengths, ids, held, seq
+            columns = [pa.array([part], type=pa.int32()), pa.array([seq], type=pa.int32()), pa.array([held], type=pa.int64()), pa.array([doc_ids], type=pa.list_(pa.int64())), pa.array([np.concatenate(lengths)], type=pa.list_(pa.int64())), pa.array([pack(np.concatenate(ids))], type=pa.binary())]
+            doc_ids, lengths, ids, held, seq = [], [], [], 0, seq + 1
             return pa.RecordBatch.from_arrays(columns, names=["part", "seq", "n_ids", "doc_ids", "lengths", "packed"])
 
+        def encoded(waiting: list) -> Iterator[pa.RecordBatch]:
+            nonlocal held
+            for (own, _), (flat, counts) in zip(waiting, bpe.encode_cut([x for _, x in waiting]), strict=True):
+                flat, counts = np.insert(flat, np.cumsum(counts), end_id), counts + 1
+                while len(counts):
+                    n = int(np.searchsorted(held + np.cumsum(counts), SEGMENT_IDS)) + 1
+                    size = int(counts[:n].sum())
+                    doc_ids.extend(own[:n])
+                    lengths.append(counts[:n])
+                    ids.append(flat[:size])
+                    held += size
+                    own, counts, flat = own[n:], counts[n:], flat[size:]
+                    if held >= SEGMENT_IDS:
+                        yield closed()
+
+        waiting, size = [], 0
         for batch in text_batches(rows):
-            for doc_id, ids in zip(column_of(batch, "doc_id").to_pylist(), bpe.encode(texts_of(batch)), strict=True):
-                doc_ids.append(doc_id)
-                texts_ids.append(ids + end)
-                held += len(ids) // 4 + 1
-                if held >= SEGMENT_IDS:
-                    yield closed()
-                    doc_ids, texts_ids, held, seq = [], [], 0, seq + 1
+            pieces = bpe.cut(texts_of(batch))
+            waiting.append((column_of(batch, "doc_id").to_pylist(), pieces))
+            size += len(pieces[0])
+            if size >= WAITING_PIECES:
+                yield from encoded(waiting)
+                waiting, size = [], 0
+        if waiting:
+            yield from encoded(waiting)
         if doc_ids:
             yield closed()
 

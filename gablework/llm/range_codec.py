@@ -1,13 +1,15 @@
-"""An adaptive context-mixing range coder for token ids, many blocks at a time.
+"""A context-mixing range coder for token ids, many streams at a time.
 
-A segment starts with its order-0 model: its different ids, each with how often it stands there (to a quarter of a
-power of two). Ids are coded as places in that table. A block is coded by itself from fresh adaptive state. For each id
-the order-2 context (the two ids before) or else the order-1 context (the one before) proposes a candidate. How sure
-order 2 and order 1 have been under their confidence, and how frequent the candidate is by order 0, are mixed in the
-logistic domain with weights that learn; the mix is the probability of "it is the candidate". Where it isn't, order 0
-codes the id, the candidate left out. All probabilities are integers, so coding and decoding agree on every machine.
+A segment is sections of up to 4,194,304 ids. A section starts with its order-0 model: its different ids, each with how
+often it stands there (to a quarter of a power of two). Ids are coded as places in that table. For each id the order-2
+context (the two ids before) or else the order-1 context (the one before) proposes a candidate. How sure order 2 and
+order 1 have been under their confidence, and how frequent the candidate is by order 0, are mixed in the logistic domain
+with weights that learn; the mix is the probability of "it is the candidate". Where it isn't, order 0 codes the id.
 
-The blocks of a segment go in lockstep, one lane each, so each numpy operation serves as many ids as there are blocks.
+The ids are cut into streams, and those of a section go in lockstep, so each numpy operation serves as many ids as there
+are streams. All streams learn the same contexts; where several teach one context at once, the surest has it, so the
+order of writes doesn't matter. Confidences and weights are learned from the sums of an epoch of steps, and the mix is
+taken once an epoch for every case there is. All probabilities are integers, so coding and decoding agree on every machine.
 Ids are any unsigned 32-bit integers.
 """
 
@@ -19,35 +21,56 @@ import zlib
 
 import numpy as np
 
-#: Ids in a block; slots of a context table; bits of the order-0 total.
+#: Ids in a block, which has a checksum; ids in a stream; streams in a section.
 BLOCK = 8192
-_SLOTS = 4096
-_BITS = 24
+STREAM = 2048
+_STREAMS = 2048
+#: Steps in an epoch; slots of order 1 and order 2; bits of the order-0 total, at least.
+_EPOCH = 16
+_SLOTS = (1 << 14, 1 << 18)
+_SHIFT = 33 - _SLOTS[1].bit_length()
+_BITS = 20
+#: A weight moves by the mean slope over two to this power.
+_RATE = 11
 #: Ids below this are counted in an array, others by sorting.
 _DIRECT = 1 << 22
-_LOW = np.uint64(1 << 48)
-_REST = np.uint64((1 << 48) - 1)
-_48, _16, _12 = np.uint64(48), np.uint64(16), np.uint64(12)
 
-_SQUASH = np.clip(np.round(4096 / (1 + np.exp(-np.arange(-2048, 2048) / 256.0))), 1, 4095).astype(np.int32)
-_STRETCH = np.clip(np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256), -2047, 2047).astype(np.int32)
+#: A slot is the place that its context proposes, and from this bit on how sure it is (0: untaught, to 7).
+_SURE = 28
+_ONE, _PLACE = np.int32(1 << _SURE), np.int32((1 << _SURE) - 1)
+#: What is taken off a slot that proposed another id.
+_LESS = np.array([(sure - sure // 2) << _SURE for sure in range(8)], dtype=np.int32)
+#: Cases of a prediction: how sure order 2 is (8), order 1 (8), whether they agree (2), the level of the candidate's share by order 0 (16).
+_CASE = np.arange(2048)
+_CASE2, _CASE1, _LEVEL = _CASE >> 8, (_CASE >> 4) & 15, _CASE & 15
+
+_SQUASH = np.clip(np.round(65536 / (1 + np.exp(-np.arange(-2048, 2048) / 256.0))), 32, 65536 - 256).astype(np.int64)
+_STRETCH = np.clip(np.round(np.log((np.arange(4096) + 0.5) / (4095.5 - np.arange(4096))) * 256), -2047, 2047).astype(np.int64)
+#: The logit of each level of shares, in the mixer's unit.
+_LOGIT = np.maximum(np.round(np.log(0.7 / (2.0 ** np.arange(16) - 0.7)) * 256), -2047).astype(np.int64)
 #: Counts by level: level q stands for 2 ** (q / 4), here times 256.
 _LEVELS = np.array([math.isqrt(math.isqrt(1 << (q + 32))) for q in range(128)], dtype=np.int64)
 
+#: A stream's interval is [low, low + width) with width from 2 ** 31 to 2 ** 63; below that, 32 bits go out.
+_FLOOR = np.uint64(1 << 31)
+_1, _16, _31, _32, _33 = (np.uint64(n) for n in (1, 16, 31, 32, 33))
+_WORD = np.uint64((1 << 32) - 1)
+
 
 class _Order0:
-    """The ids of a segment, ascending, and the interval of each."""
+    """The ids of a section, ascending, and the interval of each."""
 
     def __init__(self, ids: np.ndarray, levels: np.ndarray):
         self.ids, self.levels = ids, levels
-        counts, room = _LEVELS[levels].astype(object), (1 << _BITS) - len(ids)
+        self.bits = bits = max(_BITS, (len(ids) - 1).bit_length() + 1) if len(ids) else _BITS
+        counts, room = _LEVELS[levels].astype(object), (1 << bits) - len(ids)
         total = max(1, int(sum(counts.tolist())))
-        freq = np.array([1 + c * room // total for c in counts.tolist()], dtype=np.uint64)
+        freq = np.array([1 + c * room // total for c in counts.tolist()], dtype=np.int64)
         if len(ids):
-            freq[int(levels.argmax())] += np.uint64((1 << _BITS) - int(freq.sum()))
-        self.freq, self.start = freq, np.cumsum(freq, dtype=np.uint64) - freq
-        #: The logit of each id's share, in the mixer's unit.
-        self.logit = _STRETCH[np.minimum(freq >> np.uint64(_BITS - 12), np.uint64(4095)).astype(np.int64)].astype(np.int64)
+            freq[int(levels.argmax())] += (1 << bits) - int(freq.sum())
+        self.freq, self.start = freq.astype(np.uint64), (np.cumsum(freq) - freq).astype(np.uint64)
+        #: Of each id the level of its share: n for 2 ** -n to below twice that.
+        self.share = np.minimum(bits + 1 - np.searchsorted(1 << np.arange(bits + 1), freq, side="right"), 15).astype(np.int32)
 
     @staticmethod
     def of(values: np.ndarray) -> tuple[_Order0, np.ndarray]:
@@ -63,6 +86,10 @@ class _Order0:
         levels = np.searchsorted(_LEVELS, counts.astype(np.int64) * 256, side="right") - 1
         return _Order0(ids.astype(np.uint32), levels.astype(np.uint8)), places.astype(np.int32)
 
+    def places(self) -> np.ndarray:
+        """The place that each value of the whole interval stands for."""
+        return np.repeat(np.arange(len(self.ids), dtype=np.int32), self.freq.astype(np.int64))
+
     def packed(self) -> bytes:
         gaps = np.diff(self.ids.astype(np.int64), prepend=-1) - 1
         return zlib.compress(b"".join(((gaps >> shift) & 255).astype(np.uint8).tobytes() for shift in (0, 8, 16, 24)) + self.levels.tobytes(), 9)
@@ -77,197 +104,214 @@ class _Order0:
 
 
 class _Model:
-    """The adaptive state of all lanes, order 2 in the first row and order 1 in the second. predict() gives the candidates and their probabilities; update() learns the ids."""
-
-    def __init__(self, lanes: int, order0: _Order0):
-        base, lane = np.arange(lanes) * _SLOTS, np.arange(lanes)
-        self.base, self.logit0 = np.stack([base, base + lanes * _SLOTS]), order0.logit
-        #: Of each context: the place that it proposes times 8, plus how sure it is (0: it proposes none, to 7).
-        self.slots = np.zeros(2 * lanes * _SLOTS, dtype=np.int32)
-        self.prior = np.repeat(np.array([1 << 14, 1 << 13], dtype=np.int32), [lanes * 8, lanes * 16])
-        self.lane = np.stack([lane * 8, lane * 16 + lanes * 8])
-        self.weights = np.repeat(np.array([[32_000], [24_000], [8_000]], dtype=np.int64), lanes, axis=1)
-        self.before, self.last = np.zeros(lanes, dtype=np.uint32), np.zeros(lanes, dtype=np.uint32)
-
-    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the first n lanes: the candidate, whether there is one, and its probability in 4096 (0 if there is none)."""
-        mixed = np.empty((2, n), dtype=np.uint32)
-        np.multiply(self.last[:n], 0x9E3779B1, out=mixed[1])
-        np.bitwise_xor(mixed[1], self.before[:n] * 0x85EBCA77, out=mixed[0])
-        mixed >>= 13
-        mixed &= _SLOTS - 1
-        self.at = mixed + self.base[:, :n]
-        self.slot = slot = self.slots.take(self.at)
-        self.sure = sure = slot & 7
-        got = slot >> 3
-        candidate = np.where(sure[0] > 0, got[0], got[1])
-        has = (sure[0] | sure[1]) > 0
-        self.ctx = self.lane[:, :n] + sure
-        self.ctx[1] += sure[1]
-        self.ctx[1] += got[1] == candidate
-        self.p = self.prior.take(self.ctx)
-        self.s = np.empty((3, n), dtype=np.int64)
-        self.s[:2] = _STRETCH.take(self.p >> 4)
-        self.s[2] = self.logit0.take(candidate)
-        products = self.weights[:, :n] * self.s
-        dot = products[0]
-        dot += products[1]
-        dot += products[2]
-        dot >>= 16
-        np.maximum(dot, -2048, out=dot)
-        np.minimum(dot, 2047, out=dot)
-        dot += 2048
-        self.mixed = _SQUASH.take(dot) * has
-        return candidate, has, self.mixed
-
-    def update(self, n: int, now: np.ndarray, has: np.ndarray, hit: np.ndarray) -> None:
-        self.s *= hit * (6 << 12) - self.mixed * 6
-        self.s >>= 10
-        self.weights[:, :n] += self.s
-        moved = hit * np.int32(65_535) - self.p
-        moved >>= 5
-        moved *= has
-        moved += self.p
-        self.prior[self.ctx] = moved
-        own, slot, sure = now * 8, self.slot, self.sure
-        # the same id: surer; another one: less sure, or taken over by it
-        less = np.where(sure > 1, slot - ((sure + 1) >> 1), own + 1)
-        self.slots[self.at] = np.where(slot - sure == own, slot + (sure < 7), less)
-        self.before[:n], self.last[:n] = self.last[:n], now + 1
+    """What the streams of a section have learned. predict() gives the candidates and their probabilities in 65536; update() learns the ids."""
+
+    def __init__(self, streams: int, order0: _Order0):
+        self.share = order0.share
+        #: The contexts of order 1, then those of order 2.
+        self.slots = np.zeros(sum(_SLOTS), dtype=np.int32)
+        self.last, self.before = np.zeros(streams, dtype=np.uint32), np.zeros(streams, dtype=np.uint32)
+        #: By how sure order 2 is, then by that of order 1 and whether they agree: how often that came and how often it was right, from a guess.
+        self.seen, self.right = np.full(8 + 16, 64, dtype=np.int64), np.repeat(np.array([2, 16, 28, 36, 42, 46, 50, 54, 2, 8, 14, 18, 21, 23, 25, 27]), [1] * 8 + [2] * 8)
+        #: By how sure order 2 is: the weights of order 2, order 1 and order 0.
+        self.weights = np.repeat(np.array([[32_000], [24_000], [8_000]], dtype=np.int64), 8, axis=1)
+        self.cases, self.hits = np.zeros(_EPOCH * streams, dtype=np.int32), np.zeros(_EPOCH * streams, dtype=np.int32)
+        self.kept, self.left = 0, _EPOCH
+        self._mix()
 
+    def _mix(self) -> None:
+        p = _STRETCH[self.right * 4095 // self.seen]
+        self.s = np.stack([p[_CASE2], p[8 + _CASE1], _LOGIT[_LEVEL]])
+        dot = (self.weights[:, _CASE2] * self.s).sum(axis=0) >> 16
+        self.p = _SQUASH[np.clip(dot, -2048, 2047) + 2048]
+        self.odds = self.p.astype(np.uint64)
 
-def _lengths(total: int) -> np.ndarray:
-    return np.array([BLOCK] * (total // BLOCK) + ([total % BLOCK] if total % BLOCK else []), dtype=np.int64)
+    def _learn(self) -> None:
+        """Learns from the cases of the epoch."""
+        counts = np.bincount(self.cases[: self.kept] * 2 + self.hits[: self.kept], minlength=2 * len(_CASE)).reshape(8, 16, 16, 2)
+        hits, seen = counts[..., 1], counts.sum(axis=3)
+        self.seen += np.concatenate([seen.sum(axis=(1, 2)), seen.sum(axis=(0, 2))])
+        self.right += np.concatenate([hits.sum(axis=(1, 2)), hits.sum(axis=(0, 2))])
+        slope = (self.s * (hits.ravel() * 65536 - seen.ravel() * self.p)).reshape(3, 8, -1).sum(axis=2)
+        self.weights += slope // (seen.sum(axis=(1, 2)) + 256) >> _RATE
+        self.kept, self.left = 0, _EPOCH
+        self._mix()
 
+    def predict(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the first n streams: the candidate and its probability."""
+        self.at = at = np.empty((2, n), dtype=np.int64)
+        last = self.last[:n]
+        np.bitwise_and(last, _SLOTS[0] - 1, out=at[0])
+        mixed = last * 0x9E3779B1
+        mixed ^= self.before[:n] * 0x85EBCA77
+        mixed >>= _SHIFT
+        np.add(mixed, _SLOTS[0], out=at[1])
+        self.slot = slot = self.slots.take(at)
+        self.place = place = slot & _PLACE
+        sure = slot >> _SURE
+        candidate = np.where(sure[1] > 0, place[1], place[0])
+        case = self.cases[self.kept : self.kept + n]
+        np.left_shift(sure[1], 3, out=case)
+        case |= sure[0]
+        case <<= 1
+        case |= place[0] == candidate
+        case <<= 4
+        case |= self.share.take(candidate)
+        self.sure = sure
+        return candidate, self.odds.take(case)
 
-def _coded(places: np.ndarray, lengths: np.ndarray, order0: _Order0) -> list[bytes]:
-    lanes = len(lengths)
-    rows = BLOCK if lanes > 1 else int(lengths[0])
-    grid = np.zeros(rows * lanes, dtype=np.int32)
+    def update(self, n: int, now: np.ndarray, hit: np.ndarray) -> None:
+        self.hits[self.kept : self.kept + n] = hit
+        slot, sure = self.slot, self.sure
+        # the same id: surer; another one: less sure, or taken over by it
+        other = np.where(sure > 1, slot - _LESS.take(sure), now + _ONE)
+        slot = np.where(self.place == now, slot + (sure < 7) * _ONE, other)
+        at = self.at.ravel()
+        self.slots[at] = 0
+        np.maximum.at(self.slots, at, slot.ravel())
+        self.before[:n], self.last[:n] = self.last[:n], now
+        self.kept, self.left = self.kept + n, self.left - 1
+        if not self.left:
+            self._learn()
+
+
+def _coded(places: np.ndarray, order0: _Order0) -> tuple[np.ndarray, np.ndarray]:
+    """The words of the streams, one stream's after the other, and of each stream how many."""
+    streams = -(-len(places) // STREAM)
+    rows, rest = min(STREAM, len(places)), len(places) - (streams - 1) * STREAM
+    grid = np.zeros(rows * streams, dtype=np.int32)
     grid[: len(places)] = places
-    grid = np.ascontiguousarray(grid.reshape(lanes, rows).T)
-    model, low, width = _Model(lanes, order0), np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
-    out, end = np.zeros((lanes, 3 * rows + 64), dtype="<u2"), np.zeros(lanes, dtype=np.int64)
-    freq, start, whole = order0.freq, order0.start, np.uint64(1 << _BITS)
+    grid = np.ascontiguousarray(grid.reshape(streams, rows).T)
+    out, ready = np.zeros((rows + 1, streams), dtype=np.uint64), np.zeros((rows + 1, streams), dtype=bool)
+    model, low, width = _Model(streams, order0), np.zeros(streams, dtype=np.uint64), np.full(streams, (1 << 63) - 1, dtype=np.uint64)
+    freq, start, bits = order0.freq, order0.start, np.uint64(order0.bits)
     for step in range(rows):
-        n = lanes if step < lengths[-1] else lanes - 1
-        now = grid[step, :n]
-        candidate, has, p = model.predict(n)
+        if step == rest:
+            out[rows, -1], ready[rows, -1] = low[-1], True
+            streams -= 1
+            low, width = low[:-1], width[:-1]
+        now = grid[step, :streams]
+        candidate, p = model.predict(streams)
         hit = candidate == now
-        hit &= has
-        cut = (width[:n] >> _12) * p.astype(np.uint64)
-        left_out = freq.take(candidate) * has
-        r = (width[:n] - cut) // np.maximum(whole - left_out, np.uint64(1))  # nothing is left out of a table of one id
-        left_out *= now > candidate
-        past = r * (start.take(now) - left_out)
+        cut = width >> _16
+        cut *= p
+        width -= cut
+        width >>= bits
+        past = width * start.take(now)
         past += cut
         past *= ~hit
-        low[:n] += past
-        r *= freq.take(now)
-        width[:n] = np.where(hit, cut, r)
-        model.update(n, now, has, hit)
-        need = np.flatnonzero(width[:n] < _LOW)
-        while len(need):
-            lo, w = low[need], width[need]
-            apart = ((lo ^ (lo + (w - np.uint64(1)))) >> _48) != 0
-            w = np.where(apart, _LOW - (lo & _REST), w)
-            out[need, end[need]] = (lo >> _48).astype(np.uint16)
-            end[need] += 1
-            low[need], width[need] = lo << _16, w << _16
-            need = need[(w << _16) < _LOW]
-    for shift in (48, 32, 16, 0):
-        out[np.arange(lanes), end] = ((low >> np.uint64(shift)) & np.uint64(0xFFFF)).astype(np.uint16)
-        end += 1
-    return [out[i, : end[i]].tobytes() for i in range(lanes)]
-
-
-def _read(words: list[np.ndarray], lengths: np.ndarray, order0: _Order0) -> np.ndarray:
-    """The places of the lanes' ids. Of damaged words it makes other places; the checksums tell."""
-    lanes, rows = len(lengths), int(lengths[0])
-    stream = np.zeros((lanes, max(map(len, words)) + 8), dtype=np.uint64)
-    for i, w in enumerate(words):
-        stream[i, : len(w)] = w
-    code = (stream[:, 0] << _48) | (stream[:, 1] << np.uint64(32)) | (stream[:, 2] << _16) | stream[:, 3]
-    end, last = np.full(lanes, 4, dtype=np.int64), stream.shape[1] - 1
-    model, low, width = _Model(lanes, order0), np.zeros(lanes, dtype=np.uint64), np.full(lanes, 2**64 - 1, dtype=np.uint64)
-    freq, start, whole, one = order0.freq, order0.start, np.uint64(1 << _BITS), np.uint64(1)
-    grid = np.zeros((rows, lanes), dtype=np.int32)
+        low += past
+        width *= freq.take(now)
+        np.copyto(width, cut, where=hit)
+        model.update(streams, now, hit)
+        need = np.less(width, _FLOOR, out=ready[step, :streams])
+        np.right_shift(low, _31, out=out[step, :streams])
+        np.copyto(low, (low << _33) >> _1, where=need)
+        width <<= need * _32
+    out[rows, :streams], ready[rows] = low, True
+    out[rows] += _FLOOR - _1
+    out[rows] >>= _31
+    words, counts = out.T[ready.T], ready.sum(axis=0)
+    carry = words >> _32
+    while carry.any():
+        words &= _WORD
+        words[:-1] += carry[1:]
+        carry = words >> _32
+    return words.astype("<u4"), counts
+
+
+def _read(words: np.ndarray, counts: np.ndarray, size: int, order0: _Order0) -> np.ndarray:
+    """The places of the streams' ids. Of damaged words it makes other places; the checksums tell."""
+    streams = len(counts)
+    rows, rest = min(STREAM, size), size - (streams - 1) * STREAM
+    padded, first = np.zeros(len(words) + 3 * streams, dtype=np.uint64), np.cumsum(counts + 3) - (counts + 3)
+    padded[np.arange(len(words)) + 3 * np.repeat(np.arange(streams), counts)] = words
+    # the code starts with 63 bits and goes on 32 at a time, so these begin with a word's last bit
+    after = ((padded[:-1] << _31) & _WORD) | (padded[1:] >> _1)
+    code, at = (padded[first] << _31) | (padded[first + 1] >> _1), first + 1
+    model, width = _Model(streams, order0), np.full(streams, (1 << 63) - 1, dtype=np.uint64)
+    freq, start, bits = order0.freq, order0.start, np.uint64(order0.bits)
+    places, most = order0.places(), np.uint64((1 << order0.bits) - 1)
+    grid = np.zeros((rows, streams), dtype=np.int32)
     for step in range(rows):
-        n = lanes if step < lengths[-1] else lanes - 1
-        candidate, has, p = model.predict(n)
-        cut = (width[:n] >> _12) * p.astype(np.uint64)
-        hit = has & (code[:n] - low[:n] < cut)
-        left_out = freq.take(candidate) * has
-        total = np.maximum(whole - left_out, one)
-        r = (width[:n] - cut) // total
-        value = np.minimum((code[:n] - low[:n] - cut) // np.maximum(r, one), total - one)
-        value += left_out * (value >= start.take(candidate))
-        now = np.where(hit, candidate, np.searchsorted(start, value, side="right").astype(np.int32) - np.int32(1))
-        left_out *= now > candidate
-        past = r * (start.take(now) - left_out)
+        if step == rest:
+            streams -= 1
+            code, width, at = code[:-1], width[:-1], at[:-1]
+        candidate, p = model.predict(streams)
+        cut = width >> _16
+        cut *= p
+        hit = code < cut
+        width -= cut
+        width >>= bits
+        value = code - cut
+        value //= width
+        np.minimum(value, most, out=value)
+        now = np.where(hit, candidate, places.take(value.view(np.int64)))
+        past = width * start.take(now)
         past += cut
         past *= ~hit
-        low[:n] += past
-        r *= freq.take(now)
-        width[:n] = np.where(hit, cut, r)
-        model.update(n, now, has, hit)
-        grid[step, :n] = now
-        need = np.flatnonzero(width[:n] < _LOW)
-        rounds = 0
-        while len(need) and rounds < 4:
-            lo, w = low[need], width[need]
-            apart = ((lo ^ (lo + (w - one))) >> _48) != 0
-            w = np.where(apart, _LOW - (lo & _REST), w)
-            code[need] = (code[need] << _16) | stream[need, np.minimum(end[need], last)]
-            end[need] += 1
-            low[need], width[need] = lo << _16, w << _16
-            need = need[(w << _16) < _LOW]
-            rounds += 1
-    return np.concatenate([grid[: lengths[i], i] for i in range(lanes)]) if lanes else np.zeros(0, dtype=np.int32)
-
-
-_HEAD, _ENTRY = struct.Struct("<4sIQIII"), struct.Struct("<III")
-_MAGIC = b"GWT2"
-#: Lanes that go in lockstep at once; bounds memory.
-_LANES = 512
+        code -= past
+        width *= freq.take(now)
+        np.copyto(width, cut, where=hit)
+        model.update(streams, now, hit)
+        grid[step, :streams] = now
+        need = width < _FLOOR
+        np.copyto(code, (code << _32) | after.take(at, mode="clip"), where=need)
+        at += need
+        width <<= need * _32
+    return grid.T.ravel()[:size]
+
+
+_HEAD = struct.Struct("<4sIQII")
+_MAGIC = b"GWT3"
+_SECTION = STREAM * _STREAMS
+
+
+def _packed(ids: np.ndarray, total: int) -> bytes:
+    order0, places = _Order0.of(ids)
+    words, counts = _coded(places, order0) if len(ids) else (np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64))
+    plain, table = ids.astype("<u4"), order0.packed()
+    sums = np.array([zlib.crc32(plain[i : i + BLOCK].tobytes()) for i in range(0, len(ids), BLOCK)], dtype="<u4")
+    head = b"".join([_HEAD.pack(_MAGIC, BLOCK, total, len(ids), len(table)), table, sums.tobytes(), counts.astype("<u2").tobytes()])
+    return b"".join([head, struct.pack("<I", zlib.crc32(head)), words.tobytes()])
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """A segment: a head (magic, block size, ids, blocks, bytes of the table, CRC-32 of the table and the entries), the table of ids, for each block its ids, bytes and the CRC-32 of its ids as little-endian unsigned 32-bit integers, then the blocks."""
+    """A segment: its sections, each a head (magic, block size, ids of the segment, ids of the section, bytes of the table), the table of ids, for each block the CRC-32 of its ids as little-endian unsigned 32-bit integers, for each stream its 32-bit words, the CRC-32 of all this, then the streams."""
     ids = np.asarray(ids, dtype=np.int64)
     if len(ids) and (ids.min() < 0 or ids.max() > 0xFFFFFFFF):
         raise ValueError("ids must be unsigned 32-bit integers")
-    order0, places = _Order0.of(ids)
-    lengths = _lengths(len(ids))
-    blocks: list[bytes] = []
-    for i in range(0, len(lengths), _LANES):
-        blocks += _coded(places[i * BLOCK : (i + _LANES) * BLOCK], lengths[i : i + _LANES], order0)
-    plain, table = ids.astype("<u4"), order0.packed()
-    entries = b"".join(_ENTRY.pack(n, len(b), zlib.crc32(plain[i * BLOCK : i * BLOCK + n].tobytes())) for i, (n, b) in enumerate(zip(lengths.tolist(), blocks, strict=True)))
-    return b"".join([_HEAD.pack(_MAGIC, BLOCK, len(ids), len(blocks), len(table), zlib.crc32(table + entries)), table, entries, *blocks])
+    return b"".join([_packed(ids[i : i + _SECTION], len(ids)) for i in range(0, max(1, len(ids)), _SECTION)])
 
 
 def unpack(segment: bytes) -> np.ndarray:
     """The ids of a segment as unsigned 32-bit integers; ValueError if it isn't one, is cut short, or a checksum doesn't hold."""
-    if len(segment) < _HEAD.size:
-        raise ValueError("not a segment of this format")
-    magic, block, total, n, size, crc = _HEAD.unpack_from(segment)
-    if magic != _MAGIC or block != BLOCK:
-        raise ValueError("not a segment of this format")
-    head, at = segment[_HEAD.size : _HEAD.size + size + n * _ENTRY.size], _HEAD.size + size + n * _ENTRY.size
-    if at > len(segment) or zlib.crc32(head) != crc:
-        raise ValueError("the head of the segment is damaged")
-    order0, entries = _Order0.unpacked(head[:size]), list(_ENTRY.iter_unpack(head[size:]))
-    lengths = np.array([e[0] for e in entries], dtype=np.int64)
-    if lengths.sum() != total or lengths.tolist() != _lengths(total).tolist() or at + sum(e[1] for e in entries) != len(segment):
-        raise ValueError("the segment is cut short")
-    words = []
-    for _, length, _ in entries:
-        words.append(np.frombuffer(segment, dtype="<u2", count=length // 2, offset=at))
-        at += length
-    parts = [_read(words[i : i + _LANES], lengths[i : i + _LANES], order0) for i in range(0, n, _LANES)]
-    ids = order0.ids[np.concatenate(parts)].astype("<u4") if parts else np.zeros(0, dtype="<u4")
-    for i, (count, _, own) in enumerate(entries):
-        if zlib.crc32(ids[i * BLOCK : i * BLOCK + count].tobytes()) != own:
-            raise ValueError(f"block {i} is damaged")
-    return ids
+    parts, done, total, at = [], 0, None, 0
+    while total is None or done < total:
+        if len(segment) < at + _HEAD.size:
+            raise ValueError("not a segment of this format, or cut short")
+        magic, block, of, n, size = _HEAD.unpack_from(segment, at)
+        if magic != _MAGIC or block != BLOCK:
+            raise ValueError("not a segment of this format")
+        blocks, streams, table = -(-n // BLOCK), -(-n // STREAM), at + _HEAD.size
+        end = table + size + 4 * blocks + 2 * streams
+        if end + 4 > len(segment) or zlib.crc32(segment[at:end]) != struct.unpack_from("<I", segment, end)[0]:
+            raise ValueError("the head of a section is damaged")
+        if n != min(_SECTION, of - done) or (total is not None and of != total):
+            raise ValueError("a section is missing")
+        sums, counts = np.frombuffer(segment, dtype="<u4", count=blocks, offset=table + size), np.frombuffer(segment, dtype="<u2", count=streams, offset=end - 2 * streams).astype(np.int64)
+        length = int(counts.sum())
+        at = end + 4 + 4 * length
+        if at > len(segment):
+            raise ValueError("the segment is cut short")
+        order0 = _Order0.unpacked(segment[table : table + size])
+        if n:
+            ids = order0.ids[_read(np.frombuffer(segment, dtype="<u4", count=length, offset=end + 4), counts, n, order0)].astype("<u4")
+            for i, own in enumerate(sums.tolist()):
+                if zlib.crc32(ids[i * BLOCK : (i + 1) * BLOCK].tobytes()) != own:
+                    raise ValueError(f"block {done // BLOCK + i} is damaged")
+            parts.append(ids)
+        done, total = done + n, of
+    if at != len(segment):
+        raise ValueError("there is more than the segment")
+    return np.concatenate(parts) if parts else np.zeros(0, dtype="<u4")

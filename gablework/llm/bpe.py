@@ -14,12 +14,14 @@ import hashlib
 import os
 import re
 import struct
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -119,7 +121,14 @@ def cut(texts: list[str], by_kind: bool = False) -> tuple[pa.DictionaryArray, np
 
 
 #: A space and letters that every version of the pattern knows; and how many of those are encoded as one text.
-_WORD, JOINED_WORDS = re.compile(" [A-Za-zÀ-ÖØ-öø-ɏ]+"), 200
+_WORD, JOINED_WORDS = r"\A [A-Za-zÀ-ÖØ-öø-ɏ]+\z", 200
+
+
+def _taken(flat: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The runs of flat that start and count so, one after the other."""
+    at = np.repeat(starts - (np.cumsum(counts) - counts), counts)
+    at += np.arange(len(at))
+    return flat.take(at)
 
 
 class PieceEncoder:
@@ -127,48 +136,70 @@ class PieceEncoder:
 
     def __init__(self, tokenizer):
         self.tokenizer, self.cache = tokenizer, {}
+        #: The pieces that each() knows by number; their ids, one piece's after the other; of each where they start and how many.
+        self.known, self.flat = {}, np.zeros(0, dtype="<u4")
+        self.starts, self.counts = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
 
     def _ids(self, fresh: list[str]) -> Iterator[tuple[str, bytes]]:
         for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
             ids = e.ids
             yield p, struct.pack(f"<{len(ids)}I", *ids)
 
-    def _ids_of_words(self, fresh: list[str], sizes: np.ndarray) -> Iterator[tuple[str, bytes]]:
-        """As _ids(), with the words in texts of many: the ids are parted where their bytes reach the words' ends. sizes: the bytes of each id."""
-        words = [p for p in fresh if _WORD.fullmatch(p)]
-        yield from self._ids([p for p in fresh if not _WORD.fullmatch(p)])
-        together = ["".join(words[i : i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
-        ids = np.array([i for e in self.tokenizer.encode_batch_fast(together, add_special_tokens=False) for i in e.ids], dtype="<u4")
-        reached = np.cumsum(sizes[ids])
-        wanted = np.cumsum(np.fromiter((len(p.encode()) for p in words), dtype=np.int64, count=len(words)))
-        ends = np.searchsorted(reached, wanted) + 1
-        if len(words) and not np.array_equal(reached.take(ends - 1, mode="clip"), wanted):
-            raise ValueError("the tokenizer joins words that its pattern parts")
-        data, start = ids.tobytes(), 0
-        for p, end in zip(words, (4 * ends).tolist(), strict=True):
-            yield p, data[start:end]
-            start = end
+    def _asked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of the texts, one after the other, and of each text how many."""
+        own = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate([np.zeros(0, dtype="<u4"), *own]), np.fromiter(map(len, own), dtype=np.int64, count=len(own))
+
+    def _fresh(self, fresh: list[str], sizes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As each(), of pieces that aren't known: the words among them in texts of many, whose ids are parted where their bytes reach the words' ends."""
+        column = pa.array(fresh, type=pa.large_string())
+        is_word = np.zeros(len(fresh), dtype=bool) if sizes is None else pc.match_substring_regex(column, _WORD).to_numpy(zero_copy_only=False)
+        words = list(compress(fresh, is_word))
+        flat, counts = self._asked(list(compress(fresh, ~is_word)))
+        if words:
+            ids, _ = self._asked(["".join(words[i : i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)])
+            reached = np.cumsum(sizes[ids])
+            wanted = np.cumsum(pc.binary_length(column).to_numpy()[is_word])
+            ends = np.searchsorted(reached, wanted) + 1
+            if not np.array_equal(reached.take(ends - 1, mode="clip"), wanted):
+                raise ValueError("the tokenizer joins words that its pattern parts")
+            flat, counts = np.concatenate([flat, ids]), np.concatenate([counts, np.diff(ends, prepend=0)])
+        order = np.argsort(is_word, kind="stable")
+        starts, own = np.empty(len(fresh), dtype=np.int64), np.empty(len(fresh), dtype=np.int64)
+        starts[order], own[order] = np.cumsum(counts) - counts, counts
+        return flat, starts, own
+
+    def each(self, different: list[str], sizes: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of pieces that are all different: an array, and of each piece where its ids start there and how many they are. With the bytes of each id, words are encoded together."""
+        if len(self.known) > CACHE_PIECES:  # short pieces are the frequent ones
+            kept = {p: n for p, n in self.known.items() if len(p) <= SHORT_PIECE_CHARS}
+            at = np.array(list(kept.values()) if len(kept) < CACHE_PIECES // 2 else [], dtype=np.int64)
+            self.known = dict(zip(kept, range(len(at)), strict=False))
+            self.flat, self.counts = _taken(self.flat, self.starts[at], self.counts[at]), self.counts[at]
+            self.starts = np.cumsum(self.counts) - self.counts
+        at = np.fromiter(map(self.known.get, different, repeat(-1)), dtype=np.int64, count=len(different))
+        new = np.flatnonzero(at < 0)
+        fresh = [different[i] for i in new.tolist()]
+        flat, starts, counts = self._fresh(fresh, sizes)
+        at[new] = len(self.counts) + np.arange(len(new))
+        out = np.concatenate([self.flat, flat]), np.concatenate([self.starts, starts + len(self.flat)])[at], np.concatenate([self.counts, counts])[at]
+        kept = np.fromiter(map(len, fresh), dtype=np.int64, count=len(fresh)) <= CACHE_PIECE_CHARS
+        self.known.update(zip(compress(fresh, kept), range(len(self.counts), len(self.counts) + len(fresh)), strict=False))
+        self.flat, self.counts = np.concatenate([self.flat, _taken(flat, starts[kept], counts[kept])]), np.concatenate([self.counts, counts[kept]])
+        self.starts = np.cumsum(self.counts) - self.counts
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [pieces(t) for t in texts]
-        return self._encoded(set().union(*parts), lambda of: [b"".join(map(of, part)) for part in parts])
-
-    def each(self, different: list[str], sizes: np.ndarray | None) -> list[bytes]:
-        """Ids of pieces that are all different. With the bytes of each id, words are encoded together."""
-        return self._encoded(different, lambda of: list(map(of, different)), sizes)
-
-    def _encoded(self, wanted: Iterable[str], given: Callable[[Callable[[str], bytes]], list[bytes]], sizes: np.ndarray | None = None) -> list[bytes]:
-        """What given() makes of the ids of the wanted pieces."""
-        cache = self.cache
+        parts, cache = [pieces(t) for t in texts], self.cache
         if len(cache) > CACHE_PIECES:  # short pieces are the frequent ones
             kept = {p: ids for p, ids in cache.items() if len(p) <= SHORT_PIECE_CHARS}
             cache.clear()
             if len(kept) < CACHE_PIECES // 2:
                 cache.update(kept)
-        fresh = [p for p in wanted if p not in cache]
-        found = dict(self._ids(fresh) if sizes is None else self._ids_of_words(fresh, sizes))
+        found = dict(self._ids([p for p in set().union(*parts) if p not in cache]))
         cache.update(found)
-        out = given(cache.__getitem__)
+        of = cache.__getitem__
+        out = [b"".join(map(of, part)) for part in parts]
         for p in found:
             if len(p) > CACHE_PIECE_CHARS:
                 del cache[p]
@@ -225,16 +256,12 @@ class ByteBpe:
     def encode_cut(self, held: list[tuple[pa.DictionaryArray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each of cut(): the ids of all its texts, one after the other, and of each text how many. A piece is looked up once for all of them, not at each place where it stands."""
         pieces = pa.chunked_array([x for x, _ in held]).unify_dictionaries()
-        own = self._encoder().each(pieces.chunk(0).dictionary.to_numpy(zero_copy_only=False).tolist(), None if self._added() is None else self._sizes())
-        flat, sizes = np.frombuffer(b"".join(own), dtype="<u4"), np.fromiter(map(len, own), dtype=np.int64, count=len(own)) // 4
-        starts = np.cumsum(sizes) - sizes
+        flat, starts, sizes = self._encoder().each(pieces.chunk(0).dictionary.to_numpy(zero_copy_only=False).tolist(), None if self._added() is None else self._sizes())
         for chunk, (_, counts) in zip(pieces.chunks, held, strict=True):
             at = chunk.indices.to_numpy()
             n = sizes.take(at)
             ends = np.append(0, np.cumsum(n))
-            from_ = np.repeat(starts.take(at) - ends[:-1], n)
-            from_ += np.arange(len(from_))
-            yield flat.take(from_), np.diff(ends[np.cumsum(counts)], prepend=0)
+            yield _taken(flat, starts.take(at), n), np.diff(ends[np.cumsum(counts)], prepend=0)
 
     def encode_with_offsets(self, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
         """Ids and the (start, end) of each in characters; tokens that share a character both have its place."""

@@ -21,10 +21,9 @@ import zlib
 
 import numpy as np
 
-#: Ids in a block, which has a checksum; ids in a stream; streams in a section.
+#: Ids in a block, which has a checksum; ids in a section.
 BLOCK = 8192
-STREAM = 2048
-_STREAMS = 2048
+_SECTION = 1 << 22
 #: Steps in an epoch; slots of order 1 and order 2; bits of the order-0 total, at least.
 _EPOCH = 16
 _SLOTS = (1 << 14, 1 << 18)
@@ -175,19 +174,26 @@ class _Model:
             self._learn()
 
 
+def _stream(n: int) -> int:
+    """How many ids of a section of n stand in a stream: about as many as there are streams, so that steps aren't many and narrow."""
+    return min(2048, max(256, 1 << n.bit_length() // 2))
+
+
 def _coded(places: np.ndarray, order0: _Order0) -> tuple[np.ndarray, np.ndarray]:
     """The words of the streams, one stream's after the other, and of each stream how many."""
-    streams = -(-len(places) // STREAM)
-    rows, rest = min(STREAM, len(places)), len(places) - (streams - 1) * STREAM
+    size = len(places)
+    rows = min(_stream(size), size)
+    streams = -(-size // rows)
+    rest = size - (streams - 1) * rows
     grid = np.zeros(rows * streams, dtype=np.int32)
-    grid[: len(places)] = places
+    grid[:size] = places
     grid = np.ascontiguousarray(grid.reshape(streams, rows).T)
     out, ready = np.zeros((rows + 1, streams), dtype=np.uint64), np.zeros((rows + 1, streams), dtype=bool)
     model, low, width = _Model(streams, order0), np.zeros(streams, dtype=np.uint64), np.full(streams, (1 << 63) - 1, dtype=np.uint64)
     freq, start, bits = order0.freq, order0.start, np.uint64(order0.bits)
     for step in range(rows):
         if step == rest:
-            out[rows, -1], ready[rows, -1] = low[-1], True
+            out[rows, -1] = low[-1]
             streams -= 1
             low, width = low[:-1], width[:-1]
         now = grid[step, :streams]
@@ -208,9 +214,10 @@ def _coded(places: np.ndarray, order0: _Order0) -> tuple[np.ndarray, np.ndarray]
         np.right_shift(low, _31, out=out[step, :streams])
         np.copyto(low, (low << _33) >> _1, where=need)
         width <<= need * _32
-    out[rows, :streams], ready[rows] = low, True
+    out[rows, :streams] = low
     out[rows] += _FLOOR - _1
     out[rows] >>= _31
+    np.greater(out[rows], 0, out=ready[rows])  # past a stream's end zeros are read
     words, counts = out.T[ready.T], ready.sum(axis=0)
     carry = words >> _32
     while carry.any():
@@ -223,7 +230,8 @@ def _coded(places: np.ndarray, order0: _Order0) -> tuple[np.ndarray, np.ndarray]
 def _read(words: np.ndarray, counts: np.ndarray, size: int, order0: _Order0) -> np.ndarray:
     """The places of the streams' ids. Of damaged words it makes other places; the checksums tell."""
     streams = len(counts)
-    rows, rest = min(STREAM, size), size - (streams - 1) * STREAM
+    rows = min(_stream(size), size)
+    rest = size - (streams - 1) * rows
     padded, first = np.zeros(len(words) + 3 * streams, dtype=np.uint64), np.cumsum(counts + 3) - (counts + 3)
     padded[np.arange(len(words)) + 3 * np.repeat(np.arange(streams), counts)] = words
     # the code starts with 63 bits and goes on 32 at a time, so these begin with a word's last bit
@@ -264,7 +272,6 @@ def _read(words: np.ndarray, counts: np.ndarray, size: int, order0: _Order0) ->
 
 _HEAD = struct.Struct("<4sIQII")
 _MAGIC = b"GWT3"
-_SECTION = STREAM * _STREAMS
 
 
 def _packed(ids: np.ndarray, total: int) -> bytes:
@@ -293,7 +300,7 @@ def unpack(segment: bytes) -> np.ndarray:
         magic, block, of, n, size = _HEAD.unpack_from(segment, at)
         if magic != _MAGIC or block != BLOCK:
             raise ValueError("not a segment of this format")
-        blocks, streams, table = -(-n // BLOCK), -(-n // STREAM), at + _HEAD.size
+        blocks, streams, table = -(-n // BLOCK), -(-n // _stream(n)), at + _HEAD.size
         end = table + size + 4 * blocks + 2 * streams
         if end + 4 > len(segment) or zlib.crc32(segment[at:end]) != struct.unpack_from("<I", segment, end)[0]:
             raise ValueError("the head of a section is damaged")
